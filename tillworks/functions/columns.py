@@ -56,8 +56,9 @@ def same_text(a, b) -> Column:
 def whole_number(c) -> Column:
     """The leading number of a text cut to an integer; 0 when there is none."""
     number = F.regexp_extract(_col(c).cast("string"), LEADING_NUMBER, 1).try_cast("double")
-    bounded = F.greatest(F.least(number, F.lit(float(MAX_INT))), F.lit(float(-MAX_INT)))
-    return F.coalesce(bounded.cast("int"), F.lit(0))
+    # least and greatest skip NULLs, so the missing number is settled first
+    found = F.coalesce(number, F.lit(0.0))
+    return F.greatest(F.least(found, F.lit(float(MAX_INT))), F.lit(float(-MAX_INT))).cast("int")
 
 
 def clamp_qty(c) -> Column:
