@@ -42,10 +42,3 @@ def next_id(table: DataFrame, floor: int = 1, id_col: str = "id") -> int:
     """The id the next inserted row gets: one past the largest, at least ``floor``."""
     largest = table.agg(F.max(id_col)).first()[0]
     return floor if largest is None else max(floor, largest + 1)
-
-
-def fill_ids(df: DataFrame, order_cols, floor: int = 1, id_col: str = "id") -> DataFrame:
-    """Give every row whose id is NULL the next free id, leaving the others alone."""
-    start = next_id(df, floor, id_col)
-    numbered = assign_ids(df.where(F.col(id_col).isNull()).drop(id_col), order_cols, start, id_col)
-    return df.where(F.col(id_col).isNotNull()).unionByName(numbered.select(*df.columns))

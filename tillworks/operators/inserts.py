@@ -57,15 +57,24 @@ def _winners(rows: DataFrame, key, order, pick) -> DataFrame:
     return keyed.groupBy(*names, "_alone").agg(pick(order).alias(order)).select(order)
 
 
+def _first_rows(rows: DataFrame, key, order) -> DataFrame:
+    """The first whole row of every group of equal keys, in one aggregation."""
+    names = _names(key)
+    alone = F.when(_has_null(names), F.col(order)).alias("_alone")
+    first = F.min_by(F.struct(*rows.columns), F.col(order)).alias("_row")
+    keyed = _key_columns(rows, key).select(*rows.columns, *names, alone)
+    return keyed.groupBy(*names, "_alone").agg(first).select("_row.*")
+
+
 def known_parents(rows: DataFrame, fks) -> DataFrame:
     """Rows whose every foreign key is NULL or present in its parent table.
 
-    ``fks`` is a list of (column, parent DataFrame, parent column).
+    ``fks`` is a list of (column, parent DataFrame, unique parent column).
     """
     for column, parent, parent_column in fks:
-        parents = parent.select(F.col(parent_column).alias(column))
-        held = rows.where(F.col(column).isNotNull()).join(parents, column, "left_semi")
-        rows = held.select(*rows.columns).unionByName(rows.where(F.col(column).isNull()))
+        parents = parent.select(F.col(parent_column).alias(column), F.lit(True).alias("_known"))
+        rows = (rows.join(parents, column, "left")
+                .where(F.col(column).isNull() | F.col("_known")).select(*rows.columns))
     return rows
 
 
@@ -80,8 +89,7 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys, order: str, fks=()) -
     for key in keys:
         fresh = without_collisions(fresh, table, key)
     if len(keys) == 1:
-        first = _winners(fresh, keys[0], order, F.min)
-        accepted = fresh.join(first, order, "left_semi")
+        accepted = _first_rows(fresh, keys[0], order)
     else:
         accepted = _accept_in_rounds(fresh, keys, order)
     return table.unionByName(accepted.select(*table.columns))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillworks.functions.columns import clamp_qty, line_total, money_total
 from tillworks.operators.changes import apply_updates, delete_keys
-from tillworks.operators.ids import fill_ids
+from tillworks.operators.ids import assign_ids, next_id
 from tillworks.plans.reports import payments_made
 from tillworks.schemas import MONEY_SUM
 from tillworks.sources.sessions import explode_guest_carts, explode_guest_wishlists
@@ -12,6 +12,21 @@ from tillworks.sources.sessions import explode_guest_carts, explode_guest_wishli
 CART_KEY = ["user_id", "product_id"]
 
 
+def _absent(adds: DataFrame, stored: DataFrame) -> DataFrame:
+    """The grouped adds whose (user, product) is not stored yet.
+
+    The stored pairs are first cut down to those the feed names, so a small feed
+    is all that is ever shuffled or broadcast, however large the table.
+    """
+    hits = stored.select(*CART_KEY).join(adds.select(*CART_KEY), CART_KEY)
+    return adds.join(hits, CART_KEY, "left_anti")
+
+
+def _numbered_after(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """New rows with the ids that follow the stored ones."""
+    return assign_ids(fresh, CART_KEY, next_id(stored))
+
+
 def cart_upsert(cart: DataFrame, adds: DataFrame) -> DataFrame:
     """Add quantities to the cart line of (user, product), creating it if absent.
 
@@ -19,20 +34,20 @@ def cart_upsert(cart: DataFrame, adds: DataFrame) -> DataFrame:
     quantities are taken as they are, added ones are at least 1. Lines that were
     not there before get the next free ids.
     """
-    added = adds.select(
-        *CART_KEY, clamp_qty("quantity").cast("bigint").alias("quantity"), "created_at",
-        F.col("created_at").alias("updated_at"))
-    merged = (
-        cart.select("id", *CART_KEY, "variant_id", F.col("quantity").cast("bigint").alias("quantity"),
-                    "created_at", "updated_at")
-        .unionByName(added, allowMissingColumns=True)
-        .groupBy(*CART_KEY)
-        .agg(F.max("id").alias("id"), F.max("variant_id").alias("variant_id"),
-             F.sum("quantity").alias("quantity"),
-             F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
-        .select("id", *CART_KEY, "variant_id", "quantity", "created_at", "updated_at")
-    )
-    return fill_ids(merged, CART_KEY)
+    columns = ["id", *CART_KEY, "variant_id", "quantity", "created_at", "updated_at"]
+    added = adds.groupBy(*CART_KEY).agg(
+        F.sum(clamp_qty("quantity")).alias("_added"),
+        F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
+    grown = cart.join(added, CART_KEY, "left").select(
+        "id", *CART_KEY, "variant_id",
+        (F.col("quantity") + F.coalesce("_added", F.lit(0))).alias("quantity"),
+        F.least("created_at", "_first").alias("created_at"),
+        F.greatest("updated_at", "_last").alias("updated_at"))
+    fresh = _numbered_after(cart, _absent(added, cart)).select(
+        "id", *CART_KEY, F.lit(None).cast("bigint").alias("variant_id"),
+        F.col("_added").alias("quantity"), F.col("_first").alias("created_at"),
+        F.col("_last").alias("updated_at"))
+    return grown.unionByName(fresh).select(*columns)
 
 
 def wishlist_add(wishlist: DataFrame, adds: DataFrame) -> DataFrame:
@@ -40,15 +55,9 @@ def wishlist_add(wishlist: DataFrame, adds: DataFrame) -> DataFrame:
 
     ``adds`` has user_id, product_id and added_at. A stored row is never changed.
     """
-    stored = wishlist.select(*CART_KEY, F.lit(False).alias("_new"), "added_at", "id")
-    fresh = adds.select(*CART_KEY, F.lit(True).alias("_new"), "added_at",
-                        F.lit(None).cast("bigint").alias("id"))
-    merged = (
-        stored.unionByName(fresh).groupBy(*CART_KEY)
-        .agg(F.min(F.struct("_new", "added_at", "id")).alias("_first"))
-        .select("_first.id", *CART_KEY, "_first.added_at")
-    )
-    return fill_ids(merged, CART_KEY)
+    wanted = adds.groupBy(*CART_KEY).agg(F.min("added_at").alias("added_at"))
+    fresh = _numbered_after(wishlist, _absent(wanted, wishlist))
+    return wishlist.unionByName(fresh.select(*wishlist.columns))
 
 
 def wishlist_to_cart(wishlist: DataFrame, cart: DataFrame, moves: DataFrame):

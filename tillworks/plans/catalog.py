@@ -8,6 +8,7 @@ from tillworks.functions.columns import (NO_CATEGORY, NO_TRACKING, UNCATEGORIZED
                                          status_label)
 from tillworks.plans.reports import raw_product_ratings
 from tillworks.schemas import MONEY_SUM, REVENUE_STATUSES
+from tillworks.session import cut_lineage
 
 
 def catalog_listing(products: DataFrame, categories: DataFrame, reviews: DataFrame,
@@ -104,15 +105,12 @@ def recent_orders(orders: DataFrame, users: DataFrame, n: int = 50) -> DataFrame
     newest = [F.desc("order_date"), F.desc("id")]
 
     def listed(rows):
-        return rows.join(people, "user_id").orderBy(*newest).limit(n)
+        return cut_lineage(rows.join(people, "user_id").orderBy(*newest).limit(n))
 
     page, found = n, listed(head.orderBy(*newest).limit(n))
-    while found.count() < n:
+    while page <= _MAX_CANDIDATES and found.count() < n:
         page *= 16
-        if page > _MAX_CANDIDATES:
-            found = listed(head)
-            break
-        found = listed(head.orderBy(*newest).limit(page))
+        found = listed(head.orderBy(*newest).limit(page) if page <= _MAX_CANDIDATES else head)
     return found.select(
         "id", "order_number", "username", "email", "total_amount",
         dollars("total_amount").alias("total_label"), status_label("status").alias("status_label"),

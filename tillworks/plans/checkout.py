@@ -54,10 +54,11 @@ def place_orders(cart: DataFrame, products: DataFrame, requests: DataFrame, as_o
     and items and cart follow from them. Publish the three under one batch with
     ``sources.snapshots.publish``.
     """
-    lines = cart_lines(cart, products)
     first = (requests.where(is_filled("card_name")).groupBy("user_id")
              .agg(F.min_by(F.struct("request_id", "payment_method", "address"),
                            "request_id").alias("_request")))
+    # only the carts of those who pay are priced
+    lines = cart_lines(cart.join(first.select("user_id"), "user_id", "left_semi"), products)
     address = or_label("_request.address", NO_ADDRESS)
     priced = _quotes(lines).join(first, "user_id").select(
         "user_id", "total_amount", "subtotal", "tax_amount", "shipping_amount",

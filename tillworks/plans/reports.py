@@ -48,14 +48,14 @@ def top_selling_products(products: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def top_selling_products_valid(products: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
-    """The same ranking over items of valid orders only."""
+    """The same ranking over items of valid orders only.
+
+    Items stay partitioned by order from the join through the distinct count, so
+    only the per-product counts move again.
+    """
     valid = orders.where(is_valid_order()).select(F.col("id").alias("order_id"))
-    # one row per order and product, so an order with very many lines shrinks first
-    lines = items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
-    kept = lines.join(valid, "order_id", "left_semi")
-    sold = kept.groupBy(F.col("product_id").alias("id")).agg(
-        F.sum("quantity").alias("total_sold"), _count().alias("times_ordered"))
-    return _rank_products(products, sold)
+    kept = items.join(valid, "order_id", "left_semi")
+    return _rank_products(products, _sold_per_product(kept))
 
 
 def product_ratings(products: DataFrame, reviews: DataFrame) -> DataFrame:

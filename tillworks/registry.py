@@ -258,7 +258,7 @@ def _(s):
 @query("wishlist_after_removals")
 def _(s):
     wrong_owner = F.when(F.col("id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
-    removals = s.wishlist.where(F.col("product_id") < 50).select("id", wrong_owner.alias("user_id"))
+    removals = s.wishlist.select("id", wrong_owner.alias("user_id"))
     return changes.delete_keys(s.wishlist, removals, ["id", "user_id"])
 
 
