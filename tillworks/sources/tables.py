@@ -6,7 +6,8 @@ from tillworks.schemas import GUEST_SESSIONS, SCHEMAS
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    schema = SCHEMAS[name]
+    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
 
 
 def read_guest_sessions(spark: SparkSession, path: str) -> DataFrame:
