@@ -1,13 +1,14 @@
 """Integrity jobs: what the data model declares, checked over whole tables.
 
-Each check groups first (combining before the shuffle) and joins or filters the
-groups, so neither a duplicate key nor an orphan value shared by many rows skews
-the work.
+The reports read each table once for all of its checks. Checked values carry
+the number of their check, are grouped first (combining before the shuffle), and
+only the groups are joined or filtered, so neither a duplicate key nor an orphan
+value shared by many rows skews the work.
 """
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillworks.schemas import (CASE_INSENSITIVE, ENUMS, FOREIGN_KEYS, NOT_NULL, RANGES,
                                UNIQUE_KEYS)
@@ -21,6 +22,27 @@ def _union(parts):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _label(labels, number="check") -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(number) + 1)
+
+
+def _checked_values(tables: dict, checks) -> DataFrame:
+    """One row (check, value) per row and check, without the NULL values.
+
+    ``checks`` lists (table name, value column); a check's number is its place.
+    """
+    parts = []
+    for name in dict.fromkeys(table for table, _ in checks):
+        values = [F.struct(F.lit(i).alias("check"), value.alias("value"))
+                  for i, (table, value) in enumerate(checks) if table == name]
+        parts.append(tables[name].select(F.inline(F.array(*values))))
+    return _union(parts).where(F.col("value").isNotNull())
+
+
+def _grouped(values: DataFrame) -> DataFrame:
+    return values.groupBy("check", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_keys(df: DataFrame, cols) -> DataFrame:
     """Key values held by more than one row; keys with a NULL are exempt."""
     keys = [_comparable(c).alias(c) for c in cols]
@@ -29,14 +51,18 @@ def duplicate_keys(df: DataFrame, cols) -> DataFrame:
 
 
 def duplicate_key_report(tables: dict) -> DataFrame:
-    parts = []
-    for name, keys in UNIQUE_KEYS.items():
-        for key in keys if name in tables else []:
-            text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-            parts.append(duplicate_keys(tables[name], key).select(
-                F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("key_name"),
-                text.alias("key_value"), "n"))
-    return _union(parts)
+    """Duplicate values of every unique key of the given tables."""
+    keys = [(name, key) for name, keys in UNIQUE_KEYS.items() if name in tables for key in keys]
+
+    def text(key):
+        parts = [_comparable(c).cast("string") for c in key]
+        return reduce(lambda a, b: F.concat(a, F.lit("|"), b), parts)
+
+    groups = _grouped(_checked_values(tables, [(name, text(key)) for name, key in keys]))
+    return groups.where(F.col("n") > 1).select(
+        _label([name for name, _ in keys]).alias("table_name"),
+        _label([",".join(key) for _, key in keys]).alias("key_name"),
+        F.col("value").alias("key_value"), "n")
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
@@ -46,44 +72,41 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "id"
 
 
 def orphan_report(tables: dict) -> DataFrame:
-    return _union([
-        orphans(tables[child], fk, tables[parent]).select(
-            F.lit(child).alias("table_name"), F.lit(fk).alias("column_name"),
-            F.col(fk).cast("bigint").alias("missing_id"), "n")
-        for child, fk, parent, _ in FOREIGN_KEYS
-        if child in tables and parent in tables and fk in tables[child].columns])
-
-
-def out_of_domain(df: DataFrame, column: str, allowed=None, low=None, high=None) -> DataFrame:
-    """Values of ``column`` outside its enumeration or range; NULL is allowed."""
-    if allowed is not None:
-        bad = ~F.col(column).isin(*allowed)
-    else:
-        bad = ~F.col(column).between(low, high)
-    return (df.where(bad).groupBy(F.col(column).cast("string").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Orphan values of every foreign key between the given tables."""
+    keys = [(child, fk, parent) for child, fk, parent, _ in FOREIGN_KEYS
+            if child in tables and parent in tables and fk in tables[child].columns]
+    parents = sorted({parent for _, _, parent in keys})
+    held = _grouped(_checked_values(
+        tables, [(child, F.col(fk).cast("bigint")) for child, fk, _ in keys]))
+    known = _union([tables[parent].select(F.lit(i).alias("parent"), F.col("id").alias("value"))
+                    for i, parent in enumerate(parents)])
+    missing = (held.withColumn("parent", _label([parents.index(p) for _, _, p in keys]))
+               .join(known, ["parent", "value"], "left_anti"))
+    return missing.select(
+        _label([child for child, _, _ in keys]).alias("table_name"),
+        _label([fk for _, fk, _ in keys]).alias("column_name"),
+        F.col("value").alias("missing_id"), "n")
 
 
 def domain_report(tables: dict) -> DataFrame:
-    parts = []
-    for name, columns in ENUMS.items():
-        for column, allowed in columns.items() if name in tables else []:
-            parts.append((name, column, out_of_domain(tables[name], column, allowed)))
-    for name, columns in RANGES.items():
-        for column, (low, high) in columns.items() if name in tables else []:
-            parts.append((name, column, out_of_domain(tables[name], column, low=low, high=high)))
-    return _union([
-        df.select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"),
-                  "value", "n")
-        for name, column, df in parts])
+    """Values outside their enumeration or range; NULL is allowed."""
+    rules = [(name, column, ~F.col(column).isin(*allowed))
+             for name, columns in ENUMS.items() if name in tables
+             for column, allowed in columns.items()]
+    rules += [(name, column, ~F.col(column).between(low, high))
+              for name, columns in RANGES.items() if name in tables
+              for column, (low, high) in columns.items()]
+    bad = [(name, F.when(outside, F.col(column).cast("string"))) for name, column, outside in rules]
+    return _grouped(_checked_values(tables, bad)).select(
+        _label([name for name, _, _ in rules]).alias("table_name"),
+        _label([column for _, column, _ in rules]).alias("column_name"), "value", "n")
 
 
 def null_violations(df: DataFrame, cols) -> DataFrame:
     """Per required column the number of NULLs, counted in one pass."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return counts.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in cols
-    ])).alias("_v")).select("_v.*")
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in cols])))
 
 
 def null_report(tables: dict) -> DataFrame:

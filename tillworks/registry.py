@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillworks.operators import changes, ids, inserts, integrity, lookups, validation
-from tillworks.plans import carts, catalog, checkout, fulfilment, reports, stock
+from tillworks.plans import carts, catalog, checkout, fulfilment, reports, routines, stock
 from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
 from tillworks.session import scratch_path, tune
 from tillworks.sources import sessions
@@ -547,3 +547,32 @@ def _(s):
 @query("dq_not_null")
 def _(s):
     return integrity.null_report(s.unchecked)
+
+
+# ---- the stored routines, called from SQL ----
+
+def _sql(s, text):
+    routines.register_tables(
+        {"users": s.users, **{t: getattr(s, t) for t in routines.ROUTINE_TABLES}})
+    routines.register_routines(s.spark)
+    return s.spark.sql(text)
+
+
+@query("sql_order_totals")
+def _(s):
+    return _sql(s, "SELECT id, calculate_order_total(id) AS order_total FROM shop_orders")
+
+
+@query("sql_user_order_counts")
+def _(s):
+    return _sql(s, "SELECT id, get_user_order_count(id) AS order_count FROM shop_users")
+
+
+@query("sql_low_stock_products")
+def _(s):
+    return _sql(s, f"SELECT * FROM get_low_stock_products({LOW_STOCK})")
+
+
+@query("sql_monthly_sales_report")
+def _(s):
+    return _sql(s, f"SELECT * FROM get_monthly_sales_report({REPORT_YEAR}, {REPORT_MONTH})")
