@@ -457,7 +457,33 @@ _BODIES = {
         FROM registrations r
         WHERE reject_reason IS NULL
           AND NOT EXISTS (SELECT 1 FROM users u WHERE lower(u.username) = lower(r.username))
-          AND NOT EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(r.email))""",
+          AND NOT EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(r.email))
+          AND seq = (SELECT min(seq) FROM registrations o
+                     WHERE o.username = r.username AND o.reject_reason IS NULL)""",
+    "products_after_additions": """
+        SELECT id, name, slug, price, category_id, stock_quantity, is_featured, is_active FROM products
+        UNION ALL
+        SELECT (SELECT greatest(100, max(id) + 1) FROM products) - 1 + row_number() OVER (ORDER BY id),
+               name, slug, price, category_id, 0, is_featured, true
+        FROM (SELECT *, replace(lower(name), ' ', '-') AS slug FROM product_feed
+              WHERE reject_reason IS NULL
+              QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY id) = 1)
+        WHERE slug NOT IN (SELECT slug FROM products)""",
+    "categories_after_additions": """
+        SELECT id, name, slug, parent_id, true AS is_active FROM categories
+        UNION ALL
+        SELECT (SELECT max(id) FROM categories) + row_number() OVER (ORDER BY id),
+               name, replace(lower(name), ' ', '-'), NULL, true
+        FROM (SELECT name, min(id) AS id FROM category_feed WHERE name NOT IN ('', '0') GROUP BY name)""",
+    "coupons_after_additions": """
+        SELECT id, code, discount_type, discount_value, CAST(NULL AS INTEGER) AS usage_limit,
+               CAST(NULL AS INTEGER) AS used_count FROM coupons
+        UNION ALL
+        SELECT (SELECT max(id) FROM coupons) + row_number() OVER (ORDER BY id),
+               code, discount_type, discount_value, 1, 0
+        FROM (SELECT * FROM coupon_feed WHERE reject_reason IS NULL
+              QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1)
+        WHERE code NOT IN (SELECT code FROM coupons)""",
     "dq_duplicate_keys": _duplicates([
         ("users", "username", "lower(username)", "raw_users"),
         ("users", "email", "lower(email)", "raw_users"),

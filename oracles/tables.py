@@ -150,7 +150,9 @@ TABLES = {
         FROM part""",
     "coupon_feed": """
         SELECT s_suppkey AS id,
-               CASE s_nationkey WHEN 0 THEN '' WHEN 1 THEN '0' ELSE 'SAVE-' || s_suppkey END AS code,
+               CASE WHEN s_nationkey = 0 THEN '' WHEN s_nationkey = 1 THEN '0'
+                    WHEN s_nationkey < 8 THEN 'SAVE' || s_suppkey
+                    ELSE 'SAVE-' || s_suppkey // 3 END AS code,
                CASE WHEN s_nationkey < 12 THEN 'percentage' WHEN s_nationkey < 20 THEN 'fixed'
                     ELSE 'gift' END AS discount_type,
                CAST(s_acctbal AS DECIMAL(10,2)) AS discount_value, s_nationkey + 30 AS valid_days,
@@ -160,12 +162,13 @@ TABLES = {
         FROM supplier""",
     "category_feed": """
         SELECT s_suppkey AS id,
-               CASE s_nationkey WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '0'
+               CASE s_nationkey WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '0' WHEN 3 THEN 'Shared Shelf'
                                 ELSE 'Home & ' || s_name END AS name
         FROM supplier""",
     "registrations": f"""
         SELECT c_custkey AS seq,
-               CASE WHEN c_nationkey = 0 THEN upper(c_name) ELSE 'new ' || c_custkey END AS username,
+               CASE c_nationkey WHEN 0 THEN upper(c_name) WHEN 7 THEN 'shared ' || c_custkey // 50
+                    ELSE 'new ' || c_custkey END AS username,
                CASE c_nationkey WHEN 1 THEN upper({_EMAIL_OF}) WHEN 2 THEN 'no-at-sign'
                     WHEN 3 THEN 'spaced' || c_custkey || '@example.com'
                     WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN 'a..b@example.com'

@@ -101,14 +101,17 @@ def cascade_delete(tables: dict, parent: str, keys: DataFrame, key: str = "id")
     gone = keys.select(F.col(key).alias("id"))
     if parent in out:
         out[parent] = delete_keys(out[parent], gone, "id")
-    for child, fk, target, action in FOREIGN_KEYS:
-        if target != parent or child not in out:
+    given = [(c, fk, p, action) for c, fk, p, action in FOREIGN_KEYS if c in out]
+    parents = {p for _, _, p, _ in given}
+    # plain children first, so later steps meet fewer rows
+    for child, fk, target, action in sorted(given, key=lambda k: k[0] in parents):
+        if target != parent:
             continue
         if action != CASCADE:
             out[child] = null_out(out[child], fk, gone)
             continue
         as_fk = gone.select(F.col("id").alias(fk))
-        if any(p == child and c in out for c, _, p, _ in FOREIGN_KEYS):
+        if child in parents:
             lost = tables[child].join(as_fk, fk, "left_semi").select("id")
             out = cascade_delete(out, child, lost)
         else:

@@ -78,21 +78,23 @@ def known_parents(rows: DataFrame, fks) -> DataFrame:
     return rows
 
 
-def insert_ignore(table: DataFrame, rows: DataFrame, keys, order: str, fks=()) -> DataFrame:
-    """Insert rows in ``order``, skipping each one that violates a key.
+def accepted_rows(table: DataFrame, rows: DataFrame, keys, order: str, fks=()) -> DataFrame:
+    """The rows that inserting one by one in ``order`` would keep.
 
-    Skipped are rows with an unknown parent, rows colliding with the table, and
-    rows colliding with an earlier row that was itself inserted. Returns the
-    accepted rows appended to the table.
+    Left out are rows with an unknown parent, rows colliding with the table, and
+    rows colliding with an earlier row that was itself kept.
     """
     fresh = known_parents(rows, fks)
     for key in keys:
         fresh = without_collisions(fresh, table, key)
     if len(keys) == 1:
-        accepted = _first_rows(fresh, keys[0], order)
-    else:
-        accepted = _accept_in_rounds(fresh, keys, order)
-    return table.unionByName(accepted.select(*table.columns))
+        return _first_rows(fresh, keys[0], order)
+    return _accept_in_rounds(fresh, keys, order)
+
+
+def insert_ignore(table: DataFrame, rows: DataFrame, keys, order: str, fks=()) -> DataFrame:
+    """The table with the accepted rows appended; the others are skipped."""
+    return table.unionByName(accepted_rows(table, rows, keys, order, fks).select(*table.columns))
 
 
 def _accept_in_rounds(rows: DataFrame, keys, order: str) -> DataFrame:

@@ -78,10 +78,13 @@ def orphan_report(tables: dict) -> DataFrame:
     parents = sorted({parent for _, _, parent in keys})
     held = _grouped(_checked_values(
         tables, [(child, F.col(fk).cast("bigint")) for child, fk, _ in keys]))
-    known = _union([tables[parent].select(F.lit(i).alias("parent"), F.col("id").alias("value"))
-                    for i, parent in enumerate(parents)])
+    known = _union([
+        tables[parent].select(F.lit(i).alias("parent"), F.col("id").alias("value"),
+                              F.lit(True).alias("known"))
+        for i, parent in enumerate(parents)])
+    # an outer join, as an anti join would be moved below the grouping
     missing = (held.withColumn("parent", _label([parents.index(p) for _, _, p in keys]))
-               .join(known, ["parent", "value"], "left_anti"))
+               .join(known, ["parent", "value"], "left").where(F.col("known").isNull()))
     return missing.select(
         _label([child for child, _, _ in keys]).alias("table_name"),
         _label([fk for _, fk, _ in keys]).alias("column_name"),

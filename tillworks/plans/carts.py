@@ -7,6 +7,7 @@ from tillworks.operators.changes import apply_updates, delete_keys
 from tillworks.operators.ids import assign_ids, next_id
 from tillworks.plans.reports import payments_made
 from tillworks.schemas import MONEY_SUM
+from tillworks.session import cut_lineage
 from tillworks.sources.sessions import explode_guest_carts, explode_guest_wishlists
 
 CART_KEY = ["user_id", "product_id"]
@@ -35,9 +36,10 @@ def cart_upsert(cart: DataFrame, adds: DataFrame) -> DataFrame:
     not there before get the next free ids.
     """
     columns = ["id", *CART_KEY, "variant_id", "quantity", "created_at", "updated_at"]
-    added = adds.groupBy(*CART_KEY).agg(
+    # the grouped feed is used for growing and for finding absent lines
+    added = cut_lineage(adds.groupBy(*CART_KEY).agg(
         F.sum(clamp_qty("quantity")).alias("_added"),
-        F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
+        F.min("created_at").alias("_first"), F.max("created_at").alias("_last")))
     grown = cart.join(added, CART_KEY, "left").select(
         "id", *CART_KEY, "variant_id",
         (F.col("quantity") + F.coalesce("_added", F.lit(0))).alias("quantity"),
@@ -55,18 +57,19 @@ def wishlist_add(wishlist: DataFrame, adds: DataFrame) -> DataFrame:
 
     ``adds`` has user_id, product_id and added_at. A stored row is never changed.
     """
-    wanted = adds.groupBy(*CART_KEY).agg(F.min("added_at").alias("added_at"))
+    wanted = cut_lineage(adds.groupBy(*CART_KEY).agg(F.min("added_at").alias("added_at")))
     fresh = _numbered_after(wishlist, _absent(wanted, wishlist))
     return wishlist.unionByName(fresh.select(*wishlist.columns))
 
 
 def wishlist_to_cart(wishlist: DataFrame, cart: DataFrame, moves: DataFrame):
-    """Move pairs to the cart with quantity 1 each; returns (wishlist, cart).
+    """Move pairs to the cart with quantity 1 each; returns (wishlist, cart)."""
+    return delete_keys(wishlist, moves, CART_KEY), cart_with_moves(cart, moves)
 
-    The cart line is added even when the product was not on the wishlist.
-    """
-    adds = moves.select(*CART_KEY, F.lit(1).alias("quantity"), "created_at")
-    return delete_keys(wishlist, moves, CART_KEY), cart_upsert(cart, adds)
+
+def cart_with_moves(cart: DataFrame, moves: DataFrame) -> DataFrame:
+    """The cart after moves; a line is added even if the product was not on the wishlist."""
+    return cart_upsert(cart, moves.select(*CART_KEY, F.lit(1).alias("quantity"), "created_at"))
 
 
 def merge_guest(sessions: DataFrame, cart: DataFrame, wishlist: DataFrame):
@@ -74,10 +77,21 @@ def merge_guest(sessions: DataFrame, cart: DataFrame, wishlist: DataFrame):
 
     Returns (cart, wishlist). ``sessions`` carries logged_in_at.
     """
-    known = sessions.where(F.col("user_id").isNotNull())
-    adds = explode_guest_carts(known).withColumnRenamed("logged_in_at", "created_at")
-    likes = explode_guest_wishlists(known).withColumnRenamed("logged_in_at", "added_at")
-    return cart_upsert(cart, adds), wishlist_add(wishlist, likes)
+    return merge_guest_carts(sessions, cart), merge_guest_wishlists(sessions, wishlist)
+
+
+def _logged_in(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("user_id").isNotNull())
+
+
+def merge_guest_carts(sessions: DataFrame, cart: DataFrame) -> DataFrame:
+    adds = explode_guest_carts(_logged_in(sessions))
+    return cart_upsert(cart, adds.withColumnRenamed("logged_in_at", "created_at"))
+
+
+def merge_guest_wishlists(sessions: DataFrame, wishlist: DataFrame) -> DataFrame:
+    adds = explode_guest_wishlists(_logged_in(sessions))
+    return wishlist_add(wishlist, adds.withColumnRenamed("logged_in_at", "added_at"))
 
 
 def set_cart_quantities(cart: DataFrame, edits: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillworks.operators import changes, ids, inserts, integrity, lookups, validation
-from tillworks.plans import carts, catalog, checkout, fulfilment, reports, routines, stock
+from tillworks.plans import (administration, carts, catalog, checkout, fulfilment, reports,
+                             routines, stock)
 from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
 from tillworks.session import scratch_path, tune
 from tillworks.sources import sessions
@@ -225,22 +226,22 @@ def _(s):
 
 @query("wishlist_move_cart")
 def _(s):
-    return carts.wishlist_to_cart(s.wishlist, s.cart_items, s.wishlist_moves)[1].drop("variant_id")
+    return carts.cart_with_moves(s.cart_items, s.wishlist_moves).drop("variant_id")
 
 
 @query("wishlist_move_remaining")
 def _(s):
-    return carts.wishlist_to_cart(s.wishlist, s.cart_items, s.wishlist_moves)[0]
+    return changes.delete_keys(s.wishlist, s.wishlist_moves, carts.CART_KEY)
 
 
 @query("cart_after_login_merge")
 def _(s):
-    return carts.merge_guest(s.guest_sessions, s.cart_items, s.wishlist)[0].drop("variant_id")
+    return carts.merge_guest_carts(s.guest_sessions, s.cart_items).drop("variant_id")
 
 
 @query("wishlist_after_login_merge")
 def _(s):
-    return carts.merge_guest(s.guest_sessions, s.cart_items, s.wishlist)[1]
+    return carts.merge_guest_wishlists(s.guest_sessions, s.wishlist)
 
 
 @query("cart_after_edits")
@@ -521,14 +522,32 @@ def _(s):
 @query("users_after_registrations")
 def _(s):
     """Registrations that passed both checks, appended with ids and defaults."""
-    good = validation.accepted(validation.validate_registrations(s.registration_feed))
-    free = lookups.registration_conflicts(good, s.users).where(F.col("conflict").isNull())
-    start = ids.next_id(s.users, ID_FLOORS["users"])
-    rows = ids.assign_ids(free.select("seq", "username", "email"), ["seq"], start).drop("seq")
-    return changes.append_with_defaults(s.users, rows, "users", AS_OF).select(
+    return administration.register_users(s.users, s.registration_feed, AS_OF).select(
         "id", "username", "email", "full_name", "role", "is_active", "is_premium", "created_at")
 
 
+@query("products_after_additions")
+def _(s):
+    feed = s.product_feed.withColumnRenamed("id", "seq")
+    return administration.add_products(s.products, feed, AS_OF).select(
+        "id", "name", "slug", "price", "category_id", "stock_quantity", "is_featured", "is_active")
+
+
+@query("categories_after_additions")
+def _(s):
+    feed = s.category_feed.withColumnRenamed("id", "seq")
+    return administration.add_categories(s.categories, feed, AS_OF).select(
+        "id", "name", "slug", "parent_id", "is_active")
+
+
+@query("coupons_after_additions")
+def _(s):
+    feed = s.coupon_feed.withColumnRenamed("id", "seq").drop("valid_days")
+    stored = changes.conform(s.coupons, "coupons")
+    return administration.add_coupons(stored, feed, AS_OF).select(
+        "id", "code", "discount_type", "discount_value", "usage_limit", "used_count")
+
+
 @query("dq_duplicate_keys")
 def _(s):
     return integrity.duplicate_key_report(s.unchecked)

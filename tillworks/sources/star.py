@@ -352,7 +352,9 @@ class StarShop:
         return self.star("supplier").select(
             F.col("s_suppkey").alias("id"),
             F.when(nation == 0, "").when(nation == 1, "0")
-            .otherwise(F.concat(F.lit("save-"), _text("s_suppkey"))).alias("code"),
+            .when(nation < 8, F.concat(F.lit("save"), _text("s_suppkey")))
+            .otherwise(F.concat(F.lit("save-"), F.floor(F.col("s_suppkey") / 3).cast("string")))
+            .alias("code"),
             F.when(nation < 12, "percentage").when(nation < 20, "fixed").otherwise("gift")
             .alias("discount_type"),
             F.col("s_acctbal").cast(MONEY).alias("discount_value"),
@@ -364,6 +366,7 @@ class StarShop:
         return self.star("supplier").select(
             F.col("s_suppkey").alias("id"),
             F.when(nation == 0, "").when(nation == 2, "0")
+            .when(nation == 3, "Shared Shelf")
             .when(nation != 1, F.concat(F.lit("Home & "), F.col("s_name"))).alias("name"))
 
     @cached_property
@@ -373,6 +376,7 @@ class StarShop:
         return self.star("customer").select(
             F.col("c_custkey").alias("seq"),
             F.when(nation == 0, F.upper("c_name"))
+            .when(nation == 7, F.concat(F.lit("shared "), F.floor(F.col("c_custkey") / 50).cast("string")))
             .otherwise(F.concat(F.lit("new "), key)).alias("username"),
             F.when(nation == 1, F.upper(stored)).when(nation == 2, "no-at-sign")
             .when(nation == 3, F.concat(F.lit("  spaced"), key, F.lit("@example.com\t")))
