@@ -136,7 +136,7 @@ _BODIES = {
         WHERE strftime(order_date, '%Y-%m') = '1998-10' AND {_VALID}
         GROUP BY 1""",
     "order_totals": """
-        SELECT o.id, CAST(coalesce(sum(i.quantity * i.price_at_time), 0) AS DECIMAL(10,2)) AS order_total
+        SELECT o.id, CAST(coalesce(sum(i.quantity * i.price_at_time), 0) AS DECIMAL(20,2)) AS order_total
         FROM shop_orders o LEFT JOIN order_items i ON i.order_id = o.id GROUP BY o.id""",
     "user_order_counts": f"""
         SELECT u.id, count(o.id) AS order_count
@@ -278,7 +278,7 @@ _BODIES = {
         FROM placed""",
     "placed_order_items": """
         SELECT o.id AS order_id, c.product_id, c.quantity, c.price AS price_at_time,
-               CAST(c.subtotal AS DECIMAL(10,2)) AS total_price
+               c.subtotal AS total_price
         FROM priced_cart c JOIN placed o ON o.user_id = c.user_id""",
     "cart_after_checkout": """
         SELECT id, user_id, product_id, quantity FROM cart_items

@@ -62,9 +62,9 @@ TABLES = {
                'ORD-' || o_orderkey AS order_number,
                CASE WHEN o_orderkey % 8 IN (3, 4, 5)
                     THEN 'TRK' || (100000 + o_orderkey * 7919 % 900000) END AS tracking_number,
-               CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,
-               CAST(o_orderkey % 900 AS DECIMAL(10,2)) AS tax_amount,
-               CAST(10 * (o_orderkey % 2) AS DECIMAL(10,2)) AS shipping_amount,
+               CAST(o_totalprice AS DECIMAL(20,2)) AS total_amount,
+               CAST(o_orderkey % 900 AS DECIMAL(20,2)) AS tax_amount,
+               CAST(10 * (o_orderkey % 2) AS DECIMAL(20,2)) AS shipping_amount,
                {_STATUSES.format(more='')}[o_orderkey % 8 + 1] AS status,
                ['pending','paid','failed','refunded'][o_orderkey % 4 + 1] AS payment_status,
                o_orderdate AS order_date
@@ -75,7 +75,7 @@ TABLES = {
                CAST(l_quantity AS INTEGER) AS quantity,
                CAST(l_extendedprice AS DECIMAL(10,2)) AS price_at_time,
                CAST(CAST(l_extendedprice AS DECIMAL(10,2)) * CAST(l_quantity AS INTEGER)
-                    AS DECIMAL(10,2)) AS total_price,
+                    AS DECIMAL(20,2)) AS total_price,
                l_linestatus = 'O' AS is_new
         FROM lineitem""",
     "all_reviews": """
@@ -200,11 +200,11 @@ TABLES = {
         FROM cart_items c JOIN products p ON p.id = c.product_id""",
     "quotes": """
         SELECT user_id, subtotal,
-               CAST(subtotal * 0.10 AS DECIMAL(10,2)) AS tax_amount,
-               CAST(fee AS DECIMAL(10,2)) AS shipping_amount,
-               CAST(0 AS DECIMAL(10,2)) AS discount_amount,
-               CAST(subtotal * 1.10 + fee AS DECIMAL(10,2)) AS total_amount
-        FROM (SELECT user_id, CAST(sum(subtotal) AS DECIMAL(10,2)) AS subtotal,
+               CAST(subtotal * 0.10 AS DECIMAL(20,2)) AS tax_amount,
+               CAST(fee AS DECIMAL(20,2)) AS shipping_amount,
+               CAST(0 AS DECIMAL(20,2)) AS discount_amount,
+               CAST(subtotal * 1.10 + fee AS DECIMAL(20,2)) AS total_amount
+        FROM (SELECT user_id, CAST(sum(subtotal) AS DECIMAL(20,2)) AS subtotal,
                      CASE WHEN sum(subtotal) <= 100 THEN 10 ELSE 0 END AS fee
               FROM priced_cart GROUP BY user_id)""",
     # the one request of each user that orders the cart

@@ -8,7 +8,7 @@ from tillworks.functions.columns import NO_ADDRESS, is_filled, or_label, order_n
 from tillworks.operators.changes import at, clear_cart
 from tillworks.operators.ids import assign_ids
 from tillworks.plans.carts import cart_lines
-from tillworks.schemas import ID_FLOORS, MONEY, MONEY_SUM
+from tillworks.schemas import ID_FLOORS, MONEY_SUM
 
 # ---- fixed values: pricing rules of the shop ----
 TAX_RATE = Decimal("0.10")
@@ -26,11 +26,11 @@ def _quotes(lines: DataFrame) -> DataFrame:
     sums = lines.groupBy("user_id").agg(F.sum("subtotal").cast(MONEY_SUM).alias("subtotal"))
     return sums.select(
         "user_id",
-        subtotal.cast(MONEY).alias("subtotal"),
-        tax.cast(MONEY).alias("tax_amount"),
-        fee.cast(MONEY).alias("shipping_amount"),
-        F.lit(DISCOUNT).cast(MONEY).alias("discount_amount"),
-        (subtotal + tax + fee - F.lit(DISCOUNT)).cast(MONEY).alias("total_amount"))
+        subtotal.cast(MONEY_SUM).alias("subtotal"),
+        tax.cast(MONEY_SUM).alias("tax_amount"),
+        fee.cast(MONEY_SUM).alias("shipping_amount"),
+        F.lit(DISCOUNT).cast(MONEY_SUM).alias("discount_amount"),
+        (subtotal + tax + fee - F.lit(DISCOUNT)).cast(MONEY_SUM).alias("total_amount"))
 
 
 def checkout_quotes(cart: DataFrame, products: DataFrame) -> DataFrame:
@@ -72,5 +72,5 @@ def place_orders(cart: DataFrame, products: DataFrame, requests: DataFrame, as_o
     placed = orders.select(F.col("id").alias("order_id"), "user_id")
     items = lines.join(placed, "user_id").select(
         "order_id", "product_id", F.lit(None).cast("bigint").alias("variant_id"), "quantity",
-        F.col("price").alias("price_at_time"), F.col("subtotal").cast(MONEY).alias("total_price"))
+        F.col("price").alias("price_at_time"), F.col("subtotal").alias("total_price"))
     return orders, items, clear_cart(cart, placed)

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillworks.functions.columns import exact_avg, line_total, money_total
-from tillworks.schemas import MONEY, PAYMENT_MADE_STATUSES, VOID_STATUSES
+from tillworks.schemas import MONEY_SUM, PAYMENT_MADE_STATUSES, VOID_STATUSES
 from tillworks.sources.tables import MONTH_COLUMN
 
 
@@ -141,7 +141,7 @@ def order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     totals = items.groupBy(F.col("order_id").alias("id")).agg(
         F.sum(line_total("quantity", "price_at_time")).alias("total"))
     return orders.select("id").join(totals, "id", "left").select(
-        "id", F.coalesce("total", F.lit(0)).cast(MONEY).alias("order_total"))
+        "id", F.coalesce("total", F.lit(0)).cast(MONEY_SUM).alias("order_total"))
 
 
 def user_order_counts(users: DataFrame, orders: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ VIEW_PREFIX = "shop_"
 
 _ROUTINES = """
 CREATE OR REPLACE TEMPORARY FUNCTION calculate_order_total(wanted BIGINT)
-RETURNS DECIMAL(10,2)
+RETURNS DECIMAL(20,2)
 RETURN CAST(coalesce((SELECT sum(i.price_at_time * i.quantity) FROM shop_order_items i
-                      WHERE i.order_id = wanted), 0) AS DECIMAL(10,2));
+                      WHERE i.order_id = wanted), 0) AS DECIMAL(20,2));
 
 CREATE OR REPLACE TEMPORARY FUNCTION get_user_order_count(wanted BIGINT)
 RETURNS BIGINT

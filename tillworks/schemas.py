@@ -8,6 +8,8 @@ the Parquet scan whatever the session time zone is.
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
+# Totals of many lines get more digits, so that one huge cart or order cannot
+# overflow and fail the batch it is in.
 MONEY_SUM = T.DecimalType(20, 2)
 
 _LONG, _INT, _STR = T.LongType(), T.IntegerType(), T.StringType()
@@ -37,13 +39,13 @@ SCHEMAS = {
         additional_price=MONEY, stock_quantity=_INT, sku=_STR, image_url=_STR),
     "orders": _struct(
         id=_LONG, user_id=_LONG, order_number=_STR, tracking_number=_STR,
-        total_amount=MONEY, subtotal=MONEY, tax_amount=MONEY, shipping_amount=MONEY,
-        discount_amount=MONEY, status=_STR, payment_status=_STR, payment_method=_STR,
+        total_amount=MONEY_SUM, subtotal=MONEY_SUM, tax_amount=MONEY_SUM,
+        shipping_amount=MONEY_SUM, discount_amount=MONEY_SUM, status=_STR, payment_status=_STR, payment_method=_STR,
         shipping_address=_STR, billing_address=_STR, notes=_STR, order_date=_TS,
         updated_at=_TS),
     "order_items": _struct(
         id=_LONG, order_id=_LONG, product_id=_LONG, variant_id=_LONG, quantity=_INT,
-        price_at_time=MONEY, total_price=MONEY),
+        price_at_time=MONEY, total_price=MONEY_SUM),
     "reviews": _struct(
         id=_LONG, product_id=_LONG, user_id=_LONG, rating=_INT, title=_STR,
         comment=_STR, is_approved=_BOOL, created_at=_TS, updated_at=_TS),

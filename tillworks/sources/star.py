@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillworks.functions.columns import slugify, tracking_code
-from tillworks.schemas import GUEST_SESSIONS, MONEY, ORDER_STATUSES, PAYMENT_STATUSES
+from tillworks.schemas import GUEST_SESSIONS, MONEY, MONEY_SUM, ORDER_STATUSES, PAYMENT_STATUSES
 
 _STAR = {
     "region": "r_regionkey int, r_name string",
@@ -144,18 +144,18 @@ class StarShop:
     @cached_property
     def orders(self) -> DataFrame:
         key = F.col("o_orderkey")
-        total = F.col("o_totalprice").cast(MONEY)
-        tax = (key % 900).cast(MONEY)
-        fee = F.when(key % 2 == 1, F.lit(10)).otherwise(F.lit(0)).cast(MONEY)
+        total = F.col("o_totalprice").cast(MONEY_SUM)
+        tax = (key % 900).cast(MONEY_SUM)
+        fee = F.when(key % 2 == 1, F.lit(10)).otherwise(F.lit(0)).cast(MONEY_SUM)
         status = _element(ORDER_STATUSES, key % len(ORDER_STATUSES))
         return self.star("orders").select(
             key.alias("id"), F.when(key % 41 != 0, F.col("o_custkey")).alias("user_id"),
             F.concat(F.lit("ORD-"), _text("o_orderkey")).alias("order_number"),
             F.when(status.isin("shipped", "delivered", "completed"),
                    tracking_code(key)).alias("tracking_number"),
-            total.alias("total_amount"), (total - tax - fee).cast(MONEY).alias("subtotal"),
+            total.alias("total_amount"), (total - tax - fee).cast(MONEY_SUM).alias("subtotal"),
             tax.alias("tax_amount"), fee.alias("shipping_amount"),
-            F.lit(0).cast(MONEY).alias("discount_amount"), status.alias("status"),
+            F.lit(0).cast(MONEY_SUM).alias("discount_amount"), status.alias("status"),
             _element(PAYMENT_STATUSES, key % len(PAYMENT_STATUSES)).alias("payment_status"),
             F.lit("credit_card").alias("payment_method"),
             _null("string").alias("shipping_address"), _null("string").alias("billing_address"),
@@ -169,7 +169,7 @@ class StarShop:
             F.when(F.col("l_linenumber") % 2 == 0,
                    F.col("l_partkey") * 3 + F.col("l_linenumber") % 3).alias("variant_id"),
             quantity.alias("quantity"), price.alias("price_at_time"),
-            (price * quantity).cast(MONEY).alias("total_price"))
+            (price * quantity).cast(MONEY_SUM).alias("total_price"))
 
     @cached_property
     def order_items(self) -> DataFrame:
