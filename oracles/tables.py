@@ -141,8 +141,8 @@ TABLES = {
     "product_feed": """
         SELECT p_partkey AS id,
                CASE p_size WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN NULL ELSE p_name END AS name,
-               CASE p_size WHEN 5 THEN 0 WHEN 6 THEN -CAST(p_retailprice AS DECIMAL(10,2))
-                           WHEN 7 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(10,2)) END AS price,
+               CAST(CASE p_size WHEN 5 THEN 0 WHEN 6 THEN -p_retailprice WHEN 7 THEN NULL
+                                ELSE p_retailprice END AS DECIMAL(10,2)) AS price,
                CASE WHEN p_size < 40 THEN CAST(substr(p_brand, 7) AS BIGINT) END AS category_id,
                CASE WHEN p_type <> 'SMALL' THEN p_type = 'PROMO' END AS is_featured,
                CASE WHEN p_size IN (1, 2, 3) THEN 'name' WHEN p_size IN (5, 6, 7) THEN 'price'

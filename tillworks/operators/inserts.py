@@ -85,10 +85,11 @@ def accepted_rows(table: DataFrame, rows: DataFrame, keys, order: str, fks=()) -
     rows colliding with an earlier row that was itself kept.
     """
     fresh = known_parents(rows, fks)
+    if len(keys) == 1:
+        # the feed shrinks to one row per key before it meets the table
+        return without_collisions(_first_rows(fresh, keys[0], order), table, keys[0])
     for key in keys:
         fresh = without_collisions(fresh, table, key)
-    if len(keys) == 1:
-        return _first_rows(fresh, keys[0], order)
     return _accept_in_rounds(fresh, keys, order)
 
 

@@ -41,9 +41,10 @@ def with_month(orders: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, root: str, name: str) -> None:
     """Write a table's files; orders go into one folder per month."""
     if name == "orders":
-        # a month is spread over several tasks, so one busy month is no hot spot
-        (with_month(df).write.mode("overwrite").partitionBy(MONTH_COLUMN)
-         .parquet(f"{root}/{name}"))
+        # rows are gathered by month so that files stay few, and a month with many
+        # rows is split over several tasks at run time
+        (with_month(df).hint("rebalance", MONTH_COLUMN)
+         .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(f"{root}/{name}"))
     else:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
@@ -54,8 +55,15 @@ def read_orders_by_month(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/orders")
 
 
-def save_bucketed(df: DataFrame, table: str, name: str, buckets: int) -> None:
-    """Save a table in the catalog, bucketed and sorted on its join key."""
+def save_bucketed(df: DataFrame, table: str, name: str, buckets: int, splits: int = 4) -> None:
+    """Save a table in the catalog, bucketed on its join key.
+
+    Rows are gathered by bucket first, so that there are few files; each bucket is
+    split over several tasks by a hash of the whole row, so a hot key does not
+    land in one of them.
+    """
     key = BUCKET_KEYS[name]
-    (df.write.mode("overwrite").format("parquet")
-     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
+    split = F.pmod(F.xxhash64(*df.columns), F.lit(splits))
+    (df.repartition(buckets * splits, bucket, split)
+     .write.mode("overwrite").format("parquet").bucketBy(buckets, key).saveAsTable(table))

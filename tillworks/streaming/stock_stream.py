@@ -44,12 +44,18 @@ def start_stock_stream(spark: SparkSession, source: str, out: str, checkpoint: s
     return writer.start()
 
 
-def read_movements(spark: SparkSession, out: str, kind: str) -> DataFrame:
-    """Movements of all finished batches, summed per id."""
+def read_movements(spark: SparkSession, out: str, kind: str, after_batch: int = -1) -> DataFrame:
+    """Movements of the finished batches after ``after_batch``, summed per id.
+
+    Once a stock snapshot up to some batch is stored, only the folders of later
+    batches need to be read.
+    """
     return (spark.read.schema(f"{MOVEMENT_SCHEMA}, batch_id bigint").parquet(out)
-            .where(F.col("kind") == kind).groupBy("id").agg(F.sum("taken").alias("taken")))
+            .where((F.col("batch_id") > after_batch) & (F.col("kind") == kind))
+            .groupBy("id").agg(F.sum("taken").alias("taken")))
 
 
-def current_stock(spark: SparkSession, stocked: DataFrame, out: str, kind: str) -> DataFrame:
-    """Stock of products or variants after every finished batch."""
-    return apply_movements(stocked, read_movements(spark, out, kind))
+def current_stock(spark: SparkSession, stocked: DataFrame, out: str, kind: str,
+                  after_batch: int = -1) -> DataFrame:
+    """Stock of products or variants: a snapshot less every movement since."""
+    return apply_movements(stocked, read_movements(spark, out, kind, after_batch))
