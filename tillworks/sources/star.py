@@ -180,36 +180,34 @@ class StarShop:
         """The lines still open, taken as just inserted."""
         return self._items(self.star("lineitem").where(F.col("l_linestatus") == "O"))
 
-    def _reviews(self, *kinds) -> DataFrame:
+    @staticmethod
+    def _as_reviews(events: DataFrame) -> DataFrame:
         e = F.col("event_id")
-        return self._events(*kinds).select(
+        return events.select(
             e.alias("id"), F.col("k").alias("product_id"), "user_id",
             F.when(e % 29 != 0, (e % 5 + 1).cast("int")).alias("rating"),
             F.concat(F.lit("Review "), _text("event_id")).alias("title"),
             _null("string").alias("comment"), (e % 3 != 0).alias("is_approved"),
             F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
 
-    @staticmethod
-    def _first_per_pair(rows: DataFrame) -> DataFrame:
-        cols = [c for c in rows.columns if c not in ("product_id", "user_id")]
-        return (rows.groupBy("product_id", "user_id")
-                .agg(F.min_by(F.struct(*cols), "id").alias("_r"))
-                .select(*[F.col(c) if c in ("product_id", "user_id") else F.col("_r")[c].alias(c)
-                          for c in rows.columns]))
+    def _first_reviews(self, *kinds) -> DataFrame:
+        first = self._events(*kinds).groupBy("k", "user_id").agg(
+            F.min_by("ts", "event_id").alias("ts"), F.min("event_id").alias("event_id"))
+        return self._as_reviews(first)
 
     @cached_property
     def reviews(self) -> DataFrame:
         """One review per product and user, the earliest one."""
-        return self._first_per_pair(self._reviews("view", "error"))
+        return self._first_reviews("view", "error")
 
     @cached_property
     def stored_reviews(self) -> DataFrame:
-        return self._first_per_pair(self._reviews("view"))
+        return self._first_reviews("view")
 
     @cached_property
     def review_feed(self) -> DataFrame:
         """Incoming reviews, some of unknown products or users."""
-        return self._reviews("error").withColumns({
+        return self._as_reviews(self._events("error")).withColumns({
             "product_id": F.when(F.col("id") % 23 == 0, -1 - F.col("product_id"))
             .otherwise(F.col("product_id")),
             "user_id": F.when(F.col("id") % 19 == 0, -1 - F.col("user_id"))
