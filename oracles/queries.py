@@ -1,6 +1,7 @@
 """SQL for every query, over the tables of ``oracles.tables``."""
 
 from oracles.tables import with_tables
+from tillworks.plans.fulfilment import SHIPPED_LINE, STATUS_LINES
 
 _ZERO = "CAST(0 AS BIGINT)"
 _TRACK = "'TRK' || (100000 + {0} * 7919 % 900000)"
@@ -47,6 +48,10 @@ _RECENT = f"""
     ORDER BY o.order_date DESC, o.id DESC LIMIT """
 
 
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _upserted(adds):
     """A cart after additive adds, new lines numbered after the stored ones."""
     return f"""
@@ -314,12 +319,10 @@ _BODIES = {
                '$' || {_MONEY.format('o.total_amount')} AS total_label,
                CASE c.status
                    WHEN 'shipped' THEN 'Tracking Number: ' || {_TRACK.format('c.order_id')}
-                        || '. Your order is on its way! Estimated delivery: 3-5 business days.'
-                   WHEN 'paid' THEN '✅ Payment confirmed! We''re processing your order.'
-                   WHEN 'cancelled' THEN '⚠️ Your order has been cancelled. '
-                        || 'Please contact support if this was a mistake.'
-                   WHEN 'completed' THEN '🎉 Thank you for shopping with us! '
-                        || 'We hope you enjoy your purchase.' END AS status_line
+                        || '. {SHIPPED_LINE}'
+                   WHEN 'paid' THEN {_quoted(STATUS_LINES['paid'])}
+                   WHEN 'cancelled' THEN {_quoted(STATUS_LINES['cancelled'])}
+                   WHEN 'completed' THEN {_quoted(STATUS_LINES['completed'])} END AS status_line
         FROM accepted_changes c
         JOIN shop_orders o ON o.id = c.order_id JOIN users u ON u.id = o.user_id""",
     # ---- bulk changes ----

@@ -132,6 +132,36 @@ def test_a_user_with_a_third_of_all_orders_is_split(spark, shop):
         assert summary.agg(F.sum("total_items")).first()[0] == 120000
 
 
+def test_deleting_users_splits_the_orders_of_a_hot_user(spark, shop):
+    orders = _skewed_orders(spark)
+    gone = spark.range(5, 9).union(spark.range(7, 8))
+    with settings(spark, a=NO_BROADCAST, b=SMALL_PARTITIONS):
+        kept = changes.null_out(orders, "user_id", gone)
+        assert "SortMergeJoin(skew=true)" in final_plan(kept)
+        assert kept.count() == 30000
+        assert kept.where("user_id BETWEEN 5 AND 8").count() == 0
+        lost = orders.where("user_id BETWEEN 5 AND 8 OR user_id IS NULL").count()
+        assert kept.where("user_id IS NULL").count() == lost
+        left = changes.delete_children(orders, "user_id", changes._stored_keys(gone, "id"))
+        assert "SortMergeJoin(skew=true)" in final_plan(left)
+        assert left.count() == 30000 - lost + 10000
+
+
+def test_paying_splits_a_cart_with_a_third_of_all_lines(spark, shop):
+    cart = spark.range(0, 60000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1500).cast("bigint").alias("user_id"),
+        (F.col("id") % 2000).alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
+        F.lit(1).alias("quantity"))
+    requests = shop.users.select(
+        F.col("id").alias("request_id"), F.col("id").alias("user_id"), F.lit("Card").alias("card_name"),
+        F.lit(None).cast("string").alias("payment_method"), "address")
+    with settings(spark, a=NO_BROADCAST, b=SMALL_PARTITIONS):
+        orders, items, left = checkout.place_orders(cart, shop.products, requests, AS_OF)
+        assert "SortMergeJoin(skew=true)" in final_plan(items)
+        assert (orders.count(), items.count(), left.count()) == (1000, 60000, 0)
+        assert items.agg(F.sum("total_price")).first()[0] == orders.agg(F.sum("subtotal")).first()[0]
+
+
 def test_a_product_in_a_third_of_all_carts_is_split(spark, shop):
     cart = spark.range(0, 60000, 1, 8).select(
         "id", (F.col("id") % 5000).alias("user_id"),

@@ -8,6 +8,7 @@ large share of the feed never lands whole in one task.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillworks.schemas import CASCADE, DEFAULTS, FOREIGN_KEYS, NOW, SCHEMAS
+from tillworks.session import cut_lineage
 
 
 def _names(cols):
@@ -67,13 +68,27 @@ def apply_toggles(table: DataFrame, toggles: DataFrame, col: str, key="id", orde
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Drop the rows whose key (or key and owner) occurs in ``keys``."""
-    return table.join(keys.select(*_names(on)), _names(on), "left_anti")
+    """Drop the rows whose key (or key and owner) occurs in ``keys``.
+
+    For feeds against a table that holds each key once: a key repeated in the
+    feed is reduced to one row before the shuffle.
+    """
+    return table.join(keys.select(*_names(on)).distinct(), _names(on), "left_anti")
+
+
+def delete_children(child: DataFrame, fk: str, parents: DataFrame, key: str = "id") -> DataFrame:
+    """Drop the rows pointing at one of ``parents``, a stored set of unique keys.
+
+    Many rows may point at one parent. The keys go into the join as they are read,
+    as adaptive execution splits a hot key only where both inputs come straight
+    from a shuffle.
+    """
+    return child.join(parents.select(F.col(key).alias(fk)), fk, "left_anti")
 
 
 def clear_cart(cart: DataFrame, buyers: DataFrame) -> DataFrame:
-    """Empty the cart of every buyer."""
-    return delete_keys(cart, buyers, "user_id")
+    """Empty the cart of every buyer; ``buyers`` names each user once."""
+    return delete_children(cart, "user_id", buyers, "user_id")
 
 
 def deletable_users(requests: DataFrame) -> DataFrame:
@@ -84,7 +99,16 @@ def deletable_users(requests: DataFrame) -> DataFrame:
 
 def null_out(child: DataFrame, fk: str, keys: DataFrame, key: str = "id") -> DataFrame:
     """Set ``fk`` to NULL where it points at one of ``keys``."""
-    gone = keys.select(F.col(key).alias(fk)).distinct().withColumn("_gone", F.lit(True))
+    return _null_children(child, fk, _stored_keys(keys, key))
+
+
+def _stored_keys(keys: DataFrame, key: str) -> DataFrame:
+    """Unique keys, written once: they meet several tables, see delete_children."""
+    return cut_lineage(keys.select(F.col(key).alias("id")).distinct())
+
+
+def _null_children(child: DataFrame, fk: str, parents: DataFrame) -> DataFrame:
+    gone = parents.select(F.col("id").alias(fk), F.lit(True).alias("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col(fk)).alias(fk)
     return child.join(gone, fk, "left").select(
         *[kept if c == fk else F.col(c) for c in child.columns])
@@ -98,9 +122,9 @@ def cascade_delete(tables: dict, parent: str, keys: DataFrame, key: str = "id")
     followed in turn.
     """
     out = dict(tables)
-    gone = keys.select(F.col(key).alias("id"))
+    gone = _stored_keys(keys, key)
     if parent in out:
-        out[parent] = delete_keys(out[parent], gone, "id")
+        out[parent] = delete_children(out[parent], "id", gone)
     given = [(c, fk, p, action) for c, fk, p, action in FOREIGN_KEYS if c in out]
     parents = {p for _, _, p, _ in given}
     # plain children first, so later steps meet fewer rows
@@ -108,14 +132,13 @@ def cascade_delete(tables: dict, parent: str, keys: DataFrame, key: str = "id")
         if target != parent:
             continue
         if action != CASCADE:
-            out[child] = null_out(out[child], fk, gone)
-            continue
-        as_fk = gone.select(F.col("id").alias(fk))
-        if child in parents:
+            out[child] = _null_children(out[child], fk, gone)
+        elif child in parents:
+            as_fk = gone.select(F.col("id").alias(fk))
             lost = tables[child].join(as_fk, fk, "left_semi").select("id")
             out = cascade_delete(out, child, lost)
         else:
-            out[child] = delete_keys(out[child], as_fk, fk)
+            out[child] = delete_children(out[child], fk, gone)
     return out
 
 

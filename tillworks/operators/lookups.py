@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tillworks.functions.columns import ALL_PRODUCTS, or_label
+from tillworks.session import cut_lineage
 
 
 def lookup(table: DataFrame, keys: DataFrame, on="id") -> DataFrame:
     """The rows of ``table`` whose key occurs in ``keys``."""
-    return table.join(keys.select(on), on, "left_semi").select(*table.columns)
+    return table.join(keys.select(on).distinct(), on, "left_semi").select(*table.columns)
 
 
 def registration_conflicts(feed: DataFrame, users: DataFrame) -> DataFrame:
@@ -17,8 +18,13 @@ def registration_conflicts(feed: DataFrame, users: DataFrame) -> DataFrame:
     Two equi joins replace the either-or probe, which would be a nested loop.
     """
     def taken(column, flag):
-        return (users.select(F.lower(column).alias(f"_{column}")).distinct()
-                .withColumn(flag, F.lit(True)))
+        name = f"_{column}"
+        wanted = feed.select(F.lower(column).alias(name)).distinct()
+        stored = users.select(F.lower(column).alias(name))
+        # at most one row per value in the feed, written once, so that the join of
+        # the whole feed can split a value shared by many of its rows
+        found = cut_lineage(stored.join(wanted, name, "left_semi").distinct())
+        return found.withColumn(flag, F.lit(True))
 
     probed = (
         feed.withColumns({"_username": F.lower("username"), "_email": F.lower("email")})

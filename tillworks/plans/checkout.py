@@ -9,6 +9,7 @@ from tillworks.operators.changes import at, clear_cart
 from tillworks.operators.ids import assign_ids
 from tillworks.plans.carts import cart_lines
 from tillworks.schemas import ID_FLOORS, MONEY_SUM
+from tillworks.session import cut_lineage
 
 # ---- fixed values: pricing rules of the shop ----
 TAX_RATE = Decimal("0.10")
@@ -54,9 +55,11 @@ def place_orders(cart: DataFrame, products: DataFrame, requests: DataFrame, as_o
     and items and cart follow from them. Publish the three under one batch with
     ``sources.snapshots.publish``.
     """
-    first = (requests.where(is_filled("card_name")).groupBy("user_id")
-             .agg(F.min_by(F.struct("request_id", "payment_method", "address"),
-                           "request_id").alias("_request")))
+    # one row per paying user, written once: it selects carts and fills orders
+    first = cut_lineage(
+        requests.where(is_filled("card_name")).groupBy("user_id")
+        .agg(F.min_by(F.struct("request_id", "payment_method", "address"),
+                      "request_id").alias("_request")))
     # only the carts of those who pay are priced
     lines = cart_lines(cart.join(first.select("user_id"), "user_id", "left_semi"), products)
     address = or_label("_request.address", NO_ADDRESS)

@@ -123,7 +123,7 @@ def _(s):
 @query("products_lookup")
 def _(s):
     return lookups.lookup(s.products.select("id", "name", "price", "stock_quantity"),
-                          s.new_order_items.select(F.col("product_id").alias("id")).distinct())
+                          s.new_order_items.select(F.col("product_id").alias("id")))
 
 
 @query("admin_products")
