@@ -39,7 +39,7 @@ from tillworks.session import cut_lineage
 
 LENGTH = 200
 GRAM = 48
-BITS = 1 << 26
+BITS = 1 << 23
 UNIT_CONTEXTS = 256
 _STARTS = LENGTH - GRAM + 1  # grams in a string
 _RUN_LIMIT = 2 * _STARTS  # longer runs, in periodic text, are cut
@@ -227,23 +227,39 @@ def refine(contexts, groups, copies):
 
 
 def _refine_units(batches):
-    """Read units in consecutive rows; settle each, and name strings of buckets with several.
+    """Read units in consecutive rows and settle each.
 
-    Rows: bucket, context, start, string. A null string: the string at that start repeats.
+    Rows: bucket, context, first, last, string. A null string: the strings from first to last
+    repeat within the unit. Otherwise, from buckets of several units, the string of one
+    start that is alone in its unit, or, with no context, one that repeats within it.
     """
+    names = ["bucket", "context", "first", "last", "string"]
+
     def settle(rows):
         bucket, context, copies, unit, units, contexts = zip(*rows)
         bucket, context, unit, units = (np.array(x, np.int64) for x in (bucket, context, unit,
                                                                         units))
-        change = np.append(False, (np.diff(bucket) != 0) | (np.diff(unit) != 0))
-        owner, start, repeats, string = refine(contexts, np.cumsum(change), copies)
+        group = np.cumsum(np.append(False, (np.diff(bucket) != 0) | (np.diff(unit) != 0)))
+        owner, start, repeats, string = refine(contexts, group, copies)
+        start = start.astype(np.int32)
+        follows = np.append(False, (owner[1:] == owner[:-1]) & repeats[:-1])
+        first = np.flatnonzero(repeats & ~follows)
+        last = np.flatnonzero(repeats & ~np.append(follows[1:] & repeats[1:], False))
+        own = owner[first]
+        yield pa.record_batch([bucket[own], context[own], start[first], start[last],
+                               pa.nulls(len(own), pa.int64())], names)
         several = units[owner] > 1
-        for where, names in ((repeats, False), (several, True)):
-            own = owner[where]
-            yield pa.record_batch(
-                [bucket[own], context[own], start[where].astype(np.int32),
-                 pa.array(string[where], mask=np.full(len(own), not names))],
-                ["bucket", "context", "start", "string"])
+        alone = np.flatnonzero(several & ~repeats)
+        own = owner[alone]
+        yield pa.record_batch([bucket[own], context[own], start[alone], start[alone],
+                               string[alone]], names)
+        shown = np.flatnonzero(several & repeats)
+        order = shown[np.lexsort((string[shown], group[owner[shown]]))]
+        same = (np.diff(string[order]) == 0) & (np.diff(group[owner[order]]) == 0)
+        order = order[np.append(True, ~same)] if len(order) else order
+        none = pa.nulls(len(order), pa.int64())
+        yield pa.record_batch([bucket[owner[order]], none, none.cast(pa.int32()),
+                               none.cast(pa.int32()), string[order]], names)
 
     waiting, size = [], 0
     for batch in batches:
@@ -293,25 +309,24 @@ def spans(keyed: DataFrame) -> DataFrame:
     settled = cut_lineage(
         fetched.repartition(F.col("bucket"), F.col("unit")).sortWithinPartitions(*order)
         .mapInArrow(_once, fetched.schema)
-        .mapInArrow(_refine_units, "bucket bigint, context bigint, start int, string bigint"))
+        .mapInArrow(_refine_units, "bucket bigint, context bigint, first int, last int, "
+                                   "string bigint"))
     named = settled.where("string is not null")
     across = cut_lineage(named.groupBy("bucket", "string").agg(
         F.count("*").alias("n")).where("n > 1").select("bucket", "string"))
-    starts = settled.where("string is null").select("bucket", "context", "start").unionByName(
-        named.join(across, ["bucket", "string"]).select("bucket", "context", "start"))
-    partly = starts.groupBy("bucket", "context").agg(
-        F.sort_array(F.collect_set("start")).alias("at"))
+    part = F.struct(F.col("first").alias("from"), F.col("last").alias("to"))
+    partly = settled.where("string is null").select("bucket", "context", part.alias("part")
+                                                    ).unionByName(
+        named.where("context is not null").join(across, ["bucket", "string"]).select(
+            "bucket", "context", part.alias("part"))).groupBy("bucket", "context").agg(
+        F.collect_set("part").alias("parts"))
+    whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")))
     repeated = cut_lineage(
         contexts.select("bucket", "context", "copies", "starts").join(
             partly, ["bucket", "context"], "left")
-        .where("copies > 1 or at is not null")
-        .select("bucket", "context", F.expr(
-            "if(copies > 1, array(named_struct('from', 0, 'to', starts - 1)), "
-            "aggregate(at, cast(array() as array<struct<from: int, to: int>>), (acc, x) -> "
-            "if(size(acc) > 0 and element_at(acc, -1).to = x - 1, "
-            "concat(slice(acc, 1, size(acc) - 1), "
-            "array(named_struct('from', element_at(acc, -1).from, 'to', x))), "
-            "concat(acc, array(named_struct('from', x, 'to', x)))))) as parts")))
+        .where("copies > 1 or parts is not null")
+        .select("bucket", "context", F.when(F.col("copies") > 1, whole).otherwise(
+            F.col("parts")).alias("parts")))
     marked = rows.join(repeated, ["bucket", "context"]).select("key", F.explode(F.transform(
         "parts", lambda p: F.struct((F.col("first") + p["from"]).alias("begin"),
                                     (F.col("first") + p["to"] + LENGTH).alias("end")))
