@@ -15,7 +15,8 @@ far more than the corpus, so buckets are made and refined in this order:
    pairs of ranks, a position's own and that of the position 48, 96 and then 152 further on,
    are sorted and ranked again, each round reusing the ranks of the last. The final ranks
    name 200-byte strings. Buckets of many contexts are dealt out over several units; what
-   meets only across units is settled by a grouping on the string's hash.
+   meets only across units is settled by grouping strings by hash, but only those whose
+   core, the part near the least gram, occurs in another unit.
 
 Texts are moved twice, and only those of documents that a bounded bit table (at most
 ``BITS`` bits) does not rule out: once for contexts, once to cut the removed bytes out.
@@ -41,6 +42,7 @@ LENGTH = 200
 GRAM = 48
 BITS = 1 << 23
 UNIT_CONTEXTS = 256
+CORE_STEP = 16
 _STARTS = LENGTH - GRAM + 1  # grams in a string
 _RUN_LIMIT = 2 * _STARTS  # longer runs, in periodic text, are cut
 _SLAB = 1 << 20
@@ -184,6 +186,13 @@ def _fetch_contexts(batches):
                 ["bucket", "context", "copies", "unit", "units", "bytes"])
 
 
+def _changes(*columns):
+    """Where rows of sorted columns differ from the row before."""
+    if not len(columns[0]):
+        return np.empty(0, bool)
+    return np.append(True, np.any([np.diff(c) != 0 for c in columns], axis=0))
+
+
 def _ranked(*ids):
     """Ranks of tuples of ids: equal tuples share a rank, and ranks follow their order."""
     key = ids[0].astype(np.int64)
@@ -192,12 +201,12 @@ def _ranked(*ids):
     return np.unique(key, return_inverse=True)[1].reshape(-1)
 
 
-def refine(contexts, groups, copies):
+def refine(contexts, groups, copies, buckets):
     """Which strings of the contexts of each group repeat within the group.
 
-    ``contexts`` are byte strings of 200 bytes at least, ``groups`` their groups' numbers and
-    ``copies`` how often each occurs. Gives (context index, start) of the strings, whether
-    each repeats, and each string's hash.
+    ``contexts`` are byte strings of 200 bytes at least, ``groups`` their groups' numbers,
+    ``copies`` how often each occurs and ``buckets`` their buckets. Gives (context index,
+    start) of the strings, whether each repeats, and each string's hash and core.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -209,7 +218,9 @@ def refine(contexts, groups, copies):
         return ranges_index(begin, count), count
 
     at, count = positions(GRAM)
-    grams = np.unique(hashing.of(at, at + GRAM), return_inverse=True)[1].reshape(-1)
+    hashes = hashing.of(at, at + GRAM)
+    least = at[hashes == np.repeat(buckets.view(np.uint64), count)]
+    grams = np.unique(hashes, return_inverse=True)[1].reshape(-1)
     rank[at] = _ranked(np.repeat(groups, count), grams)
     gram_rank, width = rank.copy(), GRAM
     while 2 * width <= LENGTH:  # twice the width: the ranks of the last round, and further on
@@ -223,43 +234,59 @@ def refine(contexts, groups, copies):
         final = rank[at]
     owner = np.repeat(np.arange(len(contexts)), count)
     met = np.bincount(final, weights=np.asarray(copies, float)[owner])
-    return owner, at - begin[owner], met[final] > 1, hashing.of(at, at + LENGTH).view(np.int64)
+    # a core is the part that a string shares with all that hold the least gram about there
+    anchor = least[np.searchsorted(least, at)]
+    step = (anchor - at) // CORE_STEP
+    core = hashing.of(anchor - step * CORE_STEP, anchor - step * CORE_STEP + LENGTH - CORE_STEP + 1)
+    core += step.astype(np.uint64) * np.uint64(_Hashing.BASE)
+    return (owner, at - begin[owner], met[final] > 1,
+            hashing.of(at, at + LENGTH).view(np.int64), core.view(np.int64))
 
 
 def _refine_units(batches):
     """Read units in consecutive rows and settle each.
 
-    Rows: bucket, context, first, last, string. A null string: the strings from first to last
-    repeat within the unit. Otherwise, from buckets of several units, the string of one
-    start that is alone in its unit, or, with no context, one that repeats within it.
+    Rows with bucket, context, first, last: the strings from first to last repeat within the
+    unit. Rows with bucket, core, items, from buckets of several units: strings with that
+    core, each with its context and start if alone in the unit, or once without if not.
     """
-    names = ["bucket", "context", "first", "last", "string"]
+    names = ["bucket", "context", "first", "last", "core", "items"]
+    item = pa.struct([("context", pa.int64()), ("start", pa.int32()), ("string", pa.int64())])
 
     def settle(rows):
         bucket, context, copies, unit, units, contexts = zip(*rows)
         bucket, context, unit, units = (np.array(x, np.int64) for x in (bucket, context, unit,
                                                                         units))
         group = np.cumsum(np.append(False, (np.diff(bucket) != 0) | (np.diff(unit) != 0)))
-        owner, start, repeats, string = refine(contexts, group, copies)
-        start = start.astype(np.int32)
+        owner, start, repeats, string, core = refine(contexts, group, copies, bucket)
         follows = np.append(False, (owner[1:] == owner[:-1]) & repeats[:-1])
         first = np.flatnonzero(repeats & ~follows)
         last = np.flatnonzero(repeats & ~np.append(follows[1:] & repeats[1:], False))
-        own = owner[first]
-        yield pa.record_batch([bucket[own], context[own], start[first], start[last],
-                               pa.nulls(len(own), pa.int64())], names)
+        own, n = owner[first], len(first)
+        yield pa.record_batch(
+            [bucket[own], context[own], start[first].astype(np.int32),
+             start[last].astype(np.int32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(item))],
+            names)
         several = units[owner] > 1
-        alone = np.flatnonzero(several & ~repeats)
-        own = owner[alone]
-        yield pa.record_batch([bucket[own], context[own], start[alone], start[alone],
-                               string[alone]], names)
+        if not several.any():
+            return
         shown = np.flatnonzero(several & repeats)
-        order = shown[np.lexsort((string[shown], group[owner[shown]]))]
-        same = (np.diff(string[order]) == 0) & (np.diff(group[owner[order]]) == 0)
-        order = order[np.append(True, ~same)] if len(order) else order
-        none = pa.nulls(len(order), pa.int64())
-        yield pa.record_batch([bucket[owner[order]], none, none.cast(pa.int32()),
-                               none.cast(pa.int32()), string[order]], names)
+        shown = shown[np.lexsort((string[shown], group[owner[shown]]))]
+        shown = shown[_changes(string[shown], group[owner[shown]])]
+        strings = np.concatenate([np.flatnonzero(several & ~repeats), shown])
+        strings = strings[np.lexsort((core[strings], group[owner[strings]]))]
+        new = np.flatnonzero(_changes(core[strings], group[owner[strings]]))
+        known = repeats[strings]
+        items = pa.StructArray.from_arrays(
+            [pa.array(context[owner[strings]], mask=known),
+             pa.array(start[strings].astype(np.int32), mask=known), pa.array(string[strings])],
+            fields=list(item))
+        one, n = strings[new], len(new)
+        none = pa.nulls(n, pa.int32())
+        yield pa.record_batch(
+            [bucket[owner[one]], pa.nulls(n, pa.int64()), none, none, core[one],
+             pa.ListArray.from_arrays(pa.array(np.append(new, len(strings)).astype(np.int32)),
+                                      items)], names)
 
     waiting, size = [], 0
     for batch in batches:
@@ -309,16 +336,23 @@ def spans(keyed: DataFrame) -> DataFrame:
     settled = cut_lineage(
         fetched.repartition(F.col("bucket"), F.col("unit")).sortWithinPartitions(*order)
         .mapInArrow(_once, fetched.schema)
-        .mapInArrow(_refine_units, "bucket bigint, context bigint, first int, last int, "
-                                   "string bigint"))
-    named = settled.where("string is not null")
+        .mapInArrow(_refine_units,
+                    "bucket bigint, context bigint, first int, last int, core bigint, "
+                    "items array<struct<context: bigint, start: int, string: bigint>>"))
+    # a string can only repeat in another unit if its core occurs there
+    cores = settled.where("core is not null").select("bucket", "core", "items")
+    met = cut_lineage(cores.groupBy("bucket", "core").agg(F.count("*").alias("n")).where(
+        "n > 1").select("bucket", "core"))
+    named = cut_lineage(cores.join(met, ["bucket", "core"]).select(
+        "bucket", F.explode("items").alias("item")).select("bucket", "item.*"))
     across = cut_lineage(named.groupBy("bucket", "string").agg(
         F.count("*").alias("n")).where("n > 1").select("bucket", "string"))
-    part = F.struct(F.col("first").alias("from"), F.col("last").alias("to"))
-    partly = settled.where("string is null").select("bucket", "context", part.alias("part")
-                                                    ).unionByName(
+    settled_part = F.struct(F.col("first").alias("from"), F.col("last").alias("to"))
+    across_part = F.struct(F.col("start").alias("from"), F.col("start").alias("to"))
+    partly = settled.where("core is null").select(
+        "bucket", "context", settled_part.alias("part")).unionByName(
         named.where("context is not null").join(across, ["bucket", "string"]).select(
-            "bucket", "context", part.alias("part"))).groupBy("bucket", "context").agg(
+            "bucket", "context", across_part.alias("part"))).groupBy("bucket", "context").agg(
         F.collect_set("part").alias("parts"))
     whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("starts") - 1).alias("to")))
     repeated = cut_lineage(
