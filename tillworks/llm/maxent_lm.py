@@ -136,16 +136,24 @@ class Coder:
 
     def _reset(self):
         self._index = {}
-        self._hash, self._unit, self._rank = [], [], []
+        self._table = np.empty((3, 1 << 12), np.int64)  # of each word: hash, unit, head rank
+        self._new = []
         self._put(b" ", int(END))
 
     def _put(self, word, value=None):
         value = word_hash(word) if value is None else value
         rank = self._vocabulary.rank.get(value, -1)
-        self._index[word] = len(self._hash)
-        self._hash.append(value)
-        self._rank.append(rank)
-        self._unit.append(rank if 0 <= rank < WORD_UNITS else shared_unit(word))
+        self._index[word] = len(self._index)
+        self._new.append((value, rank if 0 <= rank < WORD_UNITS else shared_unit(word), rank))
+
+    def _settle(self):
+        """Move what is known of new words to the table."""
+        if self._new:
+            end = len(self._index)
+            while self._table.shape[1] < end:
+                self._table = np.concatenate([self._table, np.empty_like(self._table)], axis=1)
+            self._table[:, end - len(self._new):end] = np.array(self._new, np.int64).T
+            self._new = []
 
     def code(self, texts):
         """(text number, word hash, unit, head rank or -1) of every token, in order."""
@@ -164,9 +172,8 @@ class Coder:
                 found = list(map(index.__getitem__, words))
             at += found
             sizes.append(len(words))
-        at = np.array(at, np.int64)
-        return (np.repeat(np.arange(len(texts)), sizes), np.array(self._hash, np.int64)[at],
-                np.array(self._unit, np.int64)[at], np.array(self._rank, np.int64)[at])
+        self._settle()
+        return (np.repeat(np.arange(len(texts)), sizes), *self._table[:, np.array(at, np.int64)])
 
 
 def contexts(text, unit):
@@ -180,9 +187,10 @@ def contexts(text, unit):
 
 
 def _class_features(a, b, c):
+    """Rows of the class table beside row 0, the bias."""
     pair = ((a * _CONTEXTS + b) * 2654435761 >> 7) & (_PAIRS_CLASS - 1)
     low = 1 + _CONTEXTS
-    return (1 + a, low + b, low + _CONTEXTS + c, low + 2 * _CONTEXTS + pair)
+    return 1 + a, low + b, low + _CONTEXTS + c, low + 2 * _CONTEXTS + pair
 
 
 def _unit_features(a, b, c, kind):
@@ -217,13 +225,13 @@ class Model:
     def _forward(self, before, unit):
         kind, slot = unit % CLASSES, unit // CLASSES
         f, g = _class_features(*before), _unit_features(*before, kind)
-        x = self.classes[f[0]]
+        x = self.classes.take(f[0], axis=0, mode="clip")
         for rows in f[1:]:
-            x += self.classes[rows]
+            x += self.classes.take(rows, axis=0, mode="clip")
         x += self.classes[0]
-        y = self.units[kind]
+        y = self.units.take(kind, axis=0, mode="clip")
         for rows in g:
-            y += self.units[rows]
+            y += self.units.take(rows, axis=0, mode="clip")
         return kind, slot, f, g, self._softmax(x), self._softmax(y)
 
     def log10(self, before, unit):
@@ -247,12 +255,16 @@ class Trainer(Model):
 
     @staticmethod
     def _step(table, seen, rows, errors):
-        """Sum the errors of each touched row and move the row against them."""
+        """Sum the errors of each touched row and move the row against the sum."""
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total = np.add.reduceat(errors[order % len(errors)], first, axis=0)
-        rows = rows[first]
+        total = np.add.reduceat(errors.take(order % len(errors), axis=0, mode="clip"), first,
+                                axis=0)
+        Trainer._move(table, seen, rows[first], total)
+
+    @staticmethod
+    def _move(table, seen, rows, total):
         seen[rows] += (total * total).mean(axis=1)
         table[rows] -= RATE * total / np.sqrt(seen[rows] + 1.0)[:, None]
 
@@ -263,9 +275,10 @@ class Trainer(Model):
             own = np.arange(len(kind))
             x[own, kind] -= 1
             y[own, slot] -= 1
-            self._step(self.classes, self._class_seen,
-                       np.concatenate([np.zeros(len(kind), np.int64), *f]), x)
+            self._step(self.classes, self._class_seen, np.concatenate(f), x)
             self._step(self.units, self._unit_seen, np.concatenate([kind, *g]), y)
+            self._move(self.classes, self._class_seen, np.zeros(1, np.int64),
+                       x.sum(axis=0, keepdims=True))  # the bias, which every token touches
 
     def touched(self):
         """Rows of SLOTS weights that took a step."""
