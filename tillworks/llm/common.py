@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 # rows in one Arrow batch: texts may be long, so few rows are in memory at once
 ROWS_PER_BATCH = 256
+BITS = 1 << 23
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -70,3 +71,19 @@ def schema_with(frame: DataFrame, **added) -> T.StructType:
              "string": T.StringType(), "binary": T.BinaryType()}
     return T.StructType([*frame.schema.fields,
                          *(T.StructField(n, kinds[k]) for n, k in added.items())])
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame, keep=True) -> DataFrame:
+    """Rows whose value may be among the wanted ones (or surely is not), by a bit table.
+
+    The table has at most ``BITS`` bits, as words of 64, so its broadcast is bounded. An exact
+    join of what it lets through must follow; it only keeps other rows out of the shuffle.
+    """
+    bit = f"pmod(xxhash64({column}, 7), {BITS}L)"
+    table = wanted.selectExpr(f"{bit} as bit").groupBy(
+        F.expr("bit div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("mask"))
+    hit = rows.withColumn("word", F.expr(f"{bit} div 64")).join(
+        F.broadcast(table), "word", "left").withColumn(
+        "hit", F.expr(f"coalesce(mask & shiftleft(1L, int({bit} % 64)), 0L) != 0"))
+    return hit.where("hit" if keep else "not hit").drop("word", "mask", "hit")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import schema_with, small_batches, text_bytes
+from tillworks.llm.common import among, schema_with, small_batches, text_bytes
 from tillworks.llm.components import components
 from tillworks.session import cut_lineage
 
@@ -240,10 +240,16 @@ def keep_one(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     first = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("own"))
     least = prints.groupBy("print").agg(F.min(first).alias("least"))
     chosen = least.join(groups(prints), "print").groupBy("root").agg(F.min("least").alias("least"))
+    winners = chosen.select(F.col("least.own").alias("own"), F.lit(True).alias("stays"))
     copies = prints.groupBy("own").agg(F.count("*").alias("copies"))
-    winners = cut_lineage(chosen.select(F.col("least.own").alias("own")).join(copies, "own"))
+    # all but the rows that stay as they are: few, so few texts are moved to join them
+    special = cut_lineage(copies.join(winners, "own", "left").where(
+        "stays is null or copies > 1").select("own", F.coalesce("stays", F.lit(False)).alias(
+            "stays")))
     rest = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                             own.alias("own"))
-    single = rest.join(winners.where("copies = 1").select("own"), "own", "left_semi")
-    repeated = rest.join(winners.where("copies > 1").select("own"), "own", "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["own"])).select("row.*")
+    plain = among(rest, "own", special, keep=False)
+    joined = among(rest, "own", special).join(special, "own", "left")
+    return plain.select("row.*").unionByName(
+        joined.where("stays is null").select("row.*")).unionByName(
+        joined.where("stays").dropDuplicates(["own"]).select("row.*"))

@@ -18,8 +18,8 @@ far more than the corpus, so buckets are made and refined in this order:
    meets only across units is settled by grouping strings by hash, but only those whose
    core, the part near the least gram, occurs in another unit.
 
-Texts are moved twice, and only those of documents that a bounded bit table (at most
-``BITS`` bits) does not rule out: once for contexts, once to cut the removed bytes out.
+Texts are moved twice, and only those of documents that a bounded bit table
+(`common.among`) does not rule out: once for contexts, once to cut the removed bytes out.
 
 A null or empty text has no bytes and loses none; texts under 200 bytes stay whole. Repeated
 rows are copies of one another, so all of their bytes go if they have 200. A null id is
@@ -35,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import ranges_index, schema_with, small_batches, text_bytes
+from tillworks.llm.common import among, ranges_index, schema_with, small_batches, text_bytes
 from tillworks.session import cut_lineage
 
 LENGTH = 200
 GRAM = 48
-BITS = 1 << 23
 UNIT_CONTEXTS = 256
 CORE_STEP = 16
 _STARTS = LENGTH - GRAM + 1  # grams in a string
@@ -155,21 +154,6 @@ def _find_runs(batches):
                  context, tied], ["key", "first", "starts", "bucket", "context", "tied"])
 
 
-def _among(rows: DataFrame, column: str, wanted: DataFrame, keep=True) -> DataFrame:
-    """Rows whose value may be among the wanted ones (or surely is not), by a bit table.
-
-    The table has at most ``BITS`` bits, as words of 64, so its broadcast is bounded.
-    """
-    bit = f"pmod(xxhash64({column}, 7), {BITS}L)"
-    table = wanted.selectExpr(f"{bit} as bit").groupBy(
-        F.expr("bit div 64").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("mask"))
-    hit = rows.withColumn("word", F.expr(f"{bit} div 64")).join(
-        F.broadcast(table), "word", "left").withColumn(
-        "hit", F.expr(f"coalesce(mask & shiftleft(1L, int({bit} % 64)), 0L) != 0"))
-    return hit.where("hit" if keep else "not hit").drop("word", "mask", "hit")
-
-
 def _fetch_contexts(batches):
     """Cut the requested contexts out of each text."""
     for batch in batches:
@@ -314,7 +298,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     shared = cut_lineage(runs.groupBy("bucket").agg(
         F.count("*").alias("n"), F.bool_or("tied").alias("tied"))
         .where("n > 1 or tied").select("bucket"))
-    rows = cut_lineage(_among(runs, "bucket", shared).join(shared, "bucket"))
+    rows = cut_lineage(among(runs, "bucket", shared).join(shared, "bucket"))
     contexts = cut_lineage(rows.groupBy("bucket", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "first")).alias("one"),
         F.first("starts").alias("starts"), F.bool_or("tied").alias("tied")))
@@ -327,7 +311,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     requests = cut_lineage(wanted.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(
         F.struct(F.col("one.first").alias("first"), "starts", "bucket", "context", "copies",
                  "unit", "units")).alias("wanted")))
-    fetched = _among(keyed.select("key", "text"), "key", requests).join(requests, "key").select(
+    fetched = among(keyed.select("key", "text"), "key", requests).join(requests, "key").select(
         "text", "wanted").mapInArrow(
         _fetch_contexts, "bucket bigint, context bigint, copies bigint, unit int, units int, "
                          "bytes binary")
@@ -411,9 +395,9 @@ def remove_repeats(documents: DataFrame, id_col="doc_id", text_col="text") -> Da
                          pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
                     ["row", "missing", *names])
 
-    touched = _among(keyed, "key", found).join(found, "key", "left").select(
+    touched = among(keyed, "key", found).join(found, "key", "left").select(
         "row", "missing", "text", "spans").mapInArrow(cut, schema)
-    whole = _among(keyed, "key", found, keep=False).select(
+    whole = among(keyed, "key", found, keep=False).select(
         "row", "missing", F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
         F.col("text").cast("binary").alias("kept"))
