@@ -87,9 +87,10 @@ def search_all(vectors: DataFrame, every: int, k: int, search, score_type: str)
     blocks = max(1, -(-size["queries"] // BLOCK_QUERIES))
     place = "int(pmod(xxhash64(vec_id, {}), {}))"
     stored = vectors.withColumn("shard", F.expr(place.format("1", shards)))
-    asked = vectors.where(F.col("vec_id") % every == 0).distinct().withColumn(
-        "block", F.expr(place.format("2", blocks))).withColumn(
-        "query", F.xxhash64("vec_id", "vec"))
+    asked = vectors.where(F.col("vec_id") % every == 0).distinct().select(
+        F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"),
+        F.col("dim").alias("q_dim"), F.expr(place.format("2", blocks)).alias("q_block"),
+        F.xxhash64("vec_id", "vec").alias("query"))
     kind = np.int64 if score_type == "bigint" else np.float64
     arrow = pa.int64() if score_type == "bigint" else pa.float64()
     names = ["query", "query_id", "vec_id", "score"]
@@ -99,9 +100,9 @@ def search_all(vectors: DataFrame, every: int, k: int, search, score_type: str)
         if not len(ids) or not right.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), arrow)],
                             names=names)
-        query_ids = right.column("vec_id").to_numpy()
+        query_ids = right.column("query_id").to_numpy()
         floor = right.column("floor").to_numpy(zero_copy_only=False).astype(kind)
-        best = search(ids, matrix(left.column("vec")), query_ids, matrix(right.column("vec")), k,
+        best = search(ids, matrix(left.column("vec")), query_ids, matrix(right.column("asked")), k,
                       floor)
         row, column = np.nonzero(best.ids != np.iinfo(np.int64).max)
         return pa.table([right.column("query").to_numpy()[row], query_ids[row],
@@ -109,14 +110,14 @@ def search_all(vectors: DataFrame, every: int, k: int, search, score_type: str)
                         names=names)
 
     def round_of(queries, home):
-        same = "block % {} = shard".format(shards)
-        same = same if home else f"not ({same})"
+        same = F.expr(f"block % {shards} = shard")
         left = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-                                 ).where(same)
-        right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-                                   ).where(same)
-        key = ["dim", "shard", "block"]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+                                 ).where(same if home else ~same)
+        same = F.expr(f"q_block % {shards} = q_shard")
+        right = queries.withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+                                   ).where(same if home else ~same)
+        return left.groupBy("dim", "shard", "block").cogroup(
+            right.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(
             unit, f"query bigint, query_id bigint, vec_id bigint, score {score_type}")
 
     lowest = F.lit(int(np.iinfo(np.int64).min) if score_type == "bigint" else float("-inf"))
