@@ -59,10 +59,12 @@ def _upserted(adds):
                         + row_number() OVER (PARTITION BY id IS NULL ORDER BY user_id, product_id)) AS id,
            user_id, product_id, quantity, created_at, updated_at
     FROM (SELECT max(id) AS id, user_id, product_id, CAST(sum(quantity) AS BIGINT) AS quantity,
-                 min(created_at) AS created_at, max(updated_at) AS updated_at
+                 coalesce(min(created_at) FILTER (WHERE id IS NOT NULL), min(created_at)) AS created_at,
+                 max(updated_at) AS updated_at
           FROM (SELECT id, user_id, product_id, quantity, created_at, updated_at FROM cart_items
                 UNION ALL
-                {adds})
+                SELECT * FROM ({adds}) a(id, user_id, product_id, quantity, created_at, updated_at)
+                WHERE product_id IN (SELECT id FROM products) AND user_id IN (SELECT id FROM users))
           GROUP BY user_id, product_id)"""
 
 
@@ -76,6 +78,7 @@ def _wished(adds):
     FROM ({adds}) a
     WHERE NOT EXISTS (SELECT 1 FROM wishlist w
                       WHERE w.user_id = a.user_id AND w.product_id = a.product_id)
+      AND product_id IN (SELECT id FROM products) AND user_id IN (SELECT id FROM users)
     GROUP BY user_id, product_id"""
 
 
@@ -470,6 +473,7 @@ _BODIES = {
                name, slug, price, category_id, 0, is_featured, true
         FROM (SELECT *, replace(lower(name), ' ', '-') AS slug FROM product_feed
               WHERE reject_reason IS NULL
+                AND (category_id IS NULL OR category_id IN (SELECT id FROM categories))
               QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY id) = 1)
         WHERE slug NOT IN (SELECT slug FROM products)""",
     "categories_after_additions": """
@@ -485,6 +489,7 @@ _BODIES = {
         SELECT (SELECT max(id) FROM coupons) + row_number() OVER (ORDER BY id),
                code, discount_type, discount_value, 1, 0
         FROM (SELECT * FROM coupon_feed WHERE reject_reason IS NULL
+                AND discount_type IN ('percentage', 'fixed')
               QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1)
         WHERE code NOT IN (SELECT code FROM coupons)""",
     "dq_duplicate_keys": _duplicates([

@@ -31,6 +31,17 @@ def test_upsert_adds_clamps_and_numbers_new_lines(spark, t):
     assert by_id(out)[6].created_at == ts(8)
 
 
+def test_adds_need_known_products_and_users_and_keep_creation_times(spark, t):
+    adds = spark.createDataFrame([(101, 8, "2", ts(1)), (101, -5, "1", ts(2)), (555, 8, "1", ts(2))],
+                                 ADDS)
+    out = carts.cart_upsert(t["cart_items"], adds, t["products"], t["users"])
+    assert out.count() == t["cart_items"].count() and by_id(out)[1].created_at == ts(10)
+    likes = adds.select("user_id", "product_id", F.col("created_at").alias("added_at"))
+    listed = carts.wishlist_add(t["wishlist"], likes, t["products"], t["users"])
+    assert {r.product_id for r in listed.collect()} >= {8} and not listed.where(
+        "product_id < 0 or user_id = 555").count()
+
+
 def test_upsert_conserves_quantity(spark, t):
     adds = spark.range(500).select(
         (F.col("id") % 7).alias("user_id"), (F.col("id") % 3 * 5).alias("product_id"),

@@ -144,6 +144,16 @@ def test_recent_orders(t):
     assert [r.id for r in everything] == [1005, 1004, 1003, 1001, 1000]
 
 
+@pytest.mark.parametrize("n", [99_999, 100_000, 100_001])
+def test_recent_orders_has_no_limit_of_its_own(spark, t, n):
+    orders = spark.range(300_000).select(
+        "id", F.when(F.col("id") >= 250_000, F.col("id")).otherwise(F.lit(101)).alias("user_id"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in t["orders"].schema.fields
+          if f.name not in ("id", "user_id")])
+    ids = [r.id for r in catalog.recent_orders(orders, t["users"], n).select("id").collect()]
+    assert ids == list(range(249_999, 249_999 - n, -1))
+
+
 def test_recent_orders_skips_any_number_of_orders_without_a_user(spark, t):
     orders = spark.range(3000).select(
         "id", F.when(F.col("id") < 5, F.lit(101)).otherwise(F.lit(999)).cast("bigint").alias("user_id"),

@@ -49,10 +49,6 @@ def is_filled(c) -> Column:
     return F.coalesce(~_col(c).isin("", "0"), F.lit(False))
 
 
-def same_text(a, b) -> Column:
-    return F.lower(_col(a)) == F.lower(_col(b))
-
-
 def whole_number(c) -> Column:
     """The leading number of a text cut to an integer; 0 when there is none."""
     number = F.regexp_extract(_col(c).cast("string"), LEADING_NUMBER, 1).try_cast("double")

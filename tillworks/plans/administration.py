@@ -1,31 +1,36 @@
 """Adding products, categories, coupons and users from feeds.
 
-A feed row is added if it passes its check and collides with nothing on a unique
-key, neither with a stored row nor with a row added before it. ``seq`` numbers
+A feed row is added if it passes its check, holds only declared values in enumerated
+columns, names known parents, and collides with nothing on a unique key, neither with a
+stored row nor with a row added before it. ``seq`` numbers
 the feed rows; ids follow the stored ones in that order.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tillworks.operators.changes import append_with_defaults
 from tillworks.operators.ids import assign_ids, next_id
 from tillworks.operators.inserts import accepted_rows
 from tillworks.operators.validation import (accepted, validate_categories, validate_coupons,
                                             validate_products, validate_registrations)
-from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
+from tillworks.schemas import ENUMS, ID_FLOORS, UNIQUE_KEYS
 
 
-def _add(table: DataFrame, validated: DataFrame, name: str, as_of) -> DataFrame:
+def _add(table: DataFrame, validated: DataFrame, name: str, as_of, fks=()) -> DataFrame:
     rows = accepted(validated)
+    for column, values in ENUMS.get(name, {}).items():
+        if column in rows.columns:
+            rows = rows.where(F.col(column).isNull() | F.col(column).isin(*values))
     # a key the feed does not fill is NULL in every new row and collides with nothing
     keys = [key for key in UNIQUE_KEYS[name] if set(key) <= set(rows.columns)]
-    kept = accepted_rows(table, rows, keys, "seq")
+    kept = accepted_rows(table, rows, keys, "seq", fks)
     numbered = assign_ids(kept, ["seq"], next_id(table, ID_FLOORS.get(name, 1))).drop("seq")
     return append_with_defaults(table, numbered, name, as_of)
 
 
-def add_products(products: DataFrame, feed: DataFrame, as_of) -> DataFrame:
-    return _add(products, validate_products(feed), "products", as_of)
+def add_products(products: DataFrame, feed: DataFrame, as_of, categories=None) -> DataFrame:
+    fks = [] if categories is None else [("category_id", categories, "id")]
+    return _add(products, validate_products(feed), "products", as_of, fks)
 
 
 def add_categories(categories: DataFrame, feed: DataFrame, as_of) -> DataFrame:

@@ -23,27 +23,41 @@ def _absent(adds: DataFrame, stored: DataFrame) -> DataFrame:
     return adds.join(hits, CART_KEY, "left_anti")
 
 
+def _with_parents(adds: DataFrame, products, users) -> DataFrame:
+    """The grouped adds that name a known product and a known user, where these are given.
+
+    The parents go into the joins as they are read, so that a hot key can be split.
+    """
+    for column, parent in (("product_id", products), ("user_id", users)):
+        if parent is not None:
+            adds = adds.join(parent.select(F.col("id").alias(column)), column, "left_semi")
+    return adds
+
+
 def _numbered_after(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """New rows with the ids that follow the stored ones."""
     return assign_ids(fresh, CART_KEY, next_id(stored))
 
 
-def cart_upsert(cart: DataFrame, adds: DataFrame) -> DataFrame:
+def cart_upsert(cart: DataFrame, adds: DataFrame, products=None, users=None) -> DataFrame:
     """Add quantities to the cart line of (user, product), creating it if absent.
 
+    Adds that name a product or user missing from the given tables are left out.
+
     ``adds`` has user_id, product_id, a raw quantity and created_at. Stored
-    quantities are taken as they are, added ones are at least 1. Lines that were
-    not there before get the next free ids.
+    quantities and creation times are kept as they are, added quantities are at
+    least 1. Lines that were not there before get the next free ids.
     """
     columns = ["id", *CART_KEY, "variant_id", "quantity", "created_at", "updated_at"]
     # the grouped feed is used for growing and for finding absent lines
-    added = cut_lineage(adds.groupBy(*CART_KEY).agg(
+    grouped = adds.groupBy(*CART_KEY).agg(
         F.sum(clamp_qty("quantity")).alias("_added"),
-        F.min("created_at").alias("_first"), F.max("created_at").alias("_last")))
+        F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
+    added = cut_lineage(_with_parents(grouped, products, users))
     grown = cart.join(added, CART_KEY, "left").select(
         "id", *CART_KEY, "variant_id",
         (F.col("quantity") + F.coalesce("_added", F.lit(0))).alias("quantity"),
-        F.least("created_at", "_first").alias("created_at"),
+        "created_at",
         F.greatest("updated_at", "_last").alias("updated_at"))
     fresh = _numbered_after(cart, _absent(added, cart)).select(
         "id", *CART_KEY, F.lit(None).cast("bigint").alias("variant_id"),
@@ -52,46 +66,57 @@ def cart_upsert(cart: DataFrame, adds: DataFrame) -> DataFrame:
     return grown.unionByName(fresh).select(*columns)
 
 
-def wishlist_add(wishlist: DataFrame, adds: DataFrame) -> DataFrame:
+def wishlist_add(wishlist: DataFrame, adds: DataFrame, products=None, users=None) -> DataFrame:
     """Add (user, product) pairs that are not listed yet; the earliest add wins.
 
+    Adds that name a product or user missing from the given tables are left out.
+
     ``adds`` has user_id, product_id and added_at. A stored row is never changed.
     """
-    wanted = cut_lineage(adds.groupBy(*CART_KEY).agg(F.min("added_at").alias("added_at")))
+    wanted = cut_lineage(_with_parents(adds.groupBy(*CART_KEY).agg(
+        F.min("added_at").alias("added_at")), products, users))
     fresh = _numbered_after(wishlist, _absent(wanted, wishlist))
     return wishlist.unionByName(fresh.select(*wishlist.columns))
 
 
-def wishlist_to_cart(wishlist: DataFrame, cart: DataFrame, moves: DataFrame):
+def wishlist_to_cart(wishlist: DataFrame, cart: DataFrame, moves: DataFrame, products=None,
+                     users=None):
     """Move pairs to the cart with quantity 1 each; returns (wishlist, cart)."""
-    return delete_keys(wishlist, moves, CART_KEY), cart_with_moves(cart, moves)
+    return delete_keys(wishlist, moves, CART_KEY), cart_with_moves(
+        cart, moves, products, users)
 
 
-def cart_with_moves(cart: DataFrame, moves: DataFrame) -> DataFrame:
+def cart_with_moves(cart: DataFrame, moves: DataFrame, products=None, users=None) -> DataFrame:
     """The cart after moves; a line is added even if the product was not on the wishlist."""
-    return cart_upsert(cart, moves.select(*CART_KEY, F.lit(1).alias("quantity"), "created_at"))
+    return cart_upsert(cart, moves.select(*CART_KEY, F.lit(1).alias("quantity"), "created_at"),
+                       products, users)
 
 
-def merge_guest(sessions: DataFrame, cart: DataFrame, wishlist: DataFrame):
+def merge_guest(sessions: DataFrame, cart: DataFrame, wishlist: DataFrame, products=None,
+                users=None):
     """Fold the session carts and wishlists of users who logged in into their own.
 
     Returns (cart, wishlist). ``sessions`` carries logged_in_at.
     """
-    return merge_guest_carts(sessions, cart), merge_guest_wishlists(sessions, wishlist)
+    return (merge_guest_carts(sessions, cart, products, users),
+            merge_guest_wishlists(sessions, wishlist, products, users))
 
 
 def _logged_in(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("user_id").isNotNull())
 
 
-def merge_guest_carts(sessions: DataFrame, cart: DataFrame) -> DataFrame:
+def merge_guest_carts(sessions: DataFrame, cart: DataFrame, products=None,
+                      users=None) -> DataFrame:
     adds = explode_guest_carts(_logged_in(sessions))
-    return cart_upsert(cart, adds.withColumnRenamed("logged_in_at", "created_at"))
+    return cart_upsert(cart, adds.withColumnRenamed("logged_in_at", "created_at"), products, users)
 
 
-def merge_guest_wishlists(sessions: DataFrame, wishlist: DataFrame) -> DataFrame:
+def merge_guest_wishlists(sessions: DataFrame, wishlist: DataFrame, products=None,
+                          users=None) -> DataFrame:
     adds = explode_guest_wishlists(_logged_in(sessions))
-    return wishlist_add(wishlist, adds.withColumnRenamed("logged_in_at", "added_at"))
+    return wishlist_add(wishlist, adds.withColumnRenamed("logged_in_at", "added_at"), products,
+                        users)
 
 
 def set_cart_quantities(cart: DataFrame, edits: DataFrame) -> DataFrame:

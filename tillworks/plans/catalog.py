@@ -8,7 +8,6 @@ from tillworks.functions.columns import (NO_CATEGORY, NO_TRACKING, UNCATEGORIZED
                                          status_label)
 from tillworks.plans.reports import raw_product_ratings
 from tillworks.schemas import MONEY_SUM, REVENUE_STATUSES
-from tillworks.session import cut_lineage
 
 
 def catalog_listing(products: DataFrame, categories: DataFrame, reviews: DataFrame,
@@ -88,30 +87,19 @@ def coupons_list(coupons: DataFrame) -> DataFrame:
         expiry_label("end_date").alias("expiry_label"))
 
 
-# Beyond this many candidate orders the plain join is the better plan.
-_MAX_CANDIDATES = 100_000
-
-
 def recent_orders(orders: DataFrame, users: DataFrame, n: int = 50) -> DataFrame:
     """The ``n`` newest orders that still have a user.
 
-    Only a page of the newest orders is joined to the users, instead of all of
-    them. If too many of its users are gone, the page grows, and the join over
-    all orders is used in the end, so the result is always the exact top ``n``.
+    The newest ``n`` are chosen among three narrow columns of all orders with a
+    user; the other columns are fetched for those ``n`` only.
     """
-    people = users.select(F.col("id").alias("user_id"), "username", "email")
-    head = orders.where(F.col("user_id").isNotNull()).select(
-        "id", "user_id", "order_number", "total_amount", "status", "tracking_number", "order_date")
     newest = [F.desc("order_date"), F.desc("id")]
-
-    def listed(rows):
-        return cut_lineage(rows.join(people, "user_id").orderBy(*newest).limit(n))
-
-    page, found = n, listed(head.orderBy(*newest).limit(n))
-    while page <= _MAX_CANDIDATES and found.count() < n:
-        page *= 16
-        found = listed(head.orderBy(*newest).limit(page) if page <= _MAX_CANDIDATES else head)
-    return found.select(
+    chosen = orders.select("id", "user_id", "order_date").join(
+        users.select(F.col("id").alias("user_id")), "user_id", "left_semi").orderBy(
+        *newest).limit(n).select("id", "user_id")
+    shown = chosen.join(orders.drop("user_id"), "id").join(
+        users.select(F.col("id").alias("user_id"), "username", "email"), "user_id")
+    return shown.orderBy(*newest).select(
         "id", "order_number", "username", "email", "total_amount",
         dollars("total_amount").alias("total_label"), status_label("status").alias("status_label"),
         or_label("tracking_number", NO_TRACKING).alias("tracking"),

@@ -216,17 +216,18 @@ def _(s):
 
 @query("cart_after_adds")
 def _(s):
-    return carts.cart_upsert(s.cart_items, s.cart_adds).drop("variant_id")
+    return carts.cart_upsert(s.cart_items, s.cart_adds, s.products, s.users).drop("variant_id")
 
 
 @query("wishlist_after_adds")
 def _(s):
-    return carts.wishlist_add(s.wishlist, s.wishlist_adds)
+    return carts.wishlist_add(s.wishlist, s.wishlist_adds, s.products, s.users)
 
 
 @query("wishlist_move_cart")
 def _(s):
-    return carts.cart_with_moves(s.cart_items, s.wishlist_moves).drop("variant_id")
+    return carts.cart_with_moves(s.cart_items, s.wishlist_moves, s.products, s.users).drop(
+        "variant_id")
 
 
 @query("wishlist_move_remaining")
@@ -236,12 +237,13 @@ def _(s):
 
 @query("cart_after_login_merge")
 def _(s):
-    return carts.merge_guest_carts(s.guest_sessions, s.cart_items).drop("variant_id")
+    return carts.merge_guest_carts(s.guest_sessions, s.cart_items, s.products, s.users).drop(
+        "variant_id")
 
 
 @query("wishlist_after_login_merge")
 def _(s):
-    return carts.merge_guest_wishlists(s.guest_sessions, s.wishlist)
+    return carts.merge_guest_wishlists(s.guest_sessions, s.wishlist, s.products, s.users)
 
 
 @query("cart_after_edits")
@@ -529,7 +531,7 @@ def _(s):
 @query("products_after_additions")
 def _(s):
     feed = s.product_feed.withColumnRenamed("id", "seq")
-    return administration.add_products(s.products, feed, AS_OF).select(
+    return administration.add_products(s.products, feed, AS_OF, s.categories).select(
         "id", "name", "slug", "price", "category_id", "stock_quantity", "is_featured", "is_active")
 
 

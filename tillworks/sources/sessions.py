@@ -17,11 +17,13 @@ def explode_guest_wishlists(sessions: DataFrame) -> DataFrame:
 
 
 def add_to_guest_cart(cart, product_id, quantity):
-    """A session cart after one add: the first line of the product grows, or a
-    line is appended."""
-    has = F.exists(cart, lambda line: line["product_id"] == product_id)
-    grown = F.transform(cart, lambda line: F.when(
-        line["product_id"] == product_id,
+    """A session cart after one add of at least one piece: the first line of the
+    product grows, or a line is appended."""
+    quantity = F.greatest(quantity, F.lit(1))
+    place = F.array_position(F.transform(cart, lambda line: line["product_id"]), product_id)
+    has = place > 0
+    grown = F.transform(cart, lambda line, i: F.when(
+        i == place - 1,
         F.struct(line["product_id"].alias("product_id"),
                  (line["quantity"] + quantity).alias("quantity"))).otherwise(line))
     new_line = F.struct(product_id.alias("product_id"), quantity.alias("quantity"))
