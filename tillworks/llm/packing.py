@@ -84,6 +84,9 @@ class WordVocabulary:
             out += [b"".join(map(self._cache.__getitem__, own)) for own in words]
         return out
 
+    def forget(self):
+        self._cache.clear()
+
     def _learn(self, words):
         plain, split, strange = [], [], []
         for word in words:
@@ -231,6 +234,7 @@ def pack(documents: DataFrame, path: str, id_col="doc_id", text_col="text",
         rows = packer.close(last=True)
         for i in range(0, len(rows), 1000):
             yield batch_of(rows[i:i + 1000])
+        words.forget()  # the worker lives on
 
     chosen = documents.select(F.col(id_col).cast("bigint").alias("doc_id"),
                               F.col(text_col).cast("string").alias("text"))

@@ -45,7 +45,7 @@ CORE_STEP = 16
 _STARTS = LENGTH - GRAM + 1  # grams in a string
 _RUN_LIMIT = 2 * _STARTS  # longer runs, in periodic text, are cut
 _SLAB = 1 << 20
-_GROUP_BYTES = 1 << 20
+_GROUP_BYTES = 1 << 18
 
 
 def _powers(base, count):
@@ -273,7 +273,7 @@ def _refine_units(batches):
                                       items)], names)
 
     waiting, size = [], 0
-    for batch in batches:
+    for batch in _once(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if size > _GROUP_BYTES and (row[0], row[3]) != (waiting[-1][0], waiting[-1][3]):
                 yield from settle(waiting)
@@ -319,7 +319,6 @@ def spans(keyed: DataFrame) -> DataFrame:
     order = ["bucket", "unit", "context"]
     settled = cut_lineage(
         fetched.repartition(F.col("bucket"), F.col("unit")).sortWithinPartitions(*order)
-        .mapInArrow(_once, fetched.schema)
         .mapInArrow(_refine_units,
                     "bucket bigint, context bigint, first int, last int, core bigint, "
                     "items array<struct<context: bigint, start: int, string: bigint>>"))
@@ -371,14 +370,15 @@ def merged(found):
     return pairs[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(pairs) - 1)]
 
 
-def remove_repeats(documents: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col="doc_id", text_col="text",
+                   as_text=False) -> DataFrame:
     """One row per row: row (struct of the other columns), missing (the text was null),
-    n_bytes, n_removed, n_spans and kept (binary)."""
+    n_bytes, n_removed, n_spans and kept (binary, or text without cut characters)."""
     keyed = _keyed(documents, id_col, text_col)
     found = spans(keyed)
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     schema = schema_with(keyed.select("row", "missing"), n_bytes="bigint", n_removed="bigint",
-                         n_spans="bigint", kept="binary")
+                         n_spans="bigint", kept="string" if as_text else "binary")
 
     def cut(batches):
         for batch in batches:
@@ -387,12 +387,14 @@ def remove_repeats(documents: DataFrame, id_col="doc_id", text_col="text") -> Da
                 begins, ends = merged(own) if own else (np.empty(0, int), np.empty(0, int))
                 begins, ends = begins.tolist(), ends.tolist()
                 kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*begins, len(text)]))
-                out.append((len(text), len(text) - len(kept), len(begins), kept))
+                out.append((len(text), len(text) - len(kept), len(begins),
+                            kept.decode(errors="ignore") if as_text else kept))
             if out:
                 yield pa.record_batch(
                     [batch.column(0), batch.column(1),
                      *(pa.array(c, t) for c, t in zip(zip(*out), (
-                         pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
+                         pa.int64(), pa.int64(), pa.int64(),
+                         pa.string() if as_text else pa.binary())))],
                     ["row", "missing", *names])
 
     touched = among(keyed, "key", found).join(found, "key", "left").select(
@@ -400,7 +402,7 @@ def remove_repeats(documents: DataFrame, id_col="doc_id", text_col="text") -> Da
     whole = among(keyed, "key", found, keep=False).select(
         "row", "missing", F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
-        F.col("text").cast("binary").alias("kept"))
+        F.col("text").cast("string" if as_text else "binary").alias("kept"))
     return touched.unionByName(whole)
 
 
@@ -417,19 +419,10 @@ def without_repeats(documents: DataFrame, id_col="doc_id", text_col="text") -> D
 
     A cut may fall within a character; what is left of such a character goes too.
     """
-    def decode(batches):
-        for batch in batches:
-            texts = [None if gone else (kept or b"").decode(errors="ignore")
-                     for gone, kept in zip(batch.column(1).to_pylist(),
-                                           batch.column(2).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())],
-                                  ["row", "text"])
-
-    cut = remove_repeats(documents, id_col, text_col)
-    decoded = cut.select("row", "missing", "kept").mapInArrow(
-        decode, schema_with(cut.select("row"), text="string"))
-    return decoded.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`")
-                            for c in documents.columns])
+    cut = remove_repeats(documents, id_col, text_col, as_text=True)
+    text = F.when(~F.col("missing"), F.col("kept"))
+    return cut.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`")
+                        for c in documents.columns])
 
 
 def brute_force(texts):
