@@ -309,7 +309,10 @@ _BODIES = {
     "orders_after_status_changes": f"""
         SELECT o.id, o.user_id, coalesce(c.last_status, o.status) AS status,
                CASE WHEN c.was_shipped AND u.id IS NOT NULL THEN {_TRACK.format('o.id')}
-                    ELSE o.tracking_number END AS tracking_number
+                    ELSE o.tracking_number END AS tracking_number,
+               CASE WHEN c.last_status <> o.status OR c.was_shipped AND u.id IS NOT NULL
+                         AND o.tracking_number IS DISTINCT FROM {_TRACK.format('o.id')}
+                    THEN {_AS_OF} ELSE CAST(o.order_date AS TIMESTAMP) END AS updated_at
         FROM shop_orders o
         LEFT JOIN users u ON u.id = o.user_id
         LEFT JOIN (SELECT order_id, max_by(status, seq) AS last_status,
@@ -353,23 +356,33 @@ _BODIES = {
     "orders_after_users_replaced": """
         SELECT id, CASE WHEN user_id NOT IN (SELECT id FROM displaced_users) THEN user_id END AS user_id
         FROM shop_orders""",
-    "products_after_updates": """
+    "products_after_updates": f"""
         SELECT p.id, p.name, CASE WHEN u.k IS NULL THEN p.price
                                   ELSE CAST(u.value AS DECIMAL(10,2)) END AS price,
                CASE WHEN u.k IS NULL THEN p.description
                     WHEN u.event_id % 3 <> 0 THEN 'note ' || u.event_id END AS description,
                CASE WHEN u.k IS NULL THEN p.stock_quantity
-                    ELSE CAST(u.event_id % 50 AS INTEGER) END AS stock_quantity
+                    ELSE CAST(u.event_id % 50 AS INTEGER) END AS stock_quantity,
+               CASE WHEN u.k IS NOT NULL AND (
+                         p.price IS DISTINCT FROM CAST(u.value AS DECIMAL(10,2))
+                         OR p.description IS DISTINCT FROM
+                            CASE WHEN u.event_id % 3 <> 0 THEN 'note ' || u.event_id END
+                         OR p.stock_quantity IS DISTINCT FROM u.event_id % 50)
+                    THEN {_AS_OF} ELSE p.created_at END AS updated_at
         FROM products p
         LEFT JOIN (SELECT * FROM shop_events WHERE event_type = 'purchase' AND event_id % 13 <> 0
                    QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1) u
           ON u.k = p.id""",
-    "products_after_toggles": """
+    "products_after_toggles": f"""
         SELECT p.id,
                CASE WHEN t.k IS NULL THEN p.is_active WHEN t.event_id % 5 = 0 THEN false
                     ELSE t.event_id % 2 <> 0 END AS is_active,
                CASE WHEN t.k IS NULL THEN p.is_featured WHEN t.event_id % 5 = 0 THEN true
-                    ELSE t.event_id % 2 <> 0 END AS is_featured
+                    ELSE t.event_id % 2 <> 0 END AS is_featured,
+               CASE WHEN t.event_id % 5 = 0 AND (p.is_active OR NOT p.is_featured)
+                      OR t.event_id % 5 <> 0 AND (p.is_active <> (t.event_id % 2 <> 0)
+                                                  OR p.is_featured <> (t.event_id % 2 <> 0))
+                    THEN {_AS_OF} ELSE p.created_at END AS updated_at
         FROM products p
         LEFT JOIN (SELECT k, max(event_id) AS event_id FROM shop_events
                    WHERE event_type = 'error' GROUP BY k) t ON t.k = p.id""",
@@ -380,22 +393,21 @@ _BODIES = {
         FROM users u
         LEFT JOIN (SELECT user_id, max(event_id) AS event_id FROM shop_events
                    WHERE event_type = 'view' GROUP BY user_id) t ON t.user_id = u.id""",
-    "products_after_edits": """
-        SELECT p.id, coalesce(f.name, p.name) AS name,
-               coalesce(replace(lower(f.name), ' ', '-'), p.slug) AS slug,
-               coalesce(f.price, p.price) AS price,
-               CASE WHEN f.id IS NULL THEN p.category_id ELSE f.category_id END AS category_id,
-               CASE WHEN f.id IS NULL THEN p.is_featured ELSE f.is_featured END AS is_featured,
-               p.is_active
-        FROM products p
-        LEFT JOIN (SELECT * FROM product_feed WHERE reject_reason IS NULL AND id > 0) f
-          ON f.id = p.id""",
+    "products_after_edits": f"""
+        SELECT p.id, p.name, p.slug, p.description, p_brand AS short_description, p.price, p.compare_price,
+               p.category_id, p.stock_quantity, p.image_url, p.is_featured, p.is_active,
+               p.created_at AS updated_at
+        FROM products p JOIN part ON p_partkey = p.id
+        WHERE p.id NOT IN (SELECT id FROM product_forms)
+        UNION ALL
+        SELECT f.id, f.name, f.slug, f.name, CASE WHEN f.id % 2 = 0 THEN upper(f.name) END, f.price,
+               CAST(f.price + 1 AS DECIMAL(10,2)), f.category_id, CAST(f.id % 100 AS INTEGER),
+               'new/' || f.id, f.is_featured, f.id % 3 <> 0, {_AS_OF}
+        FROM product_forms f""",
     "categories_after_edits": """
-        SELECT c.id, coalesce(f.name, c.name) AS name,
-               coalesce(replace(lower(f.name), ' ', '-'), c.slug) AS slug, c.parent_id
+        SELECT c.id, coalesce(f.name, c.name) AS name, coalesce(f.slug, c.slug) AS slug, c.parent_id
         FROM categories c
-        LEFT JOIN (SELECT * FROM category_feed WHERE name NOT IN ('', '0')) f
-          ON f.id + 1001 = c.id""",
+        LEFT JOIN category_forms f ON f.id = c.id""",
     "products_after_category_delete": """
         SELECT id, name, CASE WHEN category_id NOT IN (SELECT id FROM deleted_categories)
                               THEN category_id END AS category_id

@@ -148,6 +148,17 @@ TABLES = {
                CASE WHEN p_size IN (1, 2, 3) THEN 'name' WHEN p_size IN (5, 6, 7) THEN 'price'
                END AS reject_reason
         FROM part""",
+    "category_forms": """
+        SELECT * FROM (SELECT id + 1001 AS id, name, replace(lower(name), ' ', '-') AS slug
+                       FROM category_feed
+                       WHERE name NOT IN ('', '0') AND id + 1001 IN (SELECT id FROM categories)) f
+        WHERE NOT EXISTS (SELECT 1 FROM categories o WHERE o.slug = f.slug AND o.id <> f.id)
+        QUALIFY row_number() OVER (PARTITION BY slug ORDER BY id) = 1""",
+    "product_forms": """
+        SELECT * FROM (SELECT *, replace(lower(name), ' ', '-') AS slug FROM product_feed
+                       WHERE reject_reason IS NULL AND id > 0 AND id IN (SELECT id FROM products)) f
+        WHERE NOT EXISTS (SELECT 1 FROM products o WHERE o.slug = f.slug AND o.id <> f.id)
+        QUALIFY row_number() OVER (PARTITION BY slug ORDER BY id) = 1""",
     "coupon_feed": """
         SELECT s_suppkey AS id,
                CASE WHEN s_nationkey = 0 THEN '' WHEN s_nationkey = 1 THEN '0'

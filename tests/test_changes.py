@@ -140,3 +140,13 @@ def test_conform_casts_and_completes(spark):
     row = out.first()
     assert (row.id, row.price, row.name) == (1, money("7.00"), None)
     assert len(out.columns) == 17
+
+
+def test_only_changed_rows_are_touched(spark, t):
+    feed = spark.createDataFrame([(1, 1, Decimal("1.00")), (2, 1, money("199.99"))],
+                                 "id bigint, seq int, price decimal(10,2)")
+    out = by_id(C.apply_updates(t["products"], feed, "id", "seq", "price", AS_OF))
+    before = by_id(t["products"])
+    assert str(out[1].updated_at) == AS_OF
+    assert out[2].price == before[2].price and out[2].updated_at == before[2].updated_at
+    assert out[3].updated_at == before[3].updated_at

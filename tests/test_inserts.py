@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tillworks.operators import inserts
 from tillworks.operators.ids import assign_ids, next_id
 from tillworks.operators.inserts import insert_ignore, replace_into
 
@@ -108,3 +109,41 @@ def test_ids_of_an_empty_feed_and_next_id(spark):
     assert assign_ids(empty.drop("id"), ["k"], 5).count() == 0
     assert next_id(empty, 100) == 100
     assert next_id(spark.createDataFrame([(7,), (300,)], "id bigint"), 100) == 301
+
+
+def test_an_edit_cannot_take_a_key_of_another_row(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id bigint, slug string")
+    edits = spark.createDataFrame(
+        [(1, 2, "a"),   # held by another row
+         (2, 1, "x"),   # frees "a", for the next batch only
+         (3, 3, "a"),
+         (4, 3, "y"), (5, 4, "y"), (6, 3, "y"),  # the first to ask has it
+         (7, 9, "z"), (8, 2, "z"),  # an unknown row asks for nothing
+         (9, 4, None)], "seq bigint, id bigint, slug string")
+    kept = inserts.holding_edits(table, edits, [["slug"]], "seq")
+    assert sorted(r.seq for r in kept.collect()) == [2, 4, 6, 8, 9]
+
+
+def test_a_small_feed_does_not_move_the_stored_table(spark):
+    stored = spark.range(300_000).selectExpr("id", "concat('s', id) as slug")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/stored-slugs"
+    stored.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    feed = spark.createDataFrame([(1, "s5"), (2, "new"), (3, "new")], "seq bigint, slug string")
+    values = inserts._stored_values(feed, ["slug"])
+    named = inserts._values(stored, ["slug"]).join(values, ["_k0"])
+    shown = named._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "Exchange hashpartitioning" not in shown
+    out = inserts.accepted_rows(stored, feed, [["slug"]], "seq").collect()
+    assert [(r.seq, r.slug) for r in out] == [(2, "new")]
+
+
+def test_replacing_with_a_third_of_the_feed_on_one_email(spark):
+    table = spark.createDataFrame([(1, "m0", "a"), (2, "m1", "b")],
+                                  "id bigint, email string, name string")
+    feed = spark.range(3000).selectExpr(
+        "id as seq", "id + 100 as id", "if(id % 3 = 0, 'm0', concat('n', id)) as email",
+        "concat('u', id) as name")
+    out, gone = inserts.replace_into(table, feed, [["id"], ["email"]], "seq")
+    assert out.count() == 2000 + 1 + 1 and [r.id for r in gone.collect()] == [1]
+    assert out.where("email = 'm0'").first().name == "u2997"

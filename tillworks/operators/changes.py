@@ -5,6 +5,8 @@ Every feed is reduced to one row per key with a map-side combinable aggregate
 large share of the feed never lands whole in one task.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillworks.schemas import CASCADE, DEFAULTS, FOREIGN_KEYS, NOW, SCHEMAS
@@ -33,38 +35,55 @@ def append_with_defaults(table: DataFrame, rows: DataFrame, name: str, as_of) ->
     return table.unionByName(rows.select(*typed), allowMissingColumns=True).select(*table.columns)
 
 
-def apply_updates(table: DataFrame, changes: DataFrame, key, order, cols) -> DataFrame:
+def touched(fresh: dict, columns, as_of) -> dict:
+    """The new values by column, with ``updated_at`` moved where one of them differs.
+
+    A batch counts as one update: what it sets and sets back is not a change. Deletes that
+    reach a row through a foreign key do not touch it, as in the shop's database.
+    """
+    if as_of is None or "updated_at" not in columns:
+        return fresh
+    same = reduce(lambda a, b: a & b, [new.eqNullSafe(F.col(c)) for c, new in fresh.items()])
+    return fresh | {"updated_at": F.when(same, F.col("updated_at")).otherwise(at(as_of))}
+
+
+def with_values(table: DataFrame, fresh: dict, columns) -> DataFrame:
+    """``columns`` of the table, those in ``fresh`` with their new values."""
+    return table.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in columns])
+
+
+def apply_updates(table: DataFrame, changes: DataFrame, key, order, cols,
+                  as_of=None) -> DataFrame:
     """Overwrite ``cols`` with each key's latest change.
 
     ``order`` must be unique per key. A NULL in the latest change is written as
-    NULL; keys the table does not hold are ignored.
+    NULL; keys the table does not hold are ignored. With ``as_of``, rows whose values
+    change get it as ``updated_at``. Unique keys among ``cols`` are not checked here, see
+    ``inserts.holding_edits``.
     """
     key, cols = _names(key), _names(cols)
     latest = changes.groupBy(*key).agg(
         F.max_by(F.struct(*cols), F.struct(*_names(order))).alias("_new"))
     changed = F.col("_new").isNotNull()
-
-    def pick(c):
-        if c not in cols:
-            return F.col(c)
-        new = F.col("_new")[c].cast(table.schema[c].dataType)
-        return F.when(changed, new).otherwise(F.col(c)).alias(c)
-
-    return table.join(latest, key, "left").select(*[pick(c) for c in table.columns])
+    fresh = {c: F.when(changed, F.col("_new")[c].cast(table.schema[c].dataType))
+             .otherwise(F.col(c)) for c in cols}
+    return with_values(table.join(latest, key, "left"), touched(fresh, table.columns, as_of),
+                       table.columns)
 
 
 # What a toggle form without a submitted value counts as.
 _UNSUBMITTED = {"is_active": True, "is_featured": False, "is_premium": False}
 
 
-def apply_toggles(table: DataFrame, toggles: DataFrame, col: str, key="id", order="seq") -> DataFrame:
-    """Set ``col`` to the opposite of the value submitted as ``current``.
+def apply_toggles(table: DataFrame, toggles: DataFrame, cols, key="id", order="seq",
+                  as_of=None) -> DataFrame:
+    """Set each of ``cols`` to the opposite of the value submitted as ``current``.
 
-    The submitted value counts, not the stored one.
+    The submitted value counts, not the stored one. Several columns take one pass.
     """
-    current = F.coalesce("current", F.lit(_UNSUBMITTED[col]))
-    flipped = toggles.select(*_names(key), *_names(order), (~current).alias(col))
-    return apply_updates(table, flipped, key, order, col)
+    flipped = [(~F.coalesce("current", F.lit(_UNSUBMITTED[c]))).alias(c) for c in _names(cols)]
+    return apply_updates(table, toggles.select(*_names(key), *_names(order), *flipped), key, order,
+                         cols, as_of)
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, on) -> DataFrame:

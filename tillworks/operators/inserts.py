@@ -30,18 +30,34 @@ def _has_null(names):
     return reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
 
 
-def without_collisions(rows: DataFrame, others: DataFrame, key) -> DataFrame:
-    """Rows that share ``key`` with no row of ``others``."""
-    taken = _key_columns(others.select(*key), key).select(*_names(key))
-    return (_key_columns(rows, key).join(taken, _names(key), "left_anti")
-            .select(*rows.columns))
+def _values(rows: DataFrame, key) -> DataFrame:
+    """The comparable key of every row."""
+    return _key_columns(rows.select(*key), key).select(*_names(key))
 
 
-def with_collisions(rows: DataFrame, others: DataFrame, key) -> DataFrame:
-    """Rows that share ``key`` with some row of ``others``."""
-    taken = _key_columns(others.select(*key), key).select(*_names(key))
-    return (_key_columns(rows, key).join(taken, _names(key), "left_semi")
-            .select(*rows.columns))
+def _stored_values(rows: DataFrame, key) -> DataFrame:
+    """The distinct keys of a feed, written once: a key shared by many of its rows is one row."""
+    return cut_lineage(_values(rows, key).distinct())
+
+
+def _outside(rows: DataFrame, values: DataFrame, key) -> DataFrame:
+    """Rows whose ``key`` is not among ``values``."""
+    return _key_columns(rows, key).join(values, _names(key), "left_anti").select(*rows.columns)
+
+
+def _inside(rows: DataFrame, values: DataFrame, key) -> DataFrame:
+    """Rows whose ``key`` is among ``values``."""
+    return _key_columns(rows, key).join(values, _names(key), "left_semi").select(*rows.columns)
+
+
+def without_collisions(rows: DataFrame, stored: DataFrame, key) -> DataFrame:
+    """Rows of a feed that share ``key`` with no row of ``stored``, which holds each key once.
+
+    The stored keys are first cut down to those the feed names, so a small feed is all
+    that is shuffled or broadcast, however large the table.
+    """
+    named = _values(stored, key).join(_stored_values(rows, key), _names(key))
+    return _outside(rows, cut_lineage(named), key)
 
 
 def _winners(rows: DataFrame, key, order, pick) -> DataFrame:
@@ -69,11 +85,14 @@ def _first_rows(rows: DataFrame, key, order) -> DataFrame:
 def known_parents(rows: DataFrame, fks) -> DataFrame:
     """Rows whose every foreign key is NULL or present in its parent table.
 
-    ``fks`` is a list of (column, parent DataFrame, unique parent column).
+    ``fks`` is a list of (column, parent DataFrame, unique parent column). The parents are
+    first cut down to those the rows name, and written, so that the join with the rows may
+    split a hot parent.
     """
     for column, parent, parent_column in fks:
-        parents = parent.select(F.col(parent_column).alias(column), F.lit(True).alias("_known"))
-        rows = (rows.join(parents, column, "left")
+        named = _stored_values(rows, [column]).withColumnRenamed("_k0", column)
+        known = cut_lineage(parent.select(F.col(parent_column).alias(column)).join(named, column))
+        rows = (rows.join(known.withColumn("_known", F.lit(True)), column, "left")
                 .where(F.col(column).isNull() | F.col("_known")).select(*rows.columns))
     return rows
 
@@ -117,7 +136,7 @@ def _accept_in_rounds(rows: DataFrame, keys, order: str) -> DataFrame:
         accepted = accepted.unionByName(first)
         rest = open_rows.join(first.select(order), order, "left_anti").select(*rows.columns)
         for key in keys:
-            rest = without_collisions(rest, first, key)
+            rest = _outside(rest, _values(first, key), key)
         open_rows = cut_lineage(rest)
     return accepted
 
@@ -132,9 +151,35 @@ def replace_into(table: DataFrame, rows: DataFrame, keys, order: str):
     final = rows
     for key in keys:
         final = final.join(_winners(rows, key, order, F.max), order, "left_semi")
-    kept = table
+    kept, hits = table, []
     for key in keys:
-        kept = without_collisions(kept, rows, key)
-    hits = [with_collisions(table, rows, key) for key in keys]
+        values = _stored_values(rows, key)
+        kept = _outside(kept, values, key)
+        hits.append(_inside(table, values, key))
     displaced = reduce(DataFrame.unionByName, hits).dropDuplicates(["id"])
     return kept.unionByName(final.select(*table.columns)), displaced
+
+
+def holding_edits(table: DataFrame, edits: DataFrame, keys, order: str) -> DataFrame:
+    """The edits that leave every unique key with one row; the others are rejected whole.
+
+    ``edits`` names rows of ``table`` by ``id`` and brings a new value for every column of
+    ``keys``. A value belongs to the row that holds it when the batch begins, or else to the
+    row of the first edit in ``order`` that asks for it; edits of other rows asking for it
+    are rejected. So a value that its row gives up becomes free with the next batch. NULL
+    belongs to nobody and is always accepted; edits of unknown rows are left out and ask for
+    nothing.
+    """
+    edits = known_parents(edits.where("id is not null"), [("id", table, "id")])
+    for key in keys:
+        names = _names(key)
+        asked = cut_lineage(_key_columns(edits.select("id", order, *key), key).groupBy(*names).agg(
+            F.min_by("id", order).alias("_first")))
+        held = _key_columns(table.select("id", *key), key).join(asked.select(*names), names).select(
+            *names, F.col("id").alias("_holder"))
+        owners = cut_lineage(asked.join(held, names, "left").select(
+            *names, F.coalesce("_holder", "_first").alias("_owner")))
+        edits = (_key_columns(edits, key).join(owners, names, "left")
+                 .where(_has_null(names) | (F.col("_owner") == F.col("id")))
+                 .select(*edits.columns))
+    return edits

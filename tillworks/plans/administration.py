@@ -8,9 +8,9 @@ the feed rows; ids follow the stored ones in that order.
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillworks.operators.changes import append_with_defaults
+from tillworks.operators.changes import append_with_defaults, apply_updates
 from tillworks.operators.ids import assign_ids, next_id
-from tillworks.operators.inserts import accepted_rows
+from tillworks.operators.inserts import accepted_rows, holding_edits
 from tillworks.operators.validation import (accepted, validate_categories, validate_coupons,
                                             validate_products, validate_registrations)
 from tillworks.schemas import ENUMS, ID_FLOORS, UNIQUE_KEYS
@@ -41,5 +41,25 @@ def add_coupons(coupons: DataFrame, feed: DataFrame, as_of) -> DataFrame:
     return _add(coupons, validate_coupons(feed), "coupons", as_of)
 
 
+# what the edit forms write
+PRODUCT_FORM = ["name", "slug", "description", "short_description", "price", "compare_price",
+                "category_id", "stock_quantity", "image_url", "is_featured", "is_active"]
+CATEGORY_FORM = ["name", "slug"]
+
+
+def edit_products(products: DataFrame, edits: DataFrame, as_of) -> DataFrame:
+    """Write whole edit forms in ``seq`` order; a form with another product's slug is rejected."""
+    valid = accepted(validate_products(edits, editing=True))
+    return apply_updates(products, holding_edits(products, valid, [["slug"]], "seq"), "id", "seq",
+                         PRODUCT_FORM, as_of)
+
+
+def edit_categories(categories: DataFrame, edits: DataFrame, as_of) -> DataFrame:
+    """Write names and slugs in ``seq`` order; one with another category's slug is rejected."""
+    valid = accepted(validate_categories(edits, editing=True))
+    return apply_updates(categories, holding_edits(categories, valid, [["slug"]], "seq"), "id",
+                         "seq", CATEGORY_FORM, as_of)
+
+
 def register_users(users: DataFrame, feed: DataFrame, as_of) -> DataFrame:
     return _add(users, validate_registrations(feed), "users", as_of)

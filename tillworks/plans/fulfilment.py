@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tillworks.functions.columns import ascii_upper, dollars, tracking_code
+from tillworks.operators.changes import touched, with_values
 from tillworks.operators.validation import accepted, validate_status_changes
+from tillworks.session import cut_lineage
 
 # ---- fixed values: texts of the status notices ----
 STATUS_LINES = {
@@ -18,15 +20,17 @@ def _with_known_user(orders: DataFrame, users: DataFrame) -> DataFrame:
     return orders.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
 
 
-def apply_status_changes(orders: DataFrame, users: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_status_changes(orders: DataFrame, users: DataFrame, changes: DataFrame,
+                         as_of=None) -> DataFrame:
     """Set each order to its last accepted status; any status may follow any other.
 
     ``changes`` has order_id, status and seq (unique per order). An order shipped
     at any point of the feed gets a tracking code, provided its user exists; the
     code stays through later changes. Only shipped orders are matched with the
-    users, not the whole table.
+    users, not the whole table. With ``as_of``, changed orders get it as updated_at.
     """
-    per_order = (
+    # written once: it picks the shipped orders and meets the whole table
+    per_order = cut_lineage(
         accepted(validate_status_changes(changes))
         .groupBy(F.col("order_id").alias("id"))
         .agg(F.max_by("status", "seq").alias("_status"),
@@ -37,9 +41,9 @@ def apply_status_changes(orders: DataFrame, users: DataFrame, changes: DataFrame
         .select("id", tracking_code("id").alias("_code")))
     fresh = {"status": F.coalesce("_status", "status"),
              "tracking_number": F.coalesce("_code", "tracking_number")}
-    return (
-        orders.join(per_order.drop("_shipped"), "id", "left").join(tracked, "id", "left")
-        .select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in orders.columns]))
+    return with_values(
+        orders.join(per_order.drop("_shipped"), "id", "left").join(tracked, "id", "left"),
+        touched(fresh, orders.columns, as_of), orders.columns)
 
 
 def status_notifications(orders: DataFrame, users: DataFrame, changes: DataFrame) -> DataFrame:

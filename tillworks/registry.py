@@ -322,8 +322,8 @@ def _(s):
 
 @query("orders_after_status_changes")
 def _(s):
-    return fulfilment.apply_status_changes(s.orders, s.users, s.status_changes).select(
-        "id", "user_id", "status", "tracking_number")
+    return fulfilment.apply_status_changes(s.orders, s.users, s.status_changes, AS_OF).select(
+        "id", "user_id", "status", "tracking_number", "updated_at")
 
 
 @query("status_notifications")
@@ -372,15 +372,15 @@ def _(s):
 @query("products_after_updates")
 def _(s):
     return changes.apply_updates(
-        s.products, s.product_updates, "id", "seq", ["price", "description", "stock_quantity"]
-    ).select("id", "name", "price", "description", "stock_quantity")
+        s.products, s.product_updates, "id", "seq", ["price", "description", "stock_quantity"],
+        AS_OF).select("id", "name", "price", "description", "stock_quantity", "updated_at")
 
 
 @query("products_after_toggles")
 def _(s):
-    on = changes.apply_toggles(s.products, s.product_toggles, "is_active")
-    return changes.apply_toggles(on, s.product_toggles, "is_featured").select(
-        "id", "is_active", "is_featured")
+    return changes.apply_toggles(
+        s.products, s.product_toggles, ["is_active", "is_featured"], as_of=AS_OF
+    ).select("id", "is_active", "is_featured", "updated_at")
 
 
 @query("users_after_premium_toggles")
@@ -391,19 +391,22 @@ def _(s):
 
 @query("products_after_edits")
 def _(s):
-    edits = validation.accepted(validation.validate_products(s.product_feed, editing=True))
-    return changes.apply_updates(
-        s.products, edits.withColumn("seq", F.lit(1)), "id", "seq",
-        ["name", "slug", "price", "category_id", "is_featured"]
-    ).select("id", "name", "slug", "price", "category_id", "is_featured", "is_active")
+    forms = s.product_feed.withColumns({
+        "seq": F.col("id"), "compare_price": F.col("price") + 1, "description": F.col("name"),
+        "short_description": F.when(F.col("id") % 2 == 0, F.upper("name")),
+        "stock_quantity": (F.col("id") % 100).cast("int"),
+        "image_url": F.concat(F.lit("new/"), F.col("id").cast("string")),
+        "is_active": F.col("id") % 3 != 0})
+    return administration.edit_products(s.products, forms, AS_OF).select(
+        "id", *administration.PRODUCT_FORM, "updated_at")
 
 
 @query("categories_after_edits")
 def _(s):
-    edits = validation.accepted(validation.validate_categories(
-        s.category_feed.withColumn("id", F.col("id") + 1001), editing=True))
-    return changes.apply_updates(s.categories, edits.withColumn("seq", F.lit(1)), "id", "seq",
-                                 ["name", "slug"]).select("id", "name", "slug", "parent_id")
+    forms = s.category_feed.select((F.col("id") + 1001).alias("id"), "name",
+                                   F.col("id").alias("seq"))
+    return administration.edit_categories(s.categories, forms, AS_OF).select(
+        "id", "name", "slug", "parent_id")
 
 
 @query("products_after_category_delete")
