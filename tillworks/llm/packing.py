@@ -43,6 +43,8 @@ _GROUP_BYTES = 1 << 21
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # signs that composition leaves alone and that lower-case one by one
 _PLAIN = re.compile("[!-~À-įı-ɏ]+")
+# signs that are a piece of their own behind letters
+_STOPS = b".,;:!?"
 
 
 class WordVocabulary:
@@ -88,15 +90,19 @@ class WordVocabulary:
         self._cache.clear()
 
     def _learn(self, words):
-        plain, split, strange = [], [], []
-        for word in words:
-            text = word.decode()
-            if _PLAIN.fullmatch(text):
+        whole, plain, split, strange = [], [], [], []
+        for word in words:  # as bytes: only A-Z and a-z count as letters
+            if word.isalpha():
+                whole.append(word)
+            elif word[-1] in _STOPS and word[:-1].isalpha():
                 plain.append(word)
-                split.append(_PIECES.findall(text.lower()))
+                split.append((word[:-1], word[-1:]))
+            elif _PLAIN.fullmatch(text := word.decode()):
+                plain.append(word)
+                split.append([p.encode() for p in _PIECES.findall(text.lower())])
             else:
                 strange.append((word, text))
-        pieces = sorted({p.encode() for own in split for p in own})
+        pieces = list({p for own in split for p in own}.union(whole))
         if pieces:
             raw = np.frombuffer(b"".join(pieces), np.uint8)
             lengths = np.array([len(p) for p in pieces])
@@ -104,7 +110,8 @@ class WordVocabulary:
             symbols[last] = self._last[raw[last]]
             ids, counts = self._merges.merge(symbols, lengths)
             ids, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            coded = {p.decode(): ids[a:b] for p, a, b in zip(pieces, [0, *end], end)}
+            coded = {p: ids[a:b] for p, a, b in zip(pieces, [0, *end], end)}
+            self._cache.update(zip(whole, map(coded.__getitem__, whole)))
             for word, own in zip(plain, split):
                 self._cache[word] = b"".join([coded[p] for p in own])
         if strange:
