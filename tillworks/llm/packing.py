@@ -20,6 +20,7 @@ the same rows again.
 import functools
 import json
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,16 @@ GROUP_SEQUENCES = 256
 END_ID = 2
 # attention's share overtakes the linear share at 2,048 tokens
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-_CACHE_WORDS = 300_000
+# words of one generation of the cache; two are held
+_CACHE_WORDS = 250_000
 _GROUP_BYTES = 1 << 21
 # fixed value: how the vocabulary splits lower-cased text
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # signs that composition leaves alone and that lower-case one by one
 _PLAIN = re.compile("[!-~À-įı-ɏ]+")
-# signs that are a piece of their own behind letters
-_STOPS = b".,;:!?"
+# signs that are one piece of their own behind letters
+_SIGNS = string.punctuation
+_SIGN_BYTES = _SIGNS.encode()
 
 
 class WordVocabulary:
@@ -70,7 +73,7 @@ class WordVocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._merges = PairMerges([ids[a] for a, _ in pairs], [ids[b] for _, b in pairs],
                                   range(len(pairs)), [ids[a + b] for a, b in pairs])
-        self._cache = {}
+        self._cache, self._older = {}, {}
 
     def ids(self, texts):
         """Ids of each text (UTF-8 bytes) as little-endian unsigned 32-bit numbers."""
@@ -78,42 +81,47 @@ class WordVocabulary:
         for first, last in text_groups(texts, _GROUP_BYTES):
             # as bytes: lowers A-Z, splits at ASCII white space
             words = [text.lower().split() for text in texts[first:last]]
-            new = {w for own in words for w in own if w not in self._cache}
+            new = set().union(*words).difference(self._cache)
             if len(self._cache) + len(new) > _CACHE_WORDS:
-                self._cache.clear()
-                new = {w for own in words for w in own}
-            self._learn(new)
+                self._older, self._cache = self._cache, {}
+                new = set().union(*words)
+            known = [w for w in new if w in self._older]
+            self._cache.update(zip(known, map(self._older.__getitem__, known)))
+            self._learn(new.difference(known))
             out += [b"".join(map(self._cache.__getitem__, own)) for own in words]
         return out
 
     def forget(self):
-        self._cache.clear()
+        self._cache, self._older = {}, {}
 
     def _learn(self, words):
-        whole, plain, split, strange = [], [], [], []
+        split, strange = {}, []
         for word in words:  # as bytes: only A-Z and a-z count as letters
             if word.isalpha():
-                whole.append(word)
-            elif word[-1] in _STOPS and word[:-1].isalpha():
-                plain.append(word)
-                split.append((word[:-1], word[-1:]))
+                continue
+            start = word.rstrip(_SIGN_BYTES)
+            if start.isalpha():
+                split[word] = (start, word[len(start):])
             elif _PLAIN.fullmatch(text := word.decode()):
-                plain.append(word)
-                split.append([p.encode() for p in _PIECES.findall(text.lower())])
+                text = text.lower()
+                start = text.rstrip(_SIGNS)
+                own = ([start, text[len(start):]] if start.isalpha() else _PIECES.findall(text))
+                split[word] = [p.encode() for p in own if p]
             else:
                 strange.append((word, text))
-        pieces = list({p for own in split for p in own}.union(whole))
+        # a piece is coded like a word of its own
+        pieces = list(set(filter(bytes.isalpha, words)).union(*split.values()).difference(
+            self._cache))
         if pieces:
             raw = np.frombuffer(b"".join(pieces), np.uint8)
-            lengths = np.array([len(p) for p in pieces])
+            lengths = np.array(list(map(len, pieces)))
             symbols, last = self._byte[raw], np.cumsum(lengths) - 1
             symbols[last] = self._last[raw[last]]
             ids, counts = self._merges.merge(symbols, lengths)
             ids, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            coded = {p: ids[a:b] for p, a, b in zip(pieces, [0, *end], end)}
-            self._cache.update(zip(whole, map(coded.__getitem__, whole)))
-            for word, own in zip(plain, split):
-                self._cache[word] = b"".join([coded[p] for p in own])
+            self._cache.update((p, ids[a:b]) for p, a, b in zip(pieces, [0, *end], end))
+        for word, own in split.items():
+            self._cache[word] = b"".join([self._cache[p] for p in own])
         if strange:
             for (word, _), code in zip(strange, self._library.encode_batch(
                     [text for _, text in strange], add_special_tokens=False)):
