@@ -266,8 +266,10 @@ _BODIES = {
     "wishlist_after_login_merge": _wished("""
         SELECT user_id, product_id, logged_in_at AS added_at
         FROM session_wishes WHERE user_id IS NOT NULL"""),
-    "cart_after_edits": """
-        SELECT c.id, c.user_id, c.product_id, CAST(coalesce(e.quantity, c.quantity) AS INTEGER) AS quantity
+    "cart_after_edits": f"""
+        SELECT c.id, c.user_id, c.product_id, CAST(coalesce(e.quantity, c.quantity) AS INTEGER) AS quantity,
+               CASE WHEN coalesce(e.quantity, c.quantity) IS DISTINCT FROM c.quantity
+                    THEN {_AS_OF} ELSE c.updated_at END AS updated_at
         FROM cart_items c LEFT JOIN cart_edits e ON e.id = c.id AND e.user_id = c.user_id""",
     "cart_after_removals": """
         SELECT id, user_id, product_id, quantity FROM cart_items
@@ -294,8 +296,10 @@ _BODIES = {
     "order_id_assignment": """
         SELECT order_date, order_number,
                999 + row_number() OVER (ORDER BY order_date, order_number) AS id FROM shop_orders""",
-    "stock_after_orders": """
-        SELECT p.id, p.sku, CAST(p.stock_quantity - coalesce(m.units, 0) AS BIGINT) AS stock_quantity
+    "stock_after_orders": f"""
+        SELECT p.id, p.sku, CAST(p.stock_quantity - coalesce(m.units, 0) AS BIGINT) AS stock_quantity,
+               CASE WHEN p.stock_quantity IS NOT NULL AND coalesce(m.units, 0) <> 0
+                    THEN {_AS_OF} ELSE p.created_at END AS updated_at
         FROM products p
         LEFT JOIN (SELECT product_id, sum(quantity) AS units FROM order_items
                    WHERE is_new GROUP BY product_id) m ON m.product_id = p.id""",
@@ -386,10 +390,13 @@ _BODIES = {
         FROM products p
         LEFT JOIN (SELECT k, max(event_id) AS event_id FROM shop_events
                    WHERE event_type = 'error' GROUP BY k) t ON t.k = p.id""",
-    "users_after_premium_toggles": """
+    "users_after_premium_toggles": f"""
         SELECT u.id, u.username,
                CASE WHEN t.user_id IS NULL THEN u.is_premium
-                    ELSE t.event_id % 5 = 0 OR t.event_id % 2 <> 0 END AS is_premium
+                    ELSE t.event_id % 5 = 0 OR t.event_id % 2 <> 0 END AS is_premium,
+               CASE WHEN t.user_id IS NOT NULL
+                     AND (t.event_id % 5 = 0 OR t.event_id % 2 <> 0) IS DISTINCT FROM u.is_premium
+                    THEN {_AS_OF} ELSE u.created_at END AS updated_at
         FROM users u
         LEFT JOIN (SELECT user_id, max(event_id) AS event_id FROM shop_events
                    WHERE event_type = 'view' GROUP BY user_id) t ON t.user_id = u.id""",

@@ -65,6 +65,19 @@ def test_a_batch_shows_only_once_its_manifest_is_written(spark, t, tmp_path):
         snapshots.read_published(spark, root, "orders")
 
 
+def test_a_reader_keeps_one_batch_for_all_its_tables(spark, t, tmp_path):
+    root, names = str(tmp_path), ["wishlist", "cart_items"]
+    snapshots.publish(spark, root, 1, {n: t[n] for n in names})
+    held = snapshots.read_all_published(spark, root, names)
+    # a retry and a later batch, while the reader is at work
+    snapshots.publish(spark, root, 1, {n: t[n].limit(1) for n in names})
+    snapshots.publish(spark, root, 2, {n: t[n].limit(0) for n in names})
+    assert [held[n].count() for n in names] == [3, 4]
+    later = snapshots.read_all_published(spark, root, names)
+    assert [later[n].count() for n in names] == [0, 0]
+    assert all(later[n].schema == t[n].schema for n in names)
+
+
 def test_scratch_folders_are_new_ones_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")

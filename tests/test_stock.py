@@ -62,6 +62,36 @@ def test_stream_equals_batch_and_survives_a_replayed_batch(spark, t, tmp_path):
     check(t["order_items"].unionByName(t["order_items"].where("id = 1")))
 
 
+def test_readers_see_finished_batches_only_and_bases_stand_for_them(spark, t, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("items", "movements", "state"))
+    items = t["order_items"]
+    for part in range(3):
+        items.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(src)
+    stock_stream.start_stock_stream(spark, src, out, state, files_per_batch=1).awaitTermination()
+
+    def moved(kind="product"):
+        return sorted(map(tuple, stock_stream.read_movements(spark, out, kind).collect()))
+
+    whole = sorted(map(tuple, stock.product_movements(items).collect()))
+    assert moved() == whole
+    # a batch whose job died before its line in the log
+    stock_stream.batch_movements(items).write.parquet(f"{out}/batch_id=3")
+    assert moved() == whole
+    # a replay of a finished batch leaves its folder alone, whatever it brings
+    stock_stream.record_batch(items, 1, out)
+    assert moved() == whole
+    for _ in range(2):  # the second has nothing to do
+        stock_stream.compact(spark, out)
+        assert moved() == whole
+    assert len(stock_stream._finished(spark, out, -1)[1]) == 1
+    # the replay of the unfinished one overwrites it and counts once
+    stock_stream.record_batch(items, 3, out)
+    twice = sorted(map(tuple, stock.product_movements(items.unionByName(items)).collect()))
+    assert moved() == twice
+    stock_stream.compact(spark, out)
+    assert moved() == twice and stock_stream.read_movements(spark, out, "product", 3).isEmpty()
+
+
 CHANGES = "order_id bigint, seq int, status string"
 
 

@@ -119,10 +119,14 @@ def merge_guest_wishlists(sessions: DataFrame, wishlist: DataFrame, products=Non
                         users)
 
 
-def set_cart_quantities(cart: DataFrame, edits: DataFrame) -> DataFrame:
-    """Set the quantity of a user's own lines; the latest edit of a line wins."""
+def set_cart_quantities(cart: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
+    """Set the quantity of a user's own lines; the latest edit of a line wins.
+
+    With ``as_of``, lines whose quantity changes get it as ``updated_at``.
+    """
     clamped = edits.select("id", "user_id", "seq", clamp_qty("quantity").alias("quantity"))
-    return apply_updates(cart, clamped, ["id", "user_id"], "seq", "quantity").select(*cart.columns)
+    return apply_updates(cart, clamped, ["id", "user_id"], "seq", "quantity", as_of).select(
+        *cart.columns)
 
 
 def cart_lines(cart: DataFrame, products: DataFrame) -> DataFrame:

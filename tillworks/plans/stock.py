@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillworks.operators.changes import touched, with_values
+
 
 def product_movements(new_items: DataFrame) -> DataFrame:
     """Units taken per product."""
@@ -14,15 +16,18 @@ def variant_movements(new_items: DataFrame) -> DataFrame:
             .groupBy(F.col("variant_id").alias("id")).agg(F.sum("quantity").alias("taken")))
 
 
-def apply_movements(stocked: DataFrame, movements: DataFrame) -> DataFrame:
-    """Opening stock less the units taken; may go below zero, NULL stays NULL."""
+def apply_movements(stocked: DataFrame, movements: DataFrame, as_of=None) -> DataFrame:
+    """Opening stock less the units taken; may go below zero, NULL stays NULL.
+
+    With ``as_of``, rows whose stock changes get it as ``updated_at``, where they have one.
+    """
     left = F.col("stock_quantity").cast("bigint") - F.coalesce("taken", F.lit(0))
-    return stocked.join(movements, "id", "left").select(
-        *[left.alias(c) if c == "stock_quantity" else F.col(c) for c in stocked.columns])
+    fresh = touched({"stock_quantity": left}, stocked.columns, as_of)
+    return with_values(stocked.join(movements, "id", "left"), fresh, stocked.columns)
 
 
-def stock_after_orders(products: DataFrame, new_items: DataFrame) -> DataFrame:
-    return apply_movements(products, product_movements(new_items))
+def stock_after_orders(products: DataFrame, new_items: DataFrame, as_of=None) -> DataFrame:
+    return apply_movements(products, product_movements(new_items), as_of)
 
 
 def variant_stock_after_orders(variants: DataFrame, new_items: DataFrame) -> DataFrame:

@@ -248,8 +248,8 @@ def _(s):
 
 @query("cart_after_edits")
 def _(s):
-    return carts.set_cart_quantities(s.cart_items, s.cart_edits).select(
-        "id", "user_id", "product_id", "quantity")
+    return carts.set_cart_quantities(s.cart_items, s.cart_edits, AS_OF).select(
+        "id", "user_id", "product_id", "quantity", "updated_at")
 
 
 @query("cart_after_removals")
@@ -299,8 +299,8 @@ def _(s):
 
 @query("stock_after_orders")
 def _(s):
-    return stock.stock_after_orders(s.products, s.new_order_items).select(
-        "id", "sku", "stock_quantity")
+    return stock.stock_after_orders(s.products, s.new_order_items, AS_OF).select(
+        "id", "sku", "stock_quantity", "updated_at")
 
 
 @query("variant_stock_after_orders")
@@ -316,8 +316,9 @@ def _(s):
     s.new_order_items.write.parquet(f"{base}/items")
     stock_stream.start_stock_stream(
         s.spark, f"{base}/items", f"{base}/movements", f"{base}/checkpoint").awaitTermination()
-    left = stock_stream.current_stock(s.spark, s.products, f"{base}/movements", "product")
-    return left.select("id", "sku", "stock_quantity")
+    left = stock_stream.current_stock(
+        s.spark, s.products, f"{base}/movements", "product", as_of=AS_OF)
+    return left.select("id", "sku", "stock_quantity", "updated_at")
 
 
 @query("orders_after_status_changes")
@@ -385,8 +386,8 @@ def _(s):
 
 @query("users_after_premium_toggles")
 def _(s):
-    return changes.apply_toggles(s.users, s.user_toggles, "is_premium").select(
-        "id", "username", "is_premium")
+    return changes.apply_toggles(s.users, s.user_toggles, "is_premium", as_of=AS_OF).select(
+        "id", "username", "is_premium", "updated_at")
 
 
 @query("products_after_edits")
