@@ -241,3 +241,23 @@ def test_one_of_equal_rows_stays(spark):
                                  "doc_id bigint, text string")
     assert sorted(map(str, simhash.keep_one(rows).collect())) == sorted(map(str, [
         rows.collect()[0], rows.collect()[3]]))
+
+
+def test_word_ids_equal_the_librarys_across_generations_of_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 40)
+    words = packing.WordVocabulary(path)
+    rng = random.Random(5)
+    parts = ["don't", "'s", "rock'star", "ÉTÉ", "été!!", "x", "Abc", ".%%%", "&&&", "12a", "…", "'", "ß'll",
+             "×", "a×b", "日本", "é", "İ", "ǅ.", "-", "we've,", "''t", "!'t", "naïve?!", " "]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(30))
+                 for _ in range(3)]
+        got = words.ids([text.encode() for text in texts])
+        for text, ids in zip(texts, got):
+            expected = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == expected, text
