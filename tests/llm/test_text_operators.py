@@ -127,6 +127,28 @@ def test_language_is_learned_and_narrow_leads_are_rejected(spark):
     assert lang_id.identify(documents, []).where("lang_pred <> 'und'").count() == 0
 
 
+def test_long_and_repeated_labelled_texts_fill_a_dictionary(spark):
+    rng = random.Random(5)
+
+    def text(words, size):
+        return " ".join(rng.choice(words) for _ in range(size // 7))
+
+    long, short = (["".join(rng.choice(signs) for _ in range(6)) for _ in range(200)]
+                   for signs in ("abcdeé", "uvwxyz"))
+    rows = [(text(long, 30_000), "long") for _ in range(20)]
+    rows += [(text(short, 300), "copied") for _ in range(150)]
+    rows += [(rows[20][0], "copied")] * 8000
+    training = spark.createDataFrame(rows, "text string, lang string")
+    known = dict(lang_id.learn(training))
+    assert {lang: len(d) > 0.8 * lang_id.DICTIONARY_BYTES for lang, d in known.items()} == {
+        "long": True, "copied": True}
+    assert list(known) == ["copied", "long"]
+    documents = spark.createDataFrame(
+        [(i, text((long, short)[i % 2], 200)) for i in range(60)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in lang_id.identify(documents, list(known.items())).collect()}
+    assert all(out[i]["lang_pred"] == ("long", "copied")[i % 2] for i in range(60))
+
+
 def passages(rng):
     def text(n):
         return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(n))

@@ -5,9 +5,10 @@ A text is compressed block by block with each dictionary; the language with the
 total wins, and the lead over the second smallest is the score. Before that, texts
 are lower-cased and every run of signs that are no letters becomes one space.
 
-The dictionaries come from a bounded sample: per language ``DICTIONARY_BYTES`` of whole,
-distinct training texts of at most ``SAMPLE_TEXT_BYTES``, taken in the order of a hash of the
-text. All other work covers all rows and whole texts; nothing but text is looked at.
+The dictionaries come from a bounded sample: per language ``DICTIONARY_BYTES`` of pieces of
+at most ``PIECE_BYTES`` of the distinct training texts of any length, taken in the order of a
+hash of text and position. All other work covers all rows and whole texts; nothing but text is
+looked at.
 
 A null text, or one without a letter, is `und` with score 0 and rejected. With a single
 learned language every other text gets it with score 1; with none, `und`. Equal sizes go to
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tillworks.llm.common import crc32_remainder, schema_with, small_batches
 
 DICTIONARY_BYTES = 32 << 10
-SAMPLE_TEXT_BYTES = 8 << 10
+PIECE_BYTES = 2 << 10
 BLOCK_BYTES = 2048
 LEVEL = 6
 # a lead of less than this share of the second smallest size is narrow
@@ -55,22 +56,31 @@ def learn(training: DataFrame, text_col="text", lang_col="lang") -> list:
     rows = training.select(F.col(lang_col).cast("string").alias("lang"),
                            F.col(text_col).cast("string").alias("text")).where(
         (F.octet_length("text") > 0) & F.col("lang").isNotNull())
-    short = F.octet_length("text") <= SAMPLE_TEXT_BYTES
-    totals = {r["lang"]: r for r in rows.groupBy("lang").agg(
-        F.count("*").alias("texts"),
-        F.sum(F.when(short, F.octet_length("text"))).alias("size")).collect()}
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    totals = {r["lang"]: r for r in rows.groupBy("lang", "key").agg(
+        F.count("*").alias("texts"), F.max(F.octet_length("text")).cast("bigint").alias(
+            "size")).groupBy("lang").agg(F.sum("texts").alias("texts"),
+                                         F.sum("size").alias("size")).collect()}
     # a hash below the share keeps about four dictionaries' worth of each language
     limits = [F.when(F.col("lang") == lang, F.lit(int(min(1.0, 4 * DICTIONARY_BYTES / r["size"])
                                                       * (1 << 62))))
-              for lang, r in totals.items() if r["size"]]
+              for lang, r in totals.items()]
     sample = {}
     if limits:
-        hashed = F.shiftrightunsigned(F.xxhash64("text"), 2)
-        chosen = rows.where(short & (hashed <= F.coalesce(*limits))).groupBy(
-            "lang", hashed.alias("hash")).agg(F.first("text").alias("text"))
-        for r in sorted(chosen.collect(), key=lambda r: r["hash"]):
+        def hashed(at):
+            return F.shiftrightunsigned(F.xxhash64("key", at), 2)
+
+        starts = F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(PIECE_BYTES))
+        chosen = rows.withColumn("share", F.coalesce(*limits)).select(
+            "lang", "key", "text", F.explode(F.filter(
+                starts, lambda at: hashed(at) <= F.col("share"))).alias("at")).select(
+            "lang", hashed(F.col("at")).alias("hash"), F.substring(
+                F.col("text").cast("binary"), F.col("at") + 1, F.lit(PIECE_BYTES)).alias("piece"))
+        found = chosen.groupBy("lang", "hash").agg(F.first("piece").alias("piece"))
+        for r in sorted(found.collect(), key=lambda r: r["hash"]):
             own = sample.setdefault(r["lang"], [])
-            text = letters(r["text"])
+            # a cut may split a character
+            text = letters(bytes(r["piece"]).decode(errors="ignore"))
             if text and sum(map(len, own)) + len(text) <= DICTIONARY_BYTES:
                 own.append(text)
     order = sorted(totals, key=lambda lang: (-totals[lang]["texts"], lang))
