@@ -37,7 +37,8 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of documents with their sequence and place."""
-    return packing.piece_digests(packing.pack(docs, vocabulary_file("word_bpe_49k.json")))
+    return packing.piece_digests(packing.pack(docs, vocabulary_file("word_bpe_49k.json"),
+                                              added_tokens=True))
 
 
 STAGES = [("language ID", identify_language), ("SimHash near-dedup", drop_near_duplicates),

@@ -3,13 +3,15 @@
 import base64
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tillworks.llm import byte_bpe, lang_id, packing, simhash, suffix_dedup
-from tillworks.llm.queries import vocabulary_file
+from tillworks.llm.queries import QUERIES, vocabulary_file
 
 ODD = [None, "", " \n\t", "a", "a", "it's 'll'll we've '' x's's'll' 12 34!!??    \x1c end",
        "Straße ÄÖ İ ǅ Σας 中文 😀😀 é", "ab" * 3000, "!" * 700, " " * 300 + "x",
@@ -96,6 +98,27 @@ def test_packing_keeps_every_id_once_and_pads_nothing(spark, fuzz):
     assert packing.pack(frame(spark, texts).where("false"), path).count() == 0
 
 
+def test_packing_queries_equal_the_librarys_plain_call(spark, fuzz, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_file("word_bpe_49k.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "x", "It's",
+             "é", "e", "\u0301", " ", "\n", "12", "!", "\u2003", "日本", "<", "|>"]
+    texts = ["hi <|endoftext|> you", *fuzz[:300], *(
+        "".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300))]
+    documents = frame(spark, texts)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    for pieces in (QUERIES["op3_cost_packing"](spark, str(tmp_path)),
+                   corpus_pipeline.pack_sequences(spark, documents, str(tmp_path))):
+        whole = {r["doc_id"]: r for r in pieces.where("length = doc_tokens").collect()}
+        assert len(whole) > 0.9 * len(texts) and 0 in whole
+        for i, r in whole.items():
+            ids = [*library.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+            assert r["doc_tokens"] == len(ids), texts[i]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_packing_takes_the_cheapest_sequence_with_room():
     documents, starts, lengths, sequences, offsets = packing.assign([6, 5, 3, 2], [8, 8])
     placed = Counter()

@@ -11,6 +11,9 @@ with full sequences only and hands its odd tokens to the next one; the last grou
 task ends in sequences whose lengths are the powers of two that add up to its odd
 tokens. No sequence needs padding then.
 
+Strings of the vocabulary's added tokens, as <|endoftext|>, are ordinary text or, with
+``added_tokens``, become their ids as in the library's plain call; the queries do the latter.
+
 Every row is packed on its own: a null or empty text consists of the end id alone,
 repeated rows are packed repeatedly, an empty table gives an empty table, other columns
 are ignored. Sequence ids hold the partition in their upper bits; a repeated task gives
@@ -63,7 +66,12 @@ class WordVocabulary:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            stored = json.load(file)
+        model = stored["model"]
+        # found in the text as it is, before it is lower-cased
+        self._added = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes()
+                       for t in stored["added_tokens"]}
+        self._added_strings = re.compile(b"(" + b"|".join(map(re.escape, self._added)) + b")")
         ids, suffix = model["vocab"], model["end_of_word_suffix"]
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
@@ -75,6 +83,17 @@ class WordVocabulary:
                                   range(len(pairs)), [ids[a + b] for a, b in pairs])
         self._cache, self._older = {}, {}
 
+    def plain_ids(self, texts):
+        """As ``ids``, but strings of added tokens become those tokens and part the text."""
+        marked = [any(t in text for t in self._added) for text in texts]
+        if not any(marked):
+            return self.ids(texts)
+        parts = [self._added_strings.split(text) if own else [text]
+                 for text, own in zip(texts, marked)]
+        coded = iter(self.ids([p for own in parts for p in own[::2]]))
+        return [b"".join(self._added[p] if i % 2 else next(coded) for i, p in enumerate(own))
+                for own in parts]
+
     def ids(self, texts):
         """Ids of each text (UTF-8 bytes) as little-endian unsigned 32-bit numbers."""
         out = []
@@ -214,7 +233,8 @@ class _Packer:
 
 
 def pack(documents: DataFrame, path: str, id_col="doc_id", text_col="text",
-         sequence_tokens=SEQUENCE_TOKENS, group_sequences=GROUP_SEQUENCES) -> DataFrame:
+         sequence_tokens=SEQUENCE_TOKENS, group_sequences=GROUP_SEQUENCES,
+         added_tokens=False) -> DataFrame:
     """One row per piece of a document.
 
     doc_id, start (ids of the document before the piece), token_ids (binary, little-endian
@@ -228,6 +248,7 @@ def pack(documents: DataFrame, path: str, id_col="doc_id", text_col="text",
 
     def run(batches):
         words = word_vocabulary(path)
+        code = words.plain_ids if added_tokens else words.ids
         packer = _Packer(TaskContext.get().partitionId(), sequence_tokens, group_sequences)
 
         def batch_of(rows):
@@ -236,7 +257,7 @@ def pack(documents: DataFrame, path: str, id_col="doc_id", text_col="text",
 
         for batch in batches:
             rows = []
-            coded = words.ids([text or b"" for text in text_bytes(batch.column(1))])
+            coded = code([text or b"" for text in text_bytes(batch.column(1))])
             for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
                 rows += packer.add(doc_id, ids + end)
                 if packer.full():

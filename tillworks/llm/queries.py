@@ -28,7 +28,8 @@ def maxent_scores(spark, folder):
 
 def cost_packing(spark, folder):
     return packing.piece_digests(packing.pack(read(spark, folder, "documents"),
-                                              vocabulary_file("word_bpe_49k.json")))
+                                              vocabulary_file("word_bpe_49k.json"),
+                                              added_tokens=True))
 
 
 def compression_language(spark, folder):
