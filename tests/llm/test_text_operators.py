@@ -306,3 +306,91 @@ def test_word_ids_equal_the_librarys_across_generations_of_the_cache(monkeypatch
         for text, ids in zip(texts, got):
             expected = library.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(ids, "<u4").tolist() == expected, text
+
+
+def plain_languages(rows):
+    """The rows that language ID keeps, each classified alone."""
+    import xxhash
+
+    texts, size, pieces = Counter(), Counter(), defaultdict(dict)
+    training = [r for r in rows if r["lang"] is not None and r["text"]
+                and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    texts.update(r["lang"] for r in training)
+    distinct = {(r["lang"], r["text"].encode()) for r in training}
+    for lang, raw in distinct:
+        size[lang] += len(raw)
+    for lang, raw in distinct:
+        key = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(raw, 42).to_bytes(8, "little"), 42)
+        for at in range(0, len(raw), 2048):
+            value = xxhash.xxh64_intdigest(at.to_bytes(4, "little"), key) >> 2
+            if value <= min(1.0, 4 * 32768 / size[lang]) * (1 << 62):
+                pieces[lang][value] = lang_id.letters(raw[at:at + 2048].decode(errors="ignore"))
+    known = []
+    for lang in sorted(texts, key=lambda lang: (-texts[lang], lang)):
+        own = []
+        for _, piece in sorted(pieces[lang].items()):
+            if piece and sum(map(len, own)) + len(piece) <= 32768:
+                own.append(piece)
+        known.append((lang, b" ".join(own)))
+    classifier = lang_id.Classifier(known)
+    return [r for r in rows if not classifier.predict(r["text"])[2]]
+
+
+def plain_first_of_groups(rows):
+    prints = [plain_print(r["text"]) for r in rows]
+    prints = [p - (1 << 64) if p >> 63 else p for p in prints]
+    root, first = plain_components(prints), {}
+    for p, r in sorted(zip(prints, rows), key=lambda x: x[1]["doc_id"]):
+        first.setdefault(root[p], r)
+    return list(first.values())
+
+
+def plain_cut(rows, length=200):
+    texts = [(r["text"] or "").encode() for r in rows]
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for text, r in zip(texts, rows):
+        gone = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            if seen[text[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(text, gone) if not g).decode(errors="ignore")
+        out.append(r | {"text": kept, "n_chars": len(kept)})
+    return out
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in table.collect()]
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    top = max(r["doc_id"] for r in rows)
+    more = [(rows[3]["text"], "en"), (rows[5]["text"] + " one more word", "en"), ("12 !! 34", None),
+            ("", "de"), (None, None), ("qx", None), ("uno due " + rows[7]["text"][:700], None),
+            ("fin " + rows[7]["text"][100:900] + "é" * 150 + " new", None)]
+    rows += [{"doc_id": top + 1 + i, "text": text, "lang": lang, "source": "s",
+              "n_chars": len(text or "")} for i, (text, lang) in enumerate(more)]
+    plain = [plain_languages, plain_first_of_groups, plain_cut]
+    sizes = [len(rows)]
+    for (name, stage), version in zip(corpus_pipeline.STAGES, plain):
+        found = [r.asDict() for r in stage(
+            spark, spark.createDataFrame(rows, table.schema), None).collect()]
+        rows = sorted(version(rows), key=lambda r: r["doc_id"])
+        assert sorted(found, key=lambda r: r["doc_id"]) == rows, name
+        sizes.append(len(rows))
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3]
+    library = Tokenizer.from_file(vocabulary_file("word_bpe_49k.json"))
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.STAGES[3][1](
+            spark, spark.createDataFrame(rows, table.schema), None).collect():
+        pieces[r["doc_id"]].append(r)
+    assert pieces.keys() == {r["doc_id"] for r in rows}
+    for r in rows:
+        ids = np.array([*library.encode(r["text"], add_special_tokens=False).ids, 2], "<u4")
+        end = 0
+        for p in sorted(pieces[r["doc_id"]], key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"]) == (end, len(ids))
+            end += p["length"]
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"]:end].tobytes())
+        assert end == len(ids)
