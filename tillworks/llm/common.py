@@ -73,9 +73,11 @@ def schema_with(frame: DataFrame, **added) -> T.StructType:
                          *(T.StructField(n, kinds[k]) for n, k in added.items())])
 
 
-def among(rows: DataFrame, column: str, wanted: DataFrame, keep=True) -> DataFrame:
+def among(rows: DataFrame, column: str, wanted: DataFrame, keep=True, also=None) -> DataFrame:
     """Rows whose value may be among the wanted ones (or surely is not), by a bit table.
 
+    Rows that meet the condition ``also`` are kept in any case.
+
     The table has at most ``BITS`` bits, as words of 64, so its broadcast is bounded. An exact
     join of what it lets through must follow; it only keeps other rows out of the shuffle.
     """
@@ -86,4 +88,5 @@ def among(rows: DataFrame, column: str, wanted: DataFrame, keep=True) -> DataFra
     hit = rows.withColumn("word", F.expr(f"{bit} div 64")).join(
         F.broadcast(table), "word", "left").withColumn(
         "hit", F.expr(f"coalesce(mask & shiftleft(1L, int({bit} % 64)), 0L) != 0"))
-    return hit.where("hit" if keep else "not hit").drop("word", "mask", "hit")
+    wish = "hit" if keep else "not hit"
+    return hit.where(f"({also}) or {wish}" if also else wish).drop("word", "mask", "hit")

@@ -1,6 +1,7 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
 from tillworks.llm.chat import HISTORY, STRIDE, TURN_TOKENS
+from tillworks.llm.decontamination import WINDOW
 from tillworks.llm.suffix_dedup import LENGTH
 from tillworks.llm.url_filter import FAN, LEVELS, RARE, REJECT, RULES, SIGNIFICANT, WEIGHT
 
@@ -161,9 +162,41 @@ FROM b JOIN t{LEVELS} t ON b.host = t.host AND b.shape = t.shape
     return ", ".join(parts[:-1]) + ", " + parts[-1]
 
 
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+BENCHMARK_WINNOWING = f"""
+WITH i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark
+), x AS (
+  SELECT item, w, least(len(w), {WINDOW}) AS n FROM i WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM x)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), o AS (
+  SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM x))
+), m AS (
+  SELECT r, o.n, s, item FROM o JOIN g ON o.n = g.n AND o.gram = g.gram
+), h AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, n, s FROM m)) GROUP BY r
+), l AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, item FROM m) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN l ON d.r = l.r
+"""
+
 ORACLES = {
     "op1_suffix_array_dedup": SUFFIX_ARRAY_DEDUP,
     "op6_url_verdicts": _url_verdicts(),
     "op7_ball_tree_top_k": BALL_TREE_TOP_K,
     "op10_chat_windows": CHAT_WINDOWS,
+    "op13_benchmark_winnowing": BENCHMARK_WINNOWING,
 }

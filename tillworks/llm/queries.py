@@ -3,8 +3,8 @@
 import importlib.util
 from pathlib import Path
 
-from tillworks.llm import (ball_tree, byte_bpe, chat, lang_id, maxent_lm, packing, simhash,
-                           suffix_dedup, url_filter, vp_tree)
+from tillworks.llm import (ball_tree, byte_bpe, chat, decontamination, lang_id, maxent_lm, packing,
+                           simhash, suffix_dedup, url_filter, vp_tree)
 from tillworks.llm.common import crc32_remainder, read
 from tillworks.llm.oracles import ORACLES  # noqa: F401
 
@@ -66,6 +66,11 @@ def chat_windows(spark, folder):
     return chat.digests(chat.windows(turns.unionByName(marked)))
 
 
+def benchmark_winnowing(spark, folder):
+    return decontamination.contamination(read(spark, folder, "documents"),
+                                         read(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op2_maxent_scores": maxent_scores,
@@ -77,4 +82,5 @@ QUERIES = {
     "op8_vp_tree_nearest": vp_tree_nearest,
     "op9_byte_bpe_round_trip": byte_bpe_round_trip,
     "op10_chat_windows": chat_windows,
+    "op13_benchmark_winnowing": benchmark_winnowing,
 }
