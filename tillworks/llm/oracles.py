@@ -2,6 +2,7 @@
 
 from tillworks.llm.chat import HISTORY, STRIDE, TURN_TOKENS
 from tillworks.llm.decontamination import WINDOW
+from tillworks.llm.prefix_trie import LONGEST_HEAD, SPAN
 from tillworks.llm.suffix_dedup import LENGTH
 from tillworks.llm.url_filter import FAN, LEVELS, RARE, REJECT, RULES, SIGNIFICANT, WEIGHT
 
@@ -162,6 +163,47 @@ FROM b JOIN t{LEVELS} t ON b.host = t.host AND b.shape = t.shape
     return ", ".join(parts[:-1]) + ", " + parts[-1]
 
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(
+  string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda u, i: CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END)), 4294967295)"""
+
+CONVERSATION_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS own
+  FROM t GROUP BY conv_id
+), h AS (
+  SELECT *, {_CRC32} % {LONGEST_HEAD} AS h FROM o
+), c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS s
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % {SPAN}
+), p AS (
+  SELECT conv_id, len(s) AS n, d, s[1:d] AS k
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c)
+), v AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE length(k[d].t) END AS chars
+  FROM p GROUP BY d, k
+), f AS (
+  SELECT v.k, count(*) AS n_children FROM v JOIN v w ON w.d = v.d + 1 AND w.k[1:w.d - 1] = v.k
+  GROUP BY v.k
+), g AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN f ON v.k = f.k
+), u AS (
+  SELECT k[1:a] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM g) GROUP BY ALL
+)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, g.n_convs,
+  g.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN u ON g.k = u.k LEFT JOIN g q ON q.d = g.d - 1 AND q.k = g.k[1:g.d - 1]
+"""
+
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
@@ -198,5 +240,6 @@ ORACLES = {
     "op6_url_verdicts": _url_verdicts(),
     "op7_ball_tree_top_k": BALL_TREE_TOP_K,
     "op10_chat_windows": CHAT_WINDOWS,
+    "op12_conversation_trie": CONVERSATION_TRIE,
     "op13_benchmark_winnowing": BENCHMARK_WINNOWING,
 }
