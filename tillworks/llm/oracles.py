@@ -207,6 +207,35 @@ FROM g JOIN u ON g.k = u.k LEFT JOIN g q ON q.d = g.d - 1 AND q.k = g.k[1:g.d -
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
+_TERMS = _WORDS.replace("3A-", "3A-\\x40\\x5B-", 1)
+
+K2_TREAP_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents
+), s AS (
+  SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS n,
+    CAST(sum(len(t)) AS BIGINT) AS l FROM d
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), m AS (
+  SELECT r, doc_id, 10 + (90 * len(t) * n) // l AS m FROM d, s WHERE len(t) > 0
+), c AS (
+  SELECT item_id, any_value(doc_id) AS doc_id, p.r,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w ON q.term = w.term JOIN p ON q.term = p.term JOIN m ON p.r = m.r
+  GROUP BY item_id, p.r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM c WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 BENCHMARK_WINNOWING = f"""
 WITH i AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark
@@ -240,6 +269,7 @@ ORACLES = {
     "op6_url_verdicts": _url_verdicts(),
     "op7_ball_tree_top_k": BALL_TREE_TOP_K,
     "op10_chat_windows": CHAT_WINDOWS,
+    "op11_k2_treap_search": K2_TREAP_SEARCH,
     "op12_conversation_trie": CONVERSATION_TRIE,
     "op13_benchmark_winnowing": BENCHMARK_WINNOWING,
 }

@@ -3,8 +3,8 @@
 import importlib.util
 from pathlib import Path
 
-from tillworks.llm import (ball_tree, byte_bpe, chat, decontamination, lang_id, maxent_lm, packing,
-                           prefix_trie, simhash, suffix_dedup, url_filter, vp_tree)
+from tillworks.llm import (ball_tree, byte_bpe, chat, decontamination, k2_treap, lang_id, maxent_lm,
+                           packing, prefix_trie, simhash, suffix_dedup, url_filter, vp_tree)
 from tillworks.llm.common import crc32_remainder, read
 from tillworks.llm.oracles import ORACLES  # noqa: F401
 
@@ -66,6 +66,10 @@ def chat_windows(spark, folder):
     return chat.digests(chat.windows(turns.unionByName(marked)))
 
 
+def k2_treap_search(spark, folder):
+    return k2_treap.rank(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def conversation_trie(spark, folder):
     return prefix_trie.trie(read(spark, folder, "conversations"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_vp_tree_nearest": vp_tree_nearest,
     "op9_byte_bpe_round_trip": byte_bpe_round_trip,
     "op10_chat_windows": chat_windows,
+    "op11_k2_treap_search": k2_treap_search,
     "op12_conversation_trie": conversation_trie,
     "op13_benchmark_winnowing": benchmark_winnowing,
 }
