@@ -415,6 +415,15 @@ _BODIES = {
         SELECT c.id, coalesce(f.name, c.name) AS name, coalesce(f.slug, c.slug) AS slug, c.parent_id
         FROM categories c
         LEFT JOIN category_forms f ON f.id = c.id""",
+    "categories_after_slug_handovers": """
+        SELECT c.id, c.name,
+               CASE WHEN c.id <= 1000 THEN c.slug
+                    WHEN c.id % 2 = 1 AND b.id IS NOT NULL THEN b.slug
+                    WHEN c.id % 2 = 1 THEN 'moved-' || c.id
+                    WHEN a.id IS NOT NULL THEN 'moved-' || a.id
+                    ELSE 'moved-' || (c.id + 1) END AS slug
+        FROM categories c LEFT JOIN categories a ON a.id = c.id + 1 AND c.id > 1000
+        LEFT JOIN categories b ON b.id = c.id - 1 AND b.id > 1000""",
     "products_after_category_delete": """
         SELECT id, name, CASE WHEN category_id NOT IN (SELECT id FROM deleted_categories)
                               THEN category_id END AS category_id

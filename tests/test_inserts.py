@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tillworks.operators import inserts
+from tillworks.operators import groups, inserts
 from tillworks.operators.ids import assign_ids, next_id
 from tillworks.operators.inserts import insert_ignore, replace_into
+from tillworks.session import cut_lineage
 
 SCHEMA = "id bigint, username string, email string, seq bigint"
 KEYS = [["id"], ["username"], ["email"]]
@@ -111,17 +113,85 @@ def test_ids_of_an_empty_feed_and_next_id(spark):
     assert next_id(spark.createDataFrame([(7,), (300,)], "id bigint"), 100) == 301
 
 
-def test_an_edit_cannot_take_a_key_of_another_row(spark):
-    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id bigint, slug string")
-    edits = spark.createDataFrame(
-        [(1, 2, "a"),   # held by another row
-         (2, 1, "x"),   # frees "a", for the next batch only
-         (3, 3, "a"),
-         (4, 3, "y"), (5, 4, "y"), (6, 3, "y"),  # the first to ask has it
-         (7, 9, "z"), (8, 2, "z"),  # an unknown row asks for nothing
-         (9, 4, None)], "seq bigint, id bigint, slug string")
-    kept = inserts.holding_edits(table, edits, [["slug"]], "seq")
-    assert sorted(r.seq for r in kept.collect()) == [2, 4, 6, 8, 9]
+def _edits_one_by_one(table, edits):
+    held, kept = dict(table), []
+    for seq, row, slug in sorted(edits):
+        others = {s for i, s in held.items() if i != row and s is not None}
+        if row in held and slug not in others:
+            held[row] = slug
+            kept.append(seq)
+    return kept
+
+
+def _kept(spark, table, edits):
+    out = inserts.holding_edits(
+        spark.createDataFrame(table, "id bigint, slug string"),
+        spark.createDataFrame(edits, "seq bigint, id bigint, slug string"), ["slug"], "seq")
+    return sorted(r.seq for r in out.collect())
+
+
+def test_an_edit_cannot_take_a_key_another_row_has_at_that_moment(spark):
+    table = [(1, "a"), (2, "b"), (3, "c"), (4, None)]
+    edits = [(1, 2, "a"),   # held by another row
+             (2, 1, "x"),   # frees "a", which row 3 takes
+             (3, 3, "a"),
+             (4, 3, "y"), (5, 4, "y"), (6, 3, "y"),
+             (7, 9, "z"), (8, 2, "z"),  # an unknown row asks for nothing
+             (9, 4, None)]
+    assert _kept(spark, table, edits) == _edits_one_by_one(table, edits) == [2, 3, 4, 6, 8, 9]
+
+
+@pytest.mark.parametrize("group_rows", [100_000, 5])
+def test_edits_equal_a_replay(spark, monkeypatch, group_rows):
+    """Settled in one task, or in rounds, or both."""
+    monkeypatch.setattr(groups, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(groups, "STRETCH", 4)
+    rng = random.Random(group_rows)
+    table = [(i, f"s{i}" if i % 5 else None) for i in range(12)]
+    table += [(100 + i, f"t{i}") for i in range(30)]
+    edits = [(s, rng.choice([0, 1, 2, 3, rng.randrange(14)]),
+              rng.choice([f"s{rng.randrange(14)}", "s1", None, f"n{s}"])) for s in range(40)]
+    # a long hand-over: each row takes what the one before it has just given up
+    edits += [(100 + i, 100 + i, f"t{i - 1}" if i else "gone") for i in range(30)]
+    assert _kept(spark, table, edits) == _edits_one_by_one(table, edits)
+
+
+def test_a_chain_of_200_registrations_takes_few_writes(spark, monkeypatch):
+    writes = []
+    for module in (inserts, groups):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: (writes.append(1), cut_lineage(df))[1])
+    rows = [(i, f"u{i // 2}", f"e{(i + 1) // 2}", i) for i in range(200)]
+    out = insert_ignore(spark.createDataFrame([], SCHEMA), spark.createDataFrame(rows, SCHEMA),
+                        [["username"], ["email"]], "seq")
+    assert sorted(r.seq for r in out.collect()) == list(range(0, 200, 2))
+    assert len(writes) <= 10
+
+
+@pytest.mark.parametrize("group_rows", [6])
+def test_groups_too_large_for_a_task_go_in_rounds(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(groups, "GROUP_ROWS", group_rows)
+    table, rows = _random_case(9, 40)
+    out = insert_ignore(spark.createDataFrame(table, SCHEMA), spark.createDataFrame(rows, SCHEMA),
+                        KEYS, "seq")
+    assert _sorted(out.collect()) == _sorted(_ignore_one_by_one(table, rows))
+
+
+def test_connected_groups_of_shuffled_chains_and_a_star(spark, monkeypatch):
+    rng = random.Random(3)
+    order = rng.sample(range(300), 300)
+    members = [(order[i], h) for i in range(300) if i % 60 for h in (i, i + 1)]
+    members += [(1000 + i, -1) for i in range(500)]
+    monkeypatch.setattr(groups, "GROUP_ROWS", 600)
+    rows = spark.createDataFrame(members, "row bigint, hub bigint")
+    shared = rows.groupBy("hub").agg(F.min("row").alias("first"))
+    found = groups.connected_groups(cut_lineage(rows.join(shared, "hub")))
+    small, large = groups.competing(rows)
+    assert (small.count(), large.count()) == (795, 0)
+    named = {r["row"]: r["group"] for r in found.collect()}
+    for part in range(5):
+        chain = order[part * 60 + 1:part * 60 + 60]
+        assert {named[i] for i in chain} == {min(chain)}
+    assert all(named[1000 + i] == 1000 for i in range(500)) and len(named) == 795
 
 
 def test_a_small_feed_does_not_move_the_stored_table(spark):

@@ -1,7 +1,7 @@
 """Change feeds applied to table snapshots: (snapshot, changes) -> new snapshot.
 
 Every feed is reduced to one row per key with a map-side combinable aggregate
-(``max_by``/``min``/``sum``) before it meets the snapshot, so a key that holds a
+(``max``/``min``/``sum``) before it meets the snapshot, so a key that holds a
 large share of the feed never lands whole in one task.
 """
 
@@ -52,6 +52,16 @@ def with_values(table: DataFrame, fresh: dict, columns) -> DataFrame:
     return table.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in columns])
 
 
+def latest_rows(changes: DataFrame, key, order: str) -> DataFrame:
+    """Each key's row with the largest ``order``, which is unique per key.
+
+    The largest numbers come from a hash aggregation of fixed-width columns, which a
+    struct of the values would turn into a sort of the feed; the rows are then looked up.
+    """
+    newest = changes.groupBy(*key).agg(F.max(order).alias(order))
+    return changes.join(newest, [*key, order], "left_semi")
+
+
 def apply_updates(table: DataFrame, changes: DataFrame, key, order, cols,
                   as_of=None) -> DataFrame:
     """Overwrite ``cols`` with each key's latest change.
@@ -62,12 +72,11 @@ def apply_updates(table: DataFrame, changes: DataFrame, key, order, cols,
     ``inserts.holding_edits``.
     """
     key, cols = _names(key), _names(cols)
-    latest = changes.groupBy(*key).agg(
-        F.max_by(F.struct(*cols), F.struct(*_names(order))).alias("_new"))
-    changed = F.col("_new").isNotNull()
-    fresh = {c: F.when(changed, F.col("_new")[c].cast(table.schema[c].dataType))
+    new = latest_rows(changes, key, order).select(
+        *key, F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    fresh = {c: F.when(F.col("_changed"), F.col(f"_new_{c}").cast(table.schema[c].dataType))
              .otherwise(F.col(c)) for c in cols}
-    return with_values(table.join(latest, key, "left"), touched(fresh, table.columns, as_of),
+    return with_values(table.join(new, key, "left"), touched(fresh, table.columns, as_of),
                        table.columns)
 
 

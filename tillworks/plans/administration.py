@@ -48,16 +48,18 @@ CATEGORY_FORM = ["name", "slug"]
 
 
 def edit_products(products: DataFrame, edits: DataFrame, as_of) -> DataFrame:
-    """Write whole edit forms in ``seq`` order; a form with another product's slug is rejected."""
+    """Write whole edit forms in ``seq`` order; a form is rejected if another product has its slug
+    at that moment."""
     valid = accepted(validate_products(edits, editing=True))
-    return apply_updates(products, holding_edits(products, valid, [["slug"]], "seq"), "id", "seq",
+    return apply_updates(products, holding_edits(products, valid, ["slug"], "seq"), "id", "seq",
                          PRODUCT_FORM, as_of)
 
 
 def edit_categories(categories: DataFrame, edits: DataFrame, as_of) -> DataFrame:
-    """Write names and slugs in ``seq`` order; one with another category's slug is rejected."""
+    """Write names and slugs in ``seq`` order; one is rejected if another category has its slug
+    at that moment."""
     valid = accepted(validate_categories(edits, editing=True))
-    return apply_updates(categories, holding_edits(categories, valid, [["slug"]], "seq"), "id",
+    return apply_updates(categories, holding_edits(categories, valid, ["slug"], "seq"), "id",
                          "seq", CATEGORY_FORM, as_of)
 
 

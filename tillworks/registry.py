@@ -410,6 +410,24 @@ def _(s):
         "id", "name", "slug", "parent_id")
 
 
+@query("categories_after_slug_handovers")
+def _(s):
+    """Neighbours hand their slugs over within one feed: odd ids make room, even ids take the
+    slug of the id above, odd ids what these gave up, and even ids what those gave up."""
+    own = s.categories.where("id > 1000").select("id", "slug")
+    above = own.select((F.col("id") - 1).alias("id"), F.col("slug").alias("next"))
+    below = own.select((F.col("id") + 1).alias("id"), F.col("slug").alias("last"))
+    near = own.join(above, "id", "left").join(below, "id", "left")
+    odd, moved = F.col("id") % 2 == 1, F.lit("moved-")
+    wishes = F.array(F.when(odd, F.concat(moved, F.col("id").cast("string"))),
+                     F.when(~odd, F.col("next")), F.when(odd, F.col("last")),
+                     F.when(~odd, F.concat(moved, (F.col("id") + 1).cast("string"))))
+    edits = near.select("id", F.posexplode(wishes).alias("turn", "slug")).where(
+        "slug is not null").withColumn("seq", F.col("turn") * F.lit(1 << 40) + F.col("id"))
+    kept = inserts.holding_edits(s.categories, edits, ["slug"], "seq")
+    return changes.apply_updates(s.categories, kept, "id", "seq", "slug").select("id", "name", "slug")
+
+
 @query("products_after_category_delete")
 def _(s):
     out = changes.cascade_delete(
