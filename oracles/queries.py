@@ -293,6 +293,17 @@ _BODIES = {
     "cart_after_checkout": """
         SELECT id, user_id, product_id, quantity FROM cart_items
         WHERE user_id NOT IN (SELECT user_id FROM placed)""",
+    "orders_after_replayed_batch": """
+        SELECT id, user_id, 'ORD-' || id AS order_number, total_amount FROM (
+            SELECT (SELECT greatest(max(id), 999) FROM shop_orders) + p.id - 999 AS id,
+                   user_id, total_amount
+            FROM placed p WHERE p.id < (SELECT max(id) FROM placed)
+            UNION ALL
+            SELECT (SELECT greatest(max(id), 999) FROM shop_orders) + (SELECT count(*) FROM placed)
+                   + row_number() OVER (ORDER BY user_id), user_id, total_amount
+            FROM quotes
+            WHERE user_id % 2 = 1 AND user_id IN (
+                SELECT c_custkey FROM customer WHERE c_mktsegment <> 'FURNITURE'))""",
     "order_id_assignment": """
         SELECT order_date, order_number,
                999 + row_number() OVER (ORDER BY order_date, order_number) AS id FROM shop_orders""",

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.shop import by_id, money, small_shop, ts
+from tillworks.operators import ids
 from tillworks.plans import carts, checkout
 from tillworks.schemas import GUEST_SESSIONS
+from tillworks.sources import snapshots
 from tillworks.sources.sessions import add_to_guest_cart, add_to_guest_wishlist
 
 ADDS = "user_id bigint, product_id bigint, quantity string, created_at timestamp_ntz"
@@ -149,3 +151,41 @@ def test_orders_are_placed_once_per_user(spark, t):
     assert {r.order_id: r.s for r in per_order} == {i: r.subtotal for i, r in rows.items()}
     # the cart that could not be ordered stays
     assert set(by_id(cart)) == {4}
+
+
+def test_a_batch_delivered_again_orders_nothing_and_ids_are_not_given_twice(spark, tmp_path):
+    t, root = small_shop(spark), str(tmp_path)
+    names = ["cart_items", "orders", "order_items", "placed_requests", "id_counters"]
+    shop = t | {"placed_requests": spark.createDataFrame([], checkout.LEDGER),
+                "id_counters": ids.no_counters(spark)}
+    requests = spark.createDataFrame(
+        [(1, 102, "Bob", None, "Here"), (2, 101, "", None, None), (3, 101, "Ann", None, None)],
+        "request_id bigint, user_id bigint, card_name string, payment_method string, address string")
+
+    def deliver(batch, batch_id):
+        snapshots.publish(spark, root, batch_id,
+                          checkout.place_orders_once(shop, batch, "2024-02-01 00:00:00"))
+        shop.update(snapshots.read_all_published(spark, root, names))
+        return {r.id for r in shop["orders"].collect()}, shop["cart_items"].count()
+
+    before = {r.id for r in t["orders"].collect()}
+    assert deliver(requests, 1) == (before | {1006, 1007}, 1)
+    # the carts are full again, the newest order is deleted, and the batch comes once more
+    shop["cart_items"] = t["cart_items"]
+    shop["orders"] = shop["orders"].where("id < 1007")
+    assert deliver(requests, 2) == (before | {1006}, 4)
+    again = requests.withColumn("request_id", requests["request_id"] + 10)
+    assert deliver(requests.unionByName(again), 3) == (before | {1006, 1008, 1009}, 1)
+    assert shop["placed_requests"].count() == 6
+    held = [r.id for r in shop["order_items"].collect()]
+    assert len(held) == len(set(held))
+
+
+def test_counters_do_not_go_back(spark):
+    rows = spark.createDataFrame([(7,)], "id bigint")
+    counters = ids.no_counters(spark)
+    assert ids.first_free(counters, "a", rows) == 8
+    first, counters = ids.reserve(counters, "a", rows, 5)
+    assert (first, ids.first_free(counters, "a", rows.limit(0))) == (8, 13)
+    assert ids.first_free(ids.advance(counters, "a", 2), "a", rows) == 13
+    assert ids.first_free(counters, "b", rows.limit(0), 100) == 100

@@ -42,3 +42,36 @@ def next_id(table: DataFrame, floor: int = 1, id_col: str = "id") -> int:
     """The id the next inserted row gets: one past the largest, at least ``floor``."""
     largest = table.agg(F.max(id_col)).first()[0]
     return floor if largest is None else max(floor, largest + 1)
+
+
+# ---- counters that outlive deletions ----
+# A table's counter is the id its next row gets. It is published with the tables of a batch, so
+# the id of a deleted newest row is not given out again.
+COUNTERS = "table_name string, next_id bigint"
+
+
+def no_counters(spark) -> DataFrame:
+    return spark.createDataFrame([], COUNTERS)
+
+
+def first_free(counters: DataFrame, name: str, table: DataFrame, floor: int = 1,
+               id_col: str = "id") -> int:
+    """The next id of a table: its counter, but past every id it holds and at least ``floor``."""
+    mark = counters.where(F.col("table_name") == name).agg(F.max("next_id")).first()[0]
+    return max(mark or floor, next_id(table, floor, id_col))
+
+
+def advance(counters: DataFrame, name: str, next_free: int) -> DataFrame:
+    """Counters with one table's moved on; they never move back."""
+    moved = counters.sparkSession.createDataFrame([(name, next_free)], COUNTERS)
+    return counters.unionByName(moved).groupBy("table_name").agg(F.max("next_id").alias("next_id"))
+
+
+def reserve(counters: DataFrame, name: str, table: DataFrame, rows: int, floor: int = 1):
+    """A block of ids for one job: ``(first id, counters after it)``.
+
+    Jobs that append to one table at the same time each reserve a block and publish the counters
+    before they write; ids a job does not use stay unused.
+    """
+    first = first_free(counters, name, table, floor)
+    return first, advance(counters, name, first + rows)

@@ -5,8 +5,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, functions as F
 
 from tillworks.functions.columns import NO_ADDRESS, is_filled, or_label, order_number
-from tillworks.operators.changes import at, clear_cart
-from tillworks.operators.ids import assign_ids
+from tillworks.operators.changes import append_with_defaults, at, clear_cart
+from tillworks.operators.ids import advance, assign_ids, first_free
 from tillworks.plans.carts import cart_lines
 from tillworks.schemas import ID_FLOORS, MONEY_SUM
 from tillworks.session import cut_lineage
@@ -77,3 +77,34 @@ def place_orders(cart: DataFrame, products: DataFrame, requests: DataFrame, as_o
         "order_id", "product_id", F.lit(None).cast("bigint").alias("variant_id"), "quantity",
         F.col("price").alias("price_at_time"), F.col("subtotal").alias("total_price"))
     return orders, items, clear_cart(cart, placed)
+
+
+# the requests placed so far, whether they found anything to order or not
+LEDGER = "request_id bigint"
+
+
+def place_orders_once(shop: dict, requests: DataFrame, as_of) -> dict:
+    """New versions of the tables after a batch of requests, each request counting once.
+
+    ``shop`` holds products, cart_items, orders, order_items, ``placed_requests`` (the ledger)
+    and ``id_counters``. Requests in the ledger are left out, so a batch delivered again orders
+    nothing, whatever was put into the carts since. Ids go on from the counters, also after
+    deletions. Publish the returned tables as one batch with ``sources.snapshots.publish``: the
+    ledger then shows exactly the requests whose orders show.
+    """
+    ledger, counters = shop["placed_requests"], shop["id_counters"]
+    # of the ledger only what the batch names
+    named = cut_lineage(requests.select("request_id").distinct())
+    known = cut_lineage(ledger.join(named, "request_id", "left_semi"))
+    fresh = cut_lineage(requests.join(known, "request_id", "left_anti"))
+    start = first_free(counters, "orders", shop["orders"], ID_FLOORS["orders"])
+    orders, items, cart = place_orders(shop["cart_items"], shop["products"], fresh, as_of, start)
+    counters = advance(counters, "orders", start + orders.count())
+    start = first_free(counters, "order_items", shop["order_items"])
+    items = cut_lineage(assign_ids(items, ["order_id", "product_id"], start))
+    return {
+        "orders": append_with_defaults(shop["orders"], orders, "orders", as_of),
+        "order_items": append_with_defaults(shop["order_items"], items, "order_items", as_of),
+        "cart_items": cart,
+        "placed_requests": ledger.unionByName(fresh.select("request_id")),
+        "id_counters": cut_lineage(advance(counters, "order_items", start + items.count()))}

@@ -291,6 +291,31 @@ def _(s):
     return _place(s)[2].select("id", "user_id", "product_id", "quantity")
 
 
+@query("orders_after_replayed_batch")
+def _(s):
+    """Place all requests, delete the newest order, fill the carts again, and deliver the same
+    requests once more together with new ones of every second user: the new orders."""
+    shop = {"products": s.products, "cart_items": s.cart_items,
+            "orders": changes.conform(s.orders, "orders"),
+            "order_items": changes.conform(s.order_items, "order_items"),
+            "placed_requests": s.spark.createDataFrame([], checkout.LEDGER),
+            "id_counters": ids.no_counters(s.spark)}
+    stored = ids.next_id(s.orders, ID_FLOORS["orders"])
+    shop |= checkout.place_orders_once(shop, s.checkout_requests, AS_OF)
+    newest = shop["orders"].agg(F.max("id").alias("id"))
+    shop |= changes.cascade_delete(
+        {n: shop[n] for n in ("orders", "order_items")}, "orders", newest)
+    more = s.checkout_requests.where("user_id % 2 = 1").select("user_id").distinct().select(
+        (F.col("user_id") + 10**12).alias("request_id"), "user_id", F.lit("New").alias("card_name"),
+        F.lit(None).cast("string").alias("payment_method"),
+        F.lit(None).cast("string").alias("address"))
+    shop["cart_items"] = s.cart_items
+    after = checkout.place_orders_once(
+        shop, s.checkout_requests.unionByName(more, allowMissingColumns=True), AS_OF)
+    return after["orders"].where(F.col("id") >= stored).select(
+        "id", "user_id", "order_number", "total_amount")
+
+
 @query("order_id_assignment")
 def _(s):
     return ids.assign_ids(s.orders.select("order_date", "order_number"),
