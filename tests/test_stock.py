@@ -29,67 +29,53 @@ def test_ledger_conserves_units(t):
     assert before - after == sum(i["quantity"] for i in ITEMS)
 
 
-def test_stream_equals_batch_and_survives_a_replayed_batch(spark, t, tmp_path):
+def _stream(spark, t, tmp_path):
+    """The items as three batches; (source, ledger, checkpoint)."""
     src, out, state = (str(tmp_path / n) for n in ("items", "movements", "state"))
     for part in range(3):
         t["order_items"].where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(src)
     stock_stream.start_stock_stream(spark, src, out, state, files_per_batch=1).awaitTermination()
-    batches = spark.read.parquet(out).select("batch_id").distinct().count()
-    assert batches == 3
-
-    def check(items):
-        for name, kind, batch in (("products", "product", stock.stock_after_orders),
-                                  ("product_variants", "variant", stock.variant_stock_after_orders)):
-            streamed = stock_stream.current_stock(spark, t[name], out, kind)
-            expected = batch(t[name], items)
-            assert sorted(map(str, streamed.collect())) == sorted(map(str, expected.collect()))
-
-    check(t["order_items"])
-    # a snapshot taken after the first batch needs the later ones only
-    snapshot = stock.apply_movements(t["products"], spark.read.parquet(f"{out}/batch_id=0").where(
-        "kind = 'product'").select("id", "taken"))
-    later = stock_stream.current_stock(spark, snapshot, out, "product", 0)
-    whole = stock_stream.current_stock(spark, t["products"], out, "product")
-    assert sorted(map(str, later.collect())) == sorted(map(str, whole.collect()))
-    # a batch written again under its id replaces itself
-    again = spark.read.parquet(f"{out}/batch_id=1")
-    rows = spark.createDataFrame(again.collect(), again.schema)
-    rows.write.mode("overwrite").parquet(f"{out}/batch_id=1")
-    check(t["order_items"])
-    # a restart picks up new files only
-    t["order_items"].where("id = 1").coalesce(1).write.mode("append").parquet(src)
-    stock_stream.start_stock_stream(spark, src, out, state).awaitTermination()
-    check(t["order_items"].unionByName(t["order_items"].where("id = 1")))
+    return src, out, state
 
 
-def test_readers_see_finished_batches_only_and_bases_stand_for_them(spark, t, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("items", "movements", "state"))
-    items = t["order_items"]
-    for part in range(3):
-        items.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(src)
-    stock_stream.start_stock_stream(spark, src, out, state, files_per_batch=1).awaitTermination()
+def _check(spark, t, out, items):
+    for name, kind, batch in (("products", "product", stock.stock_after_orders),
+                              ("product_variants", "variant", stock.variant_stock_after_orders)):
+        streamed = stock_stream.current_stock(spark, t[name], out, kind)
+        expected = batch(t[name], items)
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, expected.collect()))
 
-    def moved(kind="product"):
-        return sorted(map(tuple, stock_stream.read_movements(spark, out, kind).collect()))
-
-    whole = sorted(map(tuple, stock.product_movements(items).collect()))
-    assert moved() == whole
-    # a batch whose job died before its line in the log
-    stock_stream.batch_movements(items).write.parquet(f"{out}/batch_id=3")
-    assert moved() == whole
-    # a replay of a finished batch leaves its folder alone, whatever it brings
-    stock_stream.record_batch(items, 1, out)
-    assert moved() == whole
-    for _ in range(2):  # the second has nothing to do
-        stock_stream.compact(spark, out)
-        assert moved() == whole
-    assert len(stock_stream._finished(spark, out, -1)[1]) == 1
-    # the replay of the unfinished one overwrites it and counts once
-    stock_stream.record_batch(items, 3, out)
-    twice = sorted(map(tuple, stock.product_movements(items.unionByName(items)).collect()))
-    assert moved() == twice
-    stock_stream.compact(spark, out)
-    assert moved() == twice and stock_stream.read_movements(spark, out, "product", 3).isEmpty()
+
+def test_stream_equals_batch_and_survives_a_replayed_batch(spark, t, tmp_path):
+    src, out, state = _stream(spark, t, tmp_path)
+    items = t["order_items"]
+    _check(spark, t, out, items)
+    # the driver died after the last batch's files, before the stream took note of it
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"))
+    assert len(commits) == 3
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    stock_stream.start_stock_stream(spark, src, out, state).awaitTermination()
+    _check(spark, t, out, items)
+    # a restart picks up new files only
+    items.where("id = 1").coalesce(1).write.mode("append").parquet(src)
+    stock_stream.start_stock_stream(spark, src, out, state).awaitTermination()
+    _check(spark, t, out, items.unionByName(items.where("id = 1")))
+
+
+def test_readers_see_finished_batches_only_and_prune_days(spark, t, tmp_path):
+    _, out, _ = _stream(spark, t, tmp_path)
+    whole = sorted(map(tuple, stock.product_movements(t["order_items"]).collect()))
+    day = next((tmp_path / "movements").glob("day=*"))
+    # files of a batch that did not finish
+    stock_stream.movements(t["order_items"]).write.mode("append").parquet(str(day))
+    assert sorted(map(tuple, stock_stream.read_movements(spark, out, "product").collect())) == whole
+    today = day.name.removeprefix("day=")
+    later = stock_stream.read_movements(spark, out, "product", today)
+    assert later.isEmpty() and "PartitionFilters: [isnotnull(day" in later._jdf.queryExecution(
+        ).executedPlan().toString()
+    earlier = stock_stream.read_movements(spark, out, "product", "2020-01-01")
+    assert sorted(map(tuple, earlier.collect())) == whole
 
 
 CHANGES = "order_id bigint, seq int, status string"

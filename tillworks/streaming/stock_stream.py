@@ -1,54 +1,30 @@
 """The stock ledger as a stream of inserted order items.
 
-Each micro-batch writes its movements to a folder named after the batch id and then adds
-a line to the stream's log, in the folder ``<out>.log``. Readers take the batches of the
-log only, so they never see half a batch. A batch replayed after a lost driver or executor
-is left as it is if the log holds it, and overwrites its folder if not; no item counts
-twice. Stock is the opening stock less all movements.
-
-``compact`` sums all finished batches into one folder, a base, and logs it: readers then
-list that folder and the batches after it. Folders a base covers may be removed once no
-reader older than it is left.
+The stream turns every item into movements (kind, id, taken) and appends them to a Parquet folder
+through Spark's file sink. The sink's own log names the files of finished batches: readers of
+the folder see these only, a batch run again after a lost driver or executor is not added
+twice, and the log compacts itself. Movements are summed when they are read. They lie in one
+folder per day of their batch, so that with a stock snapshot of the end of some day only later
+days are read.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillworks.plans.stock import apply_movements, product_movements, variant_movements
+from tillworks.plans.stock import apply_movements
 from tillworks.schemas import SCHEMAS
 
-MOVEMENT_SCHEMA = "kind string, id bigint, taken bigint"
-# kind is batch or base; a base covers the batches up to its batch_id
-_LOG = "kind string, batch_id bigint, path string"
+MOVEMENT_SCHEMA = "kind string, id bigint, taken bigint, day date"
 _ITEM_COLUMNS = ["product_id", "variant_id", "quantity"]
 
 
-def batch_movements(items: DataFrame) -> DataFrame:
-    """Product and variant movements of one batch, already summed per id."""
-    return (
-        product_movements(items).select(F.lit("product").alias("kind"), "id", "taken")
-        .unionByName(variant_movements(items).select(F.lit("variant").alias("kind"), "id", "taken")))
-
-
-def _log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(_LOG).parquet(f"{out}.log")
-
-
-def _record(spark: SparkSession, out: str, *entries) -> None:
-    """Add lines to the log; the one new file makes them visible together."""
-    spark.createDataFrame(entries, _LOG).coalesce(1).write.mode("append").parquet(f"{out}.log")
-
-
-def record_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Write a batch's movements, unless the log says that they are written."""
-    spark = batch.sparkSession
-    done = _log(spark, out).where((F.col("kind") == "batch") & (F.col("batch_id") == batch_id))
-    if done.isEmpty():
-        path = f"{out}/batch_id={batch_id}"
-        batch_movements(batch).write.mode("overwrite").parquet(path)
-        _record(spark, out, ("batch", batch_id, path))
+def movements(items: DataFrame) -> DataFrame:
+    """What each item takes: of its product, and of its variant if it has one."""
+    taken = F.col("quantity").cast("bigint").alias("taken")
+    product = F.struct(F.lit("product").alias("kind"), F.col("product_id").alias("id"), taken)
+    variant = F.struct(F.lit("variant").alias("kind"), F.col("variant_id").alias("id"), taken)
+    return items.select(F.explode(F.array_compact(F.array(
+        product, F.when(F.col("variant_id").isNotNull(), variant)))).alias("m")).select("m.*")
 
 
 def start_stock_stream(spark: SparkSession, source: str, out: str, checkpoint: str,
@@ -59,14 +35,10 @@ def start_stock_stream(spark: SparkSession, source: str, out: str, checkpoint: s
     schema = type(SCHEMAS["order_items"])(wanted)
     items = (spark.readStream.schema(schema)
              .option("maxFilesPerTrigger", files_per_batch).parquet(source))
-
-    _record(spark, out)  # the log is there before the first batch
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        record_batch(batch, batch_id, out)
-
-    writer = (items.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint))
+    # the batch's own moment, which a batch run again keeps
+    dated = movements(items).withColumn("day", F.to_date(F.current_timestamp()))
+    writer = (dated.writeStream.format("parquet").outputMode("append").partitionBy("day")
+              .option("path", out).option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
@@ -74,49 +46,16 @@ def start_stock_stream(spark: SparkSession, source: str, out: str, checkpoint: s
     return writer.start()
 
 
-def _finished(spark: SparkSession, out: str, after_batch: int):
-    """(last batch, paths) of what lies after ``after_batch``, from one reading of the log.
-
-    The driver gets one line per batch since the last base.
-    """
-    log = _log(spark, out).where(F.col("batch_id") > after_batch)
-    bases = log.where((F.col("kind") == "base") & F.lit(after_batch < 0))
-    base = bases.agg(F.max(F.struct("batch_id", "path")).alias("b")).first()["b"]
-    last = base["batch_id"] if base else after_batch
-    batches = log.where((F.col("kind") == "batch") & (F.col("batch_id") > last)).select(
-        "batch_id", "path").distinct().collect()
-    paths = [base["path"]] if base else []
-    return max([last, *(b["batch_id"] for b in batches)]), paths + [b["path"] for b in batches]
-
-
-def _movements(spark: SparkSession, paths) -> DataFrame:
-    if not paths:
-        return spark.createDataFrame([], MOVEMENT_SCHEMA)
-    return spark.read.schema(MOVEMENT_SCHEMA).parquet(*paths)
-
-
-def compact(spark: SparkSession, out: str) -> None:
-    """Sum the finished batches into a base, in a folder of its own."""
-    last, paths = _finished(spark, out, -1)
-    if len(paths) < 2:
-        return
-    path = f"{out}.bases/{uuid.uuid4().hex}"
-    (_movements(spark, paths).groupBy("kind", "id").agg(F.sum("taken").alias("taken"))
-     .write.parquet(path))
-    _record(spark, out, ("base", last, path))
-
-
-def read_movements(spark: SparkSession, out: str, kind: str, after_batch: int = -1) -> DataFrame:
-    """Movements of the finished batches after ``after_batch``, summed per id.
-
-    Once a stock snapshot up to some batch is stored, only the folders of later
-    batches need to be read.
-    """
-    return (_movements(spark, _finished(spark, out, after_batch)[1]).where(F.col("kind") == kind)
-            .groupBy("id").agg(F.sum("taken").alias("taken")))
+def read_movements(spark: SparkSession, out: str, kind: str, after_day=None) -> DataFrame:
+    """Movements of finished batches summed per id, of all days or of those after ``after_day``."""
+    found = spark.read.schema(MOVEMENT_SCHEMA).parquet(out).where(F.col("kind") == kind)
+    if after_day is not None:
+        found = found.where(F.col("day") > F.lit(after_day).cast("date"))
+    return found.groupBy("id").agg(F.sum("taken").alias("taken"))
 
 
 def current_stock(spark: SparkSession, stocked: DataFrame, out: str, kind: str,
-                  after_batch: int = -1, as_of=None) -> DataFrame:
-    """Stock of products or variants: a snapshot less every movement since."""
-    return apply_movements(stocked, read_movements(spark, out, kind, after_batch), as_of)
+                  after_day=None, as_of=None) -> DataFrame:
+    """Stock of products or variants: a snapshot, taken after ``after_day`` ended, less every
+    movement since."""
+    return apply_movements(stocked, read_movements(spark, out, kind, after_day), as_of)
