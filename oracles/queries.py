@@ -127,6 +127,41 @@ _BODIES = {
                           count(*) FILTER (WHERE rating = 3) AS middle,
                           count(*) FILTER (WHERE rating IN (1, 2)) AS low
                    FROM reviews WHERE is_approved GROUP BY product_id) r ON r.product_id = p.id""",
+    "product_ratings_kept": """
+        SELECT p.id, p.name, p.slug, coalesce(r.mean, 0) AS avg_rating,
+               coalesce(r.n, 0) AS review_count, coalesce(r.high, 0) AS five_star,
+               coalesce(r.middle, 0) AS three_star, coalesce(r.low, 0) AS low_rating
+        FROM products p
+        LEFT JOIN (SELECT product_id, count(*) AS n,
+                          CAST(sum(stars) AS DOUBLE) / nullif(count(stars), 0) AS mean,
+                          count(*) FILTER (WHERE stars IN (4, 5)) AS high,
+                          count(*) FILTER (WHERE stars = 3) AS middle,
+                          count(*) FILTER (WHERE stars IN (1, 2)) AS low
+                   FROM (SELECT product_id, user_id, is_approved,
+                                CASE WHEN id % 5 = 0 THEN 5 ELSE rating END AS stars
+                         FROM (SELECT *, 0 AS late FROM all_reviews WHERE event_type = 'view'
+                               UNION ALL
+                               SELECT *, 1 FROM all_reviews
+                               WHERE event_type = 'error' AND id % 23 <> 0 AND id % 19 <> 0)
+                         QUALIFY row_number() OVER (
+                             PARTITION BY product_id, user_id ORDER BY late, id) = 1)
+                   WHERE is_approved AND user_id NOT IN (SELECT id FROM deleted_users)
+                   GROUP BY product_id) r ON r.product_id = p.id""",
+    "order_totals_kept": """
+        SELECT o.id, CAST(coalesce(sum(i.quantity * i.price_at_time), 0) AS DECIMAL(20,2)) AS order_total
+        FROM shop_orders o LEFT JOIN (
+            SELECT * FROM order_items
+            WHERE product_id NOT IN (SELECT p_partkey FROM part WHERE p_size >= 45)) i
+          ON i.order_id = o.id GROUP BY o.id""",
+    "order_summary_kept": """
+        SELECT o.id, o.order_number, o.total_amount, o.status, o.payment_status, o.order_date,
+               u.username, u.email, coalesce(i.n, 0) AS item_count, i.units AS total_items
+        FROM shop_orders o
+        LEFT JOIN users u ON u.id = o.user_id
+        LEFT JOIN (SELECT order_id, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units
+                   FROM order_items
+                   WHERE product_id NOT IN (SELECT p_partkey FROM part WHERE p_size >= 45)
+                   GROUP BY order_id) i ON i.order_id = o.id""",
     "order_summary": """
         SELECT o.id, o.order_number, o.total_amount, o.status, o.payment_status, o.order_date,
                u.username, u.email, coalesce(i.n, 0) AS item_count, i.units AS total_items

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillworks.operators import changes, ids, inserts, integrity, lookups, validation
-from tillworks.plans import (administration, carts, catalog, checkout, fulfilment, reports,
+from tillworks.plans import (administration, carts, catalog, checkout, fulfilment, maintained, reports,
                              routines, stock)
 from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
-from tillworks.session import scratch_path, tune
+from tillworks.session import cut_lineage, scratch_path, tune
 from tillworks.sources import sessions
 from tillworks.sources.star import AS_OF, StarShop
 from tillworks.streaming import stock_stream
@@ -88,6 +88,55 @@ def _(s):
         FROM top_selling_products t JOIN product_ratings r ON t.id = r.id""")
 
 
+# ---- reports kept up to date from feeds ----
+
+def _ratings_state(s):
+    """Stored reviews, then added ones, some rated anew, and those of deleted users gone."""
+    measures = maintained.rating_measures()
+    fks = [("product_id", s.products, "id"), ("user_id", s.users, "id")]
+    state = maintained.state_of(maintained.approved(s.stored_reviews), "product_id", measures)
+    added = cut_lineage(inserts.accepted_rows(
+        s.stored_reviews, s.review_feed, UNIQUE_KEYS["reviews"], "id", fks).select(
+        *s.stored_reviews.columns))
+    reviews = s.stored_reviews.unionByName(added)
+    old = reviews.where("id % 5 = 0")
+    new = old.withColumn("rating", F.lit(5).cast("int"))
+    gone = changes.deletable_users(s.user_deletions).select(F.col("id").alias("user_id")).distinct()
+    lost = reviews.where("id % 5 <> 0").unionByName(new).join(gone, "user_id", "left_semi").select(
+        *reviews.columns)
+    for feed in (maintained.signed(added, 1), maintained.replaced(old, new),
+                 maintained.signed(lost, -1)):
+        state = cut_lineage(maintained.refreshed(
+            state, maintained.approved(feed), "product_id", measures))
+    return state
+
+
+@query("product_ratings_kept")
+def _(s):
+    return maintained.product_ratings(s.products, _ratings_state(s))
+
+
+def _items_state(s):
+    """Items of most orders, then those of the others, then all of deleted products gone."""
+    measures, late = maintained.item_measures(), F.col("order_id") % 10 == 0
+    state = maintained.state_of(s.order_items.where(~late), "order_id", measures)
+    state = cut_lineage(maintained.refreshed(
+        state, maintained.signed(s.order_items.where(late), 1), "order_id", measures))
+    gone = s.deleted_products.select(F.col("id").alias("product_id")).distinct()
+    lost = s.order_items.join(gone, "product_id", "left_semi").select(*s.order_items.columns)
+    return maintained.refreshed(state, maintained.signed(lost, -1), "order_id", measures)
+
+
+@query("order_totals_kept")
+def _(s):
+    return maintained.order_totals(s.orders, _items_state(s))
+
+
+@query("order_summary_kept")
+def _(s):
+    return maintained.order_summary(s.orders, s.users, _items_state(s))
+
+
 # ---- storefront and administration ----
 
 @query("catalog_listing")
