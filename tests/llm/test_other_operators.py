@@ -222,3 +222,53 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, FOLDER)
         assert out.count() >= 0
+
+
+def test_ball_tree_on_large_components(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], 0) for i in range(0, 900, 3)]
+    rows += [(1, [3e8] * 4, 0), (2, [-3e8, 1.0, 3e8, 0.0], 0), (4, [1e200, 0.0, 0.0, 0.0], 0),
+             (5, [1e306] * 4, 0), (6_000, [2e6, 0.0, 0.0, 0.0], 0), (100, [3e5] * 4, 0)]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if max(v) < 1e300}
+    want = {}
+    for q in (i for i in whole if i % 100 == 0):
+        scores = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
+        want[q] = [(i, -s) for s, i in sorted(x for x in scores if abs(x[0]) < 2**63)[:10]]
+    got = by_query(ball_tree.top_k(vectors(spark, rows)))
+    assert {q: [(int(i), int(s)) for i, s in v] for q, v in got.items()} == want
+
+
+def search_recall(table, shards, queries, k=20):
+    """Recall of the search in shards, the first shard's k-th score shared with the others."""
+    parts = np.array_split(np.arange(len(table)), shards)
+    own = table[queries]
+    run = lambda part, floor: vp_tree.search(
+        part, table[part], queries, own, k, floor, vp_tree.FACTOR)
+    first = run(parts[0], np.full(len(queries), -np.inf))
+    found = [first, *(run(part, first.scores[:, -1]) for part in parts[1:])]
+    scores = np.concatenate([b.scores for b in found], axis=1)
+    ids = np.take_along_axis(np.concatenate([b.ids for b in found], axis=1),
+                             np.argsort(-scores, axis=1)[:, :k], 1)
+    exact = own @ table.T
+    exact[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-exact, axis=1)[:, :k]
+    return np.mean([len({*a} & {*b}) / k for a, b in zip(ids, best)])
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_vantage_point_tree_recall_over_ten_shards(kind):
+    rng = np.random.default_rng(3)
+    table = rng.standard_normal((20_000, 32))
+    if kind == "clustered":
+        table = 0.5 * table + rng.standard_normal((50, 32))[rng.integers(0, 50, len(table))]
+    assert search_recall(table, 10, np.arange(0, 20_000, 400)) >= 0.9
+
+
+def test_vantage_point_tree_on_huge_components(spark):
+    rows = [(i, [math.sin(i + j) * 10.0**(160 if i % 7 == 0 else 0) / 1e10 for j in range(3)], 0)
+            for i in range(300)]
+    found = by_query(vp_tree.nearest(vectors(spark, rows), factor=1.0))
+    assert {len(v) for v in found.values()} == {20}
+    for q, own in found.items():
+        exact = sorted((-sum(a * b for a, b in zip(rows[q][1], v)), i) for i, v, _ in rows if i != q)
+        assert math.isclose(own[0][1], -exact[0][0], rel_tol=1e-9)

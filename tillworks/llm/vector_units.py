@@ -52,9 +52,12 @@ class Best:
         """A candidate below this score is of no use."""
         return np.maximum(self.scores[rows, -1], self.floor[rows])
 
-    def offer(self, rows, scores, ids, own):
-        """Candidates (ids) with scores for each of the rows; ``own`` are the rows' ids."""
-        use = (scores >= self.bar(rows)[:, None]) & (ids[None, :] != own[:, None])
+    def offer(self, rows, scores, ids, own, fits=True):
+        """Candidates (ids) with scores for each of the rows; ``own`` are the rows' ids.
+
+        Pairs that do not ``fits`` are left out.
+        """
+        use = (scores >= self.bar(rows)[:, None]) & (ids[None, :] != own[:, None]) & fits
         some = use.any(axis=1)
         if not some.any():
             return

@@ -12,7 +12,7 @@ shared with the others (`vector_units`). Scores are computed on the original vec
 Vectors that are null or empty, zero, hold null or non-finite components, or have a null id
 take no part. Vectors of different lengths are not compared. Rows with a query's id count as
 its own; repeated candidate rows are all candidates; a query with fewer than k candidates
-gets those found. An empty table gives an empty table; other columns are ignored.
+gets those found; a pair whose product is not a number is left out. An empty table gives an empty table; other columns are ignored.
 """
 
 import functools
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tillworks.llm.vector_units import LEAF, Best, search_all, usable
 
-FACTOR = 0.2
+FACTOR = 0.7
 
 
 class _Node:
@@ -50,16 +50,20 @@ def build(points, rows, rng):
 
 
 def search(ids, vectors, query_ids, queries, k, floor, factor):
-    squares = (vectors**2).sum(axis=1)
+    # the tree is built on multiples within 1, whose squares do not overflow
+    size, asked = np.abs(vectors).max(), np.abs(queries).max(axis=1, keepdims=True)
+    scaled, turned = vectors / size, queries / asked
+    squares = (scaled**2).sum(axis=1)
     top = squares.max()
-    points = np.concatenate([vectors, np.sqrt(np.maximum(top - squares, 0))[:, None]], axis=1)
-    own = (queries**2).sum(axis=1)
-    extended = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+    points = np.concatenate([scaled, np.sqrt(np.maximum(top - squares, 0))[:, None]], axis=1)
+    own = (turned**2).sum(axis=1)
+    extended = np.concatenate([turned, np.zeros((len(queries), 1))], axis=1)
     best = Best(len(queries), k, floor, np.float64)
 
     def reach(rows):
         """The k-th distance so far, from the k-th score."""
-        return np.sqrt(np.maximum(own[rows] + top - 2 * best.bar(rows), 0))
+        bar = best.bar(rows) / size / asked[rows, 0]
+        return np.sqrt(np.maximum(own[rows] + top - 2 * bar, 0))
 
     def visit(node, rows):
         if node.inner is None:
