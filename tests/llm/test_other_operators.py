@@ -224,6 +224,10 @@ def test_pipeline_on_odd_rows(spark):
         assert out.count() >= 0
 
 
+def doubles(spark, rows):
+    return spark.createDataFrame([r[:2] for r in rows], "vec_id bigint, embedding array<double>")
+
+
 def test_ball_tree_on_large_components(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], 0) for i in range(0, 900, 3)]
@@ -234,7 +238,7 @@ def test_ball_tree_on_large_components(spark):
     for q in (i for i in whole if i % 100 == 0):
         scores = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
         want[q] = [(i, -s) for s, i in sorted(x for x in scores if abs(x[0]) < 2**63)[:10]]
-    got = by_query(ball_tree.top_k(vectors(spark, rows)))
+    got = by_query(ball_tree.top_k(doubles(spark, rows)))
     assert {q: [(int(i), int(s)) for i, s in v] for q, v in got.items()} == want
 
 
@@ -267,7 +271,7 @@ def test_vantage_point_tree_recall_over_ten_shards(kind):
 def test_vantage_point_tree_on_huge_components(spark):
     rows = [(i, [math.sin(i + j) * 10.0**(160 if i % 7 == 0 else 0) / 1e10 for j in range(3)], 0)
             for i in range(300)]
-    found = by_query(vp_tree.nearest(vectors(spark, rows), factor=1.0))
+    found = by_query(vp_tree.nearest(doubles(spark, rows), factor=1.0))
     assert {len(v) for v in found.values()} == {20}
     for q, own in found.items():
         exact = sorted((-sum(a * b for a, b in zip(rows[q][1], v)), i) for i, v, _ in rows if i != q)
