@@ -557,15 +557,23 @@ _BODIES = {
                name, replace(lower(name), ' ', '-'), NULL, true
         FROM (SELECT name, min(id) AS id FROM category_feed WHERE name NOT IN ('', '0') GROUP BY name)""",
     "coupons_after_additions": """
-        SELECT id, code, discount_type, discount_value, CAST(NULL AS INTEGER) AS usage_limit,
-               CAST(NULL AS INTEGER) AS used_count FROM coupons
+        SELECT id, code, discount_type, discount_value, min_order_amount, end_date,
+               CAST(NULL AS INTEGER) AS usage_limit, CAST(NULL AS INTEGER) AS used_count FROM coupons
         UNION ALL
         SELECT (SELECT max(id) FROM coupons) + row_number() OVER (ORDER BY id),
-               code, discount_type, discount_value, 1, 0
+               code, discount_type, discount_value,
+               CAST(CASE WHEN valid_days > 40 THEN valid_days * 2.5 ELSE 0 END AS DECIMAL(10,2)),
+               DATE '2024-02-01' + valid_days, 1, 0
         FROM (SELECT * FROM coupon_feed WHERE reject_reason IS NULL
                 AND discount_type IN ('percentage', 'fixed')
               QUALIFY row_number() OVER (PARTITION BY code ORDER BY id) = 1)
         WHERE code NOT IN (SELECT code FROM coupons)""",
+    "categories_after_seeding": """
+        SELECT id, name, slug, parent_id FROM categories
+        UNION ALL SELECT 900, 'Gadgets', 'gadgets', NULL
+        WHERE 'gadgets' NOT IN (SELECT slug FROM categories)
+        UNION ALL SELECT 901, 'Asia', 'asia', NULL
+        WHERE 'asia' NOT IN (SELECT slug FROM categories)""",
     "dq_duplicate_keys": _duplicates([
         ("users", "username", "lower(username)", "raw_users"),
         ("users", "email", "lower(email)", "raw_users"),

@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.shop import by_id, small_shop
 from tillworks.plans import reports
 from tillworks.schemas import SCHEMAS
 from tillworks.session import scratch_path, shared_dir
+from tillworks.operators import integrity
 from tillworks.sources import snapshots, tables
 
 
@@ -82,3 +84,23 @@ def test_scratch_folders_are_new_ones_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(shared_dir(spark) + "/")
+
+
+def test_writing_counts_what_the_integrity_reports_would_find(spark, t, tmp_path):
+    bad = {"reviews": t["reviews"].withColumn("rating", F.col("id").cast("int") + 1),
+           "orders": t["orders"].withColumns({
+               "status": F.when(F.col("id") > 1002, "lost").otherwise(F.col("status")),
+               "subtotal": F.expr("nullif(subtotal, 100)")}),
+           "users": t["users"]}
+    counts = {name: tables.write_table(df, str(tmp_path), name) for name, df in bad.items()}
+    for name, df in bad.items():
+        assert counts[name]["rows", ""] == df.count()
+    nulls = {(r.table_name, r.column_name): r.n for r in integrity.null_report(bad).collect()}
+    assert nulls == {(n, c): k for n, found in counts.items() for (kind, c), k in found.items()
+                     if kind == "nulls"}
+    outside = {}
+    for r in integrity.domain_report(bad).collect():
+        outside[r.table_name, r.column_name] = outside.get((r.table_name, r.column_name), 0) + r.n
+    assert outside == {(n, c): k for n, found in counts.items() for (kind, c), k in found.items()
+                       if kind == "outside" and k}
+    assert outside["orders", "status"] == 3 and nulls["orders", "subtotal"] == 4

@@ -9,6 +9,7 @@ from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
 from tillworks.session import cut_lineage, scratch_path, tune
 from tillworks.sources import sessions
 from tillworks.sources.star import AS_OF, StarShop
+from tillworks.sources.tables import seed_rows
 from tillworks.streaming import stock_stream
 
 REPORT_YEAR, REPORT_MONTH = 1998, 10
@@ -640,10 +641,27 @@ def _(s):
 
 @query("coupons_after_additions")
 def _(s):
-    feed = s.coupon_feed.withColumnRenamed("id", "seq").drop("valid_days")
+    """All five fields of the form, with an end date counted from the reference day."""
+    ends = F.date_add(F.to_date(changes.at(AS_OF)), F.col("valid_days"))
+    least = F.when(F.col("valid_days") > 40, F.col("valid_days") * 2.5).cast("decimal(10,2)")
+    feed = s.coupon_feed.withColumnRenamed("id", "seq").withColumns(
+        {"end_date": ends, "min_order_amount": F.coalesce(least, F.lit(0).cast("decimal(10,2)"))}
+    ).drop("valid_days")
     stored = changes.conform(s.coupons, "coupons")
     return administration.add_coupons(stored, feed, AS_OF).select(
-        "id", "code", "discount_type", "discount_value", "usage_limit", "used_count")
+        "id", "code", "discount_type", "discount_value", "min_order_amount", "end_date",
+        "usage_limit", "used_count")
+
+
+@query("categories_after_seeding")
+def _(s):
+    """A few literal categories put into the table, unless their slug is there."""
+    seeds = seed_rows(s.spark, "categories", [
+        dict(id=900, name="Gadgets", slug="gadgets"), dict(id=901, name="Asia", slug="asia"),
+        dict(id=902, name="Gadgets again", slug="gadgets")])
+    stored = changes.conform(s.categories, "categories")
+    return inserts.insert_ignore(stored, seeds, UNIQUE_KEYS["categories"], "id").select(
+        "id", "name", "slug", "parent_id")
 
 
 @query("dq_duplicate_keys")

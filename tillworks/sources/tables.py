@@ -1,8 +1,8 @@
 """Reading the shop's tables from Parquet, always under a declared schema."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from tillworks.schemas import GUEST_SESSIONS, SCHEMAS
+from tillworks.schemas import ENUMS, GUEST_SESSIONS, NOT_NULL, RANGES, SCHEMAS
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -38,8 +38,27 @@ def with_month(orders: DataFrame) -> DataFrame:
     return orders.withColumn(MONTH_COLUMN, F.date_format("order_date", "yyyy-MM"))
 
 
-def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Write a table's files; orders go into one folder per month."""
+def _quality(name: str, columns) -> dict:
+    """What to count of a table's rows: their number, NULLs where there should be none, and
+    values outside their enumeration or range. Names are (kind, column)."""
+    counts = {("rows", ""): F.count(F.lit(1))}
+    for c in NOT_NULL.get(name, ()):
+        counts["nulls", c] = F.count_if(F.col(c).isNull())
+    for c, allowed in ENUMS.get(name, {}).items():
+        counts["outside", c] = F.count_if(~F.col(c).isin(*allowed))
+    for c, (low, high) in RANGES.get(name, {}).items():
+        counts["outside", c] = F.count_if(~F.col(c).between(low, high))
+    return {key: count for key, count in counts.items() if not key[1] or key[1] in columns}
+
+
+def write_table(df: DataFrame, root: str, name: str) -> dict:
+    """Write a table's files; orders go into one folder per month.
+
+    Returns counts by (kind, column), made while the rows are written: ("rows", ""), ("nulls",
+    column) and ("outside", column), as the integrity reports would find them afterwards.
+    """
+    counts, seen = _quality(name, df.columns), Observation()
+    df = df.observe(seen, *[count.alias(f"{kind} {c}") for (kind, c), count in counts.items()])
     if name == "orders":
         # rows are gathered by month so that files stay few, and a month with many
         # rows is split over several tasks at run time
@@ -47,6 +66,8 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
          .write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(f"{root}/{name}"))
     else:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
+    found = seen.get
+    return {(kind, c): found[f"{kind} {c}"] for kind, c in counts}
 
 
 def read_orders_by_month(spark: SparkSession, root: str) -> DataFrame:
