@@ -8,6 +8,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -46,6 +47,7 @@ def main():
         "bench", f"local[{CPUS}]", **{
             "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "12g",
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
             # no Python call sites in error messages, which cost time per expression
             "spark.python.sql.dataFrameDebugging.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")

@@ -241,6 +241,7 @@ _BODIES = {
                coalesce({_DAY.format('end_date')}, 'No expiry') AS expiry_label
         FROM coupons""",
     "recent_orders": _RECENT + "50",
+    "recent_orders_by_month": _RECENT + "50",
     "recent_orders_top8": _RECENT + "8",
     "order_status_labels": f"""
         SELECT id, {_LABEL.format('status')} AS status_label, {_DAY.format('order_date')} AS day,

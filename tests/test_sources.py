@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.shop import by_id, small_shop
-from tillworks.plans import reports
+from tillworks.plans import catalog, reports
 from tillworks.schemas import SCHEMAS
 from tillworks.session import scratch_path, shared_dir
 from tillworks.operators import integrity
@@ -104,3 +104,22 @@ def test_writing_counts_what_the_integrity_reports_would_find(spark, t, tmp_path
     assert outside == {(n, c): k for n, found in counts.items() for (kind, c), k in found.items()
                        if kind == "outside" and k}
     assert outside["orders", "status"] == 3 and nulls["orders", "subtotal"] == 4
+
+
+def test_recent_orders_read_the_newest_months_only(spark, t, tmp_path):
+    """Two orders a month, one of them without a user; one order without a date."""
+    base = t["orders"].where("id = 1000").drop("id", "user_id", "order_date")
+    made = spark.range(80).select(
+        (F.col("id") + 2000).alias("id"),
+        F.when(F.col("id") % 2 == 0, F.lit(101)).cast("bigint").alias("user_id"),
+        F.when(F.col("id") != 2, F.add_months(F.lit("2020-01-15").cast("date"), (
+            F.col("id") / 2).cast("int")).cast("timestamp_ntz")).alias("order_date"))
+    rows = made.crossJoin(base).select(*t["orders"].columns)
+    tables.write_table(rows, str(tmp_path), "orders")
+    orders = tables.read_orders_by_month(spark, str(tmp_path))
+    assert len(tables.month_folders(orders)) == 40
+    for n in (1, 3, 16, 39, 60):
+        found = catalog.recent_orders_by_month(orders, t["users"], n)
+        assert found.collect() == catalog.recent_orders(rows, t["users"], n).collect()
+    plan = _plan(catalog.recent_orders_by_month(orders, t["users"], 3))
+    assert "order_month" in plan and ">= 2023-01" in plan

@@ -8,6 +8,7 @@ from tillworks.functions.columns import (NO_CATEGORY, NO_TRACKING, UNCATEGORIZED
                                          status_label)
 from tillworks.plans.reports import raw_product_ratings
 from tillworks.schemas import MONEY_SUM, REVENUE_STATUSES
+from tillworks.sources.tables import MONTH_COLUMN, month_folders
 
 
 def catalog_listing(products: DataFrame, categories: DataFrame, reviews: DataFrame,
@@ -106,6 +107,27 @@ def recent_orders(orders: DataFrame, users: DataFrame, n: int = 50) -> DataFrame
         day_label("order_date").alias("day"), "order_date")
 
 
+def recent_orders_by_month(orders: DataFrame, users: DataFrame, n: int = 50) -> DataFrame:
+    """``recent_orders`` from the newest month folders alone.
+
+    ``orders`` is read with ``tables.read_orders_by_month``. Every order of a month is newer than
+    all of the months before it, so once the newest months hold ``n`` orders with a user, no
+    older folder is read. The number of months is doubled until then; the list of folders comes
+    from the listing of the files. Orders without a date are the oldest and come with the last
+    step.
+    """
+    months = month_folders(orders)
+    taken = 1
+    while taken < len(months):
+        newest = orders.where(F.col(MONTH_COLUMN) >= months[taken - 1])
+        held = newest.select(F.col("user_id")).join(
+            users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+        if held.limit(n).count() == n:
+            return recent_orders(newest, users, n)
+        taken *= 2
+    return recent_orders(orders, users, n)
+
+
 def order_status_labels(orders: DataFrame) -> DataFrame:
     """Printable status, day and tracking of every order."""
     return orders.select(

@@ -9,7 +9,7 @@ from tillworks.schemas import ID_FLOORS, UNIQUE_KEYS
 from tillworks.session import cut_lineage, scratch_path, tune
 from tillworks.sources import sessions
 from tillworks.sources.star import AS_OF, StarShop
-from tillworks.sources.tables import seed_rows
+from tillworks.sources.tables import read_orders_by_month, seed_rows, write_table
 from tillworks.streaming import stock_stream
 
 REPORT_YEAR, REPORT_MONTH = 1998, 10
@@ -206,6 +206,13 @@ def _(s):
     return catalog.recent_orders(s.orders, s.users, 8)
 
 
+@query("recent_orders_by_month")
+def _(s):
+    root = scratch_path(s.spark, "months")
+    write_table(changes.conform(s.orders, "orders"), root, "orders")
+    return catalog.recent_orders_by_month(read_orders_by_month(s.spark, root), s.users, 50)
+
+
 @query("order_status_labels")
 def _(s):
     return catalog.order_status_labels(s.orders)

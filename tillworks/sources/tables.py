@@ -76,6 +76,16 @@ def read_orders_by_month(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/orders")
 
 
+def month_folders(orders: DataFrame) -> list:
+    """The months that orders read by ``read_orders_by_month`` have folders for, newest first.
+
+    One name per month reaches the driver, from the names of the files; none is opened.
+    """
+    found = {part.partition("=")[2] for path in orders.inputFiles() for part in path.split("/")
+             if part.startswith(f"{MONTH_COLUMN}=")}
+    return sorted((m for m in found if not m.startswith("__")), reverse=True)
+
+
 def save_bucketed(df: DataFrame, table: str, name: str, buckets: int, splits: int = 4) -> None:
     """Save a table in the catalog, bucketed on its join key.
 
