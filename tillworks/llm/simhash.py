@@ -221,7 +221,8 @@ def near_duplicates(documents: DataFrame, id_col="doc_id", text_col="text") -> D
     rooted = groups(prints)
     # one row per fingerprint before they meet their component
     least = prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(rooted, "print")
-    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join below may split a component of many fingerprints
+    component = cut_lineage(least.groupBy("root").agg(F.min("least").alias("component_id")))
     by_print = cut_lineage(rooted.join(component, "root").select("print", "component_id"))
     return prints.join(by_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -76,9 +76,10 @@ def templates(labelled: DataFrame) -> DataFrame:
         rows = rows.withColumn("part", F.get("parts", F.lit(level)))
         children = rows.where("part is not null").groupBy("host", "template", "part").agg(
             F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(
-            F.sum("n").alias("total"), F.count("*").alias("fan"))
-        rare = cut_lineage(children.join(nodes.where(F.col("fan") >= FAN), ["host", "template"])
+        # written, so that the join may split a node of many children
+        nodes = cut_lineage(children.groupBy("host", "template").agg(
+            F.sum("n").alias("total"), F.count("*").alias("fan")).where(F.col("fan") >= FAN))
+        rare = cut_lineage(children.join(nodes, ["host", "template"])
                            .where(F.col("n") < RARE * F.col("total"))
                            .select("host", "template", "part", F.lit(True).alias("rare")))
         rows = cut_lineage(rows.join(rare, ["host", "template", "part"], "left").withColumn(
@@ -93,8 +94,9 @@ def judge(found: DataFrame) -> DataFrame:
     own = found.groupBy("host", "template").agg(
         F.sum("blocked").alias("blocked"), F.sum("known").alias("known")).withColumn(
         "parent", F.regexp_replace("template", "/[^/]*$", ""))
-    siblings = own.groupBy("host", "parent").agg(F.sum("blocked").alias("all_blocked"),
-                                                 F.sum("known").alias("all_known"))
+    # what many rows meet is written, so that the joins may split a host of many templates
+    siblings = cut_lineage(own.groupBy("host", "parent").agg(
+        F.sum("blocked").alias("all_blocked"), F.sum("known").alias("all_known")))
     share = F.try_divide("all_blocked", "all_known")
     differs = F.try_divide("blocked", "known") - share
     # a variance of zero leaves no difference either
@@ -102,11 +104,12 @@ def judge(found: DataFrame) -> DataFrame:
         differs * differs * F.col("known") <= SIGNIFICANT * share * (1 - share) + 1e-12)
     branches = own.join(siblings, ["host", "parent"]).withColumn(
         "branch", F.when(alike, F.lit(None)).otherwise(F.col("template")))
-    merged = branches.groupBy("host", "parent", "branch").agg(
+    branches = cut_lineage(branches)
+    merged = cut_lineage(branches.groupBy("host", "parent", "branch").agg(
         F.sum("blocked").alias("m_blocked"), F.sum("known").alias("m_known")).withColumnsRenamed(
-        {"host": "m_host", "parent": "m_parent", "branch": "m_branch"})
-    everywhere = found.groupBy(F.col("template").alias("e_template")).agg(
-        F.sum("blocked").alias("e_blocked"), F.sum("known").alias("e_known"))
+        {"host": "m_host", "parent": "m_parent", "branch": "m_branch"}))
+    everywhere = cut_lineage(found.groupBy(F.col("template").alias("e_template")).agg(
+        F.sum("blocked").alias("e_blocked"), F.sum("known").alias("e_known")))
     overall = found.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1)
                          / (F.coalesce(F.sum("known"), F.lit(0)) + 2)).alias("p")).first()["p"]
     prior = (F.col("e_blocked") + WEIGHT * F.lit(overall)) / (F.col("e_known") + WEIGHT)
