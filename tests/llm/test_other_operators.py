@@ -50,20 +50,152 @@ def test_base_score_and_counts_equal_brute_force(spark):
 
 
 def test_language_model_probabilities_sum_to_one(spark):
-    rows = spark.createDataFrame([(f"a b c a{i % 7} b{i % 5}",) for i in range(60)], "text string")
-    counts = maxent_lm.count_words(rows).collect()
+    rows = spark.createDataFrame([(i, f"a b c a{i % 7} b{i % 5}") for i in range(60)],
+                                 "doc_id bigint, text string")
     vocabulary = maxent_lm.learn_vocabulary(maxent_lm.count_words(rows))
-    weights = maxent_lm.train(rows, vocabulary, rounds=1)
-    assert np.abs(weights - maxent_lm.first_weights(vocabulary)).max() > 0
-    model = maxent_lm.Model(weights)
+    coded = maxent_lm.code_texts(rows.selectExpr("doc_id", "false as held_out", "text"), vocabulary)
+    shares = vocabulary.log_shares()
+    weights, strengths = maxent_lm.train(coded, shares)
+    assert np.abs(weights).max() > 0 and (strengths != maxent_lm.FIRST_STRENGTH).any()
+    model = maxent_lm.Model(shares, weights, strengths)
     units = np.arange(maxent_lm.UNITS)
-    before = [np.full(maxent_lm.UNITS, u) for u in (3, 500, maxent_lm.UNITS)]
-    assert (10 ** model.log10(before, units)).sum() == pytest.approx(1, abs=1e-4)
-    # within a shared unit: the known words and one unknown
-    shared = Counter(r["unit"] for r in counts if vocabulary.rank[r["word"]] >= maxent_lm.WORD_UNITS)
-    for unit, known in shared.items():
-        total = sum(r["c"] + 0.1 for r in counts if r["unit"] == unit) + 0.1
-        assert known and total == pytest.approx(10 ** vocabulary.below[unit])
+    for last, second, third in ((3, 500, maxent_lm.BEFORE_TEXT), (0, 1, 2)):
+        pair = ((last << 17) + second) * 2654435761 >> 20
+        before = [np.full(len(units), x) for x in (last, second, third, pair)]
+        assert (10 ** model.log10(before, units)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_shared_units_hold_the_shares_of_all_other_words(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "HEAD_WORDS", 20)
+    rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),) for n in range(1, 90)],
+                                 "text string")
+    counts = maxent_lm.count_words(rows)
+    vocabulary = maxent_lm.learn_vocabulary(counts)
+    ordered = sorted(((-r["c"], r["word"]) for r in counts.collect()))
+    assert [vocabulary.rank[w] for _, w in ordered[:20]] == list(range(20))
+    mass = defaultdict(lambda: 0.1)
+    for c, word in ordered[20:]:
+        mass[maxent_lm.shared_unit(word)] += 0.1 - c
+    assert len(mass) > 50
+    for unit, total in mass.items():
+        assert vocabulary.mass[unit] == pytest.approx(total)
+
+
+def plain_rows(before, unit):
+    """(digit, row, way) of each feature of a token, a list per digit."""
+    out = []
+    for digit in range(4):
+        node, way = unit % 16**digit, unit // 16**digit % 16
+        first = int(maxent_lm.FAMILY_ROWS[:digit].sum(axis=1) @ 16 ** np.arange(digit))
+        rows = []
+        for f, size in enumerate(maxent_lm.FAMILY_ROWS[digit].tolist()):
+            rows.append(first + node * size + before[f] % size)
+            first += 16**digit * size
+        out.append((node, rows, way))
+    return out
+
+
+def test_scores_equal_a_plain_model(spark):
+    """More distinct words than units of their own, all steps of training in plain loops."""
+    draw = random.Random(2)
+    texts = [" ".join(f"w{draw.randrange(60) * draw.randrange(60)}" for _ in range(
+        draw.randrange(60))) for _ in range(150)]
+    texts += [" ".join(f"r{i}" for i in range(62_000)), "w3 r5 neu R61999 r61999 w4", ""]
+    ids = list(range(len(texts)))
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in maxent_lm.fit_and_score(frame).collect()}
+    half = {r["doc_id"]: r["half"] for r in frame.selectExpr(
+        "doc_id", "pmod(xxhash64(text), 2) half").collect()}
+    split = {i: [*t.encode().lower().split(), b" "] for i, t in zip(ids, texts)}
+    train = [i for i in ids if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter()
+    for i in train:
+        counts.update(split[i])
+    hashes = {w: maxent_lm.word_hash(w) for i in ids for w in split[i]}
+    ordered = sorted(counts, key=lambda w: (-counts[w], hashes[w]))
+    units = {w: u for u, w in enumerate(ordered[:61_440])}
+    mass = np.full(65_536, 1e-3)
+    mass[61_440:] = 0.1
+    for w, u in units.items():
+        mass[u] = counts[w] + 0.1
+    for w in hashes:
+        if w not in units:
+            units[w] = 61_440 + hashes[w] % 4096
+            mass[units[w]] += (counts[w] + 0.1) * (w in counts)
+    assert sum(u >= 61_440 for u in units.values()) > 100
+    share = [np.array([[mass[x::16 ** (d + 1)].sum() for x in range(n, 16 ** (d + 1), 16**d)]
+                       for n in range(16**d)]) for d in range(3)]
+    share.append(mass.reshape(16, 4096).T)
+    share = [x / x.sum(axis=1, keepdims=True) for x in share]
+
+    tokens = defaultdict(list)
+    for i in ids:
+        line = [69_631] * 3 + [units[w] for w in split[i]]
+        for x in range(3, len(line)):
+            a, b, c = line[x - 1], line[x - 2], line[x - 3]
+            pair = (((a << 17) + b) * 2654435761 + 2**63) % 2**64 - 2**63 >> 20
+            tokens[i].append(plain_rows((a, b, c, pair), line[x]))
+    seen = [defaultdict(lambda: np.zeros(16)) for _ in (0, 1)]
+    for i in train:
+        for digits in tokens[i]:
+            for _, rows, way in digits:
+                for row in rows:
+                    seen[half[i]][row][way] += 1
+
+    def weights(row, p, sides):
+        n = sum(seen[s][row] for s in sides if row in seen[s])
+        n = n if np.ndim(n) else np.zeros(16)
+        return np.log((n + 4 * p) / (n.sum() * p + 4 * p))
+
+    def chances(digit, node, rows, strengths, sides):
+        p = share[digit][node]
+        w = np.array([weights(row, p, sides) for row in rows])
+        x = p * np.exp(strengths[digit] @ w)
+        return w, x / x.sum()
+
+    strengths = np.full((4, 4), 0.5)
+    for side in (0, 1):
+        slope, curve = np.zeros((4, 4)), np.array([np.eye(4)] * 4)
+        for i in train:
+            if half[i] == side:
+                for digits in tokens[i]:
+                    for digit, (node, rows, way) in enumerate(digits):
+                        w, x = chances(digit, node, rows, strengths, [1 - side])
+                        slope[digit] += w[:, way] - w @ x
+                        curve[digit] += (w * x) @ w.T - np.outer(w @ x, w @ x)
+        strengths = np.clip(strengths + np.array(
+            [np.linalg.solve(c, s) for c, s in zip(curve, slope)]), 0, 2)
+    for i in [*range(0, 150, 7), 151, 152]:
+        expected = 0.0
+        for word, digits in zip(split[i], tokens[i]):
+            for digit, (node, rows, way) in enumerate(digits):
+                expected += math.log10(chances(digit, node, rows, strengths, [0, 1])[1][way])
+            if units[word] >= 61_440:
+                expected += math.log10((counts[word] + 0.1) / mass[units[word]])
+        assert out[i]["score"] == pytest.approx(expected, rel=2e-3)
+
+
+def test_words_of_middle_rank_have_contexts_of_their_own(spark):
+    draw = random.Random(4)
+    filler = [f"f{i}" for i in range(600)]
+    texts = []
+    for _ in range(400):
+        first = draw.randrange(560)
+        words = filler[first:first + 40]
+        texts.append(" ".join([*words, "left", "petal", *words[:5], "right", "quartz"]
+                              if draw.random() < 0.1 else words * 2))
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 10]
+    asked = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    probes = ["left petal", "left quartz", "right quartz", "right petal"]
+    frame = spark.createDataFrame([*zip(ids, texts), *zip(asked, probes)],
+                                  "doc_id bigint, text string")
+    vocabulary = maxent_lm.learn_vocabulary(maxent_lm.count_words(
+        frame.where(~frame["doc_id"].isin(asked))))
+    assert all(vocabulary.rank[maxent_lm.word_hash(w)] >= 385 for w in (b"petal", b"quartz"))
+    out = {r["doc_id"]: r["score"] - r["base_score"] for r in maxent_lm.fit_and_score(
+        frame).collect()}
+    gain = [out[i] for i in asked]
+    assert gain[0] > gain[1] + 0.5 and gain[2] > gain[3] + 0.5
 
 
 def test_language_model_on_odd_tables(spark):

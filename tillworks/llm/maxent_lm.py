@@ -1,23 +1,30 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-A token's probability is that of its class given what went before, times that of its unit
-within the class, times, for units of many words, the word's smoothed share of the unit:
-
-    P(word | before) = P(class | before) P(unit | class, before) P(word | unit)
-
-The most frequent words are units of their own; all others share units by a hash of their
-last two bytes. The first two factors are softmaxes over summed weights of features of the
-three tokens before: each alone (the second and third as skips), the last two as a hashed
-pair, and a bias. Unit features are joined with the class, the pairs again hashed. P(word |
-unit) is (c + 0.1) / (N + 0.1 (V + 1)) with c, N and V counted within the unit, so unknown
-words have a share too and the factors sum to one.
-
-Word counts come from every training text. Weights are trained by rounds of distributed
-gradient updates that together pass over every training text once: each task starts from the
-round's weights, takes sparse steps on its texts, and gives its changes of touched weight rows;
-their means are added to the weights. Weights and the most frequent words have a fixed
-size; all other words are scored by a join with the table of counts. Words are known by a
-64-bit hash.
+The 61,440 most frequent words are units of their own; all others share 4,096 units by their
+hash. The number of a unit is four digits of 16 values: class, class within the class, and so
+on. A token's probability is that of each digit given the digits before it and what went
+before in the text, times, for shared units, the word's smoothed share of the unit:
+
+    P(word | before) = P(d0 | before) P(d1 | d0, before) ... P(d3 | d0 d1 d2, before) P(word | unit)
+
+Each digit is a softmax over its plain log share plus features of the tokens before: the last
+one, the second and third last (skips) and the last two as a pair, each joined with the digits
+before and hashed to a row of 16 weights. P(word | unit) is (c + 0.1) / (N + 0.1 (V + 1)) with
+c, N and V counted within the unit, so unknown words have a share too and the factors sum to one.
+
+Training is by full gradient updates, whose sums over the texts are made by Spark and do not
+depend on how texts are dealt to tasks. The first starts from plain shares: a row's observed
+less expected counts (expected: its tokens times the shares) give its direction, taken as
+logarithm of the quotient, as in iterative scaling. The next ones move the 16 strengths with
+which the families of features (by digit and kind) count: sums of gradient and curvature over
+all texts give a Newton step. Texts are dealt into halves by their hash; a half's strengths are
+trained with rows counted on the other, so that a text does not vouch for itself. The final
+rows are counted on all training texts. Strengths keep the sign of the evidence.
+
+Every text is split once, into unit numbers that are written and read by all later steps.
+The rows of weights and the most frequent words have a fixed size, so their broadcast is
+bounded; counts behind them grow with the corpus, and rare words are scored by a join with the
+table of counts. Words are known by a 64-bit hash.
 
 A null text counts as empty and consists of the end token; a null id counts as empty text
 in the split. Repeated rows are scored each. With no training text all words are unknown and
@@ -26,7 +33,6 @@ are ignored.
 """
 
 import functools
-import math
 from collections import Counter
 
 import numpy as np
@@ -40,46 +46,50 @@ from pyspark.sql import functions as F
 from tillworks.llm.common import crc32_remainder, small_batches, text_bytes
 from tillworks.session import cut_lineage
 
-CLASSES, SLOTS = 32, 16
-UNITS = CLASSES * SLOTS
-WORD_UNITS = 384
-SHARED_UNITS = UNITS - WORD_UNITS
-HEAD_WORDS = 1 << 16
+DIGITS, WAYS = 4, 16
+UNITS = WAYS**DIGITS
+SHARED_UNITS = 1 << 12
+HEAD_WORDS = UNITS - SHARED_UNITS
+BEFORE_TEXT = UNITS + SHARED_UNITS - 1  # as a context: no token
 SMOOTHING = 0.1
-ROUNDS = 2
-BATCH = 8192
-RATE = 0.25
-_PAIRS_CLASS, _PAIRS_UNIT = 1 << 14, 1 << 15
-_CONTEXTS = UNITS + 1  # the last: before the text
-_CLASS_ROWS = 1 + 3 * _CONTEXTS + _PAIRS_CLASS
-_UNIT_ROWS = CLASSES + 3 * _CONTEXTS * CLASSES + _PAIRS_UNIT
-WEIGHT_ROWS = 2 * _CLASS_ROWS + _UNIT_ROWS  # rows of SLOTS weights
+ROW_SMOOTHING = 4.0
+BATCH = 4096
+# rows of each feature (last token, second, third, last two) per node of each digit
+FAMILY_ROWS = np.array([[4096, 4096, 4096, 16384], [2048, 512, 512, 2048], [128, 32, 32, 128],
+                        [8, 2, 2, 8]])
+FAMILIES = FAMILY_ROWS.shape[1]
+NODES = WAYS ** np.arange(DIGITS)
+_SIZES = FAMILY_ROWS * NODES[:, None]
+_FIRST_ROW = (np.cumsum(_SIZES) - _SIZES.ravel()).reshape(_SIZES.shape)
+WEIGHT_ROWS = int(_SIZES.sum())
+_FIRST_NODE = np.cumsum(NODES) - NODES
+BLOCK_ROWS = 512  # rows of counts that are shuffled as one
+_BLOCKS = -(-WEIGHT_ROWS // BLOCK_ROWS)
+FIRST_STRENGTH = 0.5
 _CACHE_WORDS = 300_000
 _COUNTED_WORDS = 200_000
 # no word contains a space
 END = np.int64(np.uint64(xxhash.xxh64_intdigest(b" ")).view(np.int64))
 
 
-def shared_unit(word: bytes) -> int:
-    return WORD_UNITS + xxhash.xxh32_intdigest(word[-2:]) % SHARED_UNITS
-
-
 def word_hash(word: bytes) -> int:
     value = xxhash.xxh64_intdigest(word)
     return value - (1 << 64) if value >> 63 else value
 
 
+def shared_unit(value: int) -> int:
+    """The unit of a word outside the head, from its hash."""
+    return HEAD_WORDS + value % SHARED_UNITS
+
+
 def count_words(training: DataFrame) -> DataFrame:
-    """word (hash), unit (shared, from its end), c: every word of the texts, and the end."""
+    """word (hash), c: every word of the texts, and the end."""
     def run(batches):
         counts, texts = Counter(), 0
 
         def rows():
-            words = list(counts)
-            return pa.record_batch(
-                [pa.array([word_hash(w) for w in words], pa.int64()),
-                 pa.array([shared_unit(w) for w in words], pa.int32()),
-                 pa.array([counts[w] for w in words], pa.int64())], ["word", "unit", "c"])
+            return pa.record_batch([pa.array(map(word_hash, counts), pa.int64()),
+                                    pa.array(counts.values(), pa.int64())], ["word", "c"])
 
         for batch in batches:
             for text in text_bytes(batch.column(0)):
@@ -90,11 +100,11 @@ def count_words(training: DataFrame) -> DataFrame:
                     counts.clear()
         yield rows()
         if texts:
-            yield pa.record_batch([pa.array([int(END)]), pa.array([shared_unit(b" ")], pa.int32()),
-                                   pa.array([texts], pa.int64())], ["word", "unit", "c"])
+            yield pa.record_batch([pa.array([int(END)]), pa.array([texts], pa.int64())],
+                                  ["word", "c"])
 
-    return training.select("text").mapInArrow(run, "word bigint, unit int, c bigint").groupBy(
-        "word").agg(F.min("unit").alias("unit"), F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(
+        F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -104,26 +114,36 @@ class Vocabulary:
         """``head``: (word, c), most frequent first; ``shared``: unit -> (N, V) of others."""
         self.tokens, self.distinct = tokens, distinct
         self.rank = {w: i for i, (w, _) in enumerate(head)}
-        self.counts = np.array([c for _, c in head], float)
-        self.words = len(head)
-        mass = np.zeros(UNITS)
-        mass[:min(WORD_UNITS, len(head))] = self.counts[:WORD_UNITS]
-        self.below = np.zeros(UNITS)  # log10 of what a count is divided by within its unit
-        for unit in range(WORD_UNITS, UNITS):
-            n, v = shared.get(unit, (0, 0))
-            mass[unit] = n
-            self.below[unit] = math.log10(n + SMOOTHING * (v + 1))
-        self.base_below = math.log10(tokens + SMOOTHING * (distinct + 1))
-        self.mass = mass
+        mass = np.full(UNITS, 1e-3)  # a unit without a word never occurs
+        mass[:len(head)] = np.array([c for _, c in head], float) + SMOOTHING
+        mass[HEAD_WORDS:] = SMOOTHING
+        for unit, (n, v) in shared.items():
+            mass[unit] = n + SMOOTHING * (v + 1)
+        self.mass = mass  # of a shared unit: what a count is divided by within it
+        self.log_mass = np.log10(mass)
+        self.base_below = np.log10(tokens + SMOOTHING * (distinct + 1))
+
+    def log_shares(self):
+        """ln of the share of each way among those of its node, a row of WAYS per node."""
+        out, mass = [], self.mass
+        for digit in reversed(range(DIGITS)):
+            ways = mass.reshape(WAYS, NODES[digit]).T
+            mass = ways.sum(axis=1)
+            out.append(np.log(ways / mass[:, None]))
+        return np.concatenate(out[::-1])
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     head = [(r["word"], r["c"]) for r in counts.select("word", "c").orderBy(
         F.desc("c"), "word").limit(HEAD_WORDS).collect()]
-    own = [w for w, _ in head[:WORD_UNITS]]
-    shared = {r["unit"]: (r["n"], r["v"]) for r in counts.where(~F.col("word").isin(own)).groupBy(
-        "unit").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    shared = {}
+    if len(head) == HEAD_WORDS:
+        word, c = head[-1]
+        behind = (F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word))
+        unit = (F.pmod("word", F.lit(SHARED_UNITS)) + HEAD_WORDS).alias("unit")
+        shared = {r["unit"]: (r["n"], r["v"]) for r in counts.where(behind).groupBy(unit).agg(
+            F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     return Vocabulary(head, total["n"] or 0, total["v"], shared)
 
 
@@ -131,20 +151,20 @@ class Coder:
     """Turns texts into units, with a bounded cache of words."""
 
     def __init__(self, vocabulary):
-        self._vocabulary = vocabulary
+        self._rank = vocabulary.rank
         self._reset()
 
     def _reset(self):
         self._index = {}
-        self._table = np.empty((3, 1 << 12), np.int64)  # of each word: hash, unit, head rank
+        self._table = np.empty((2, 1 << 12), np.int64)  # of each word: hash, unit
         self._new = []
         self._put(b" ", int(END))
 
     def _put(self, word, value=None):
         value = word_hash(word) if value is None else value
-        rank = self._vocabulary.rank.get(value, -1)
+        rank = self._rank.get(value)
         self._index[word] = len(self._index)
-        self._new.append((value, rank if 0 <= rank < WORD_UNITS else shared_unit(word), rank))
+        self._new.append((value, shared_unit(value) if rank is None else rank))
 
     def _settle(self):
         """Move what is known of new words to the table."""
@@ -156,7 +176,7 @@ class Coder:
             self._new = []
 
     def code(self, texts):
-        """(text number, word hash, unit, head rank or -1) of every token, in order."""
+        """(tokens of each text, word hash and unit of every token, in order)."""
         if len(self._index) > _CACHE_WORDS:
             self._reset()
         at, sizes = [], []
@@ -173,205 +193,257 @@ class Coder:
             at += found
             sizes.append(len(words))
         self._settle()
-        return (np.repeat(np.arange(len(texts)), sizes), *self._table[:, np.array(at, np.int64)])
+        return (np.array(sizes, np.int64), *self._table[:, np.array(at, np.int64)])
+
+
+def code_texts(documents: DataFrame, vocabulary) -> DataFrame:
+    """Each row's units (16 bits each) and what its words need beside the model.
 
+    row, doc_id, held_out, half, n_tokens, known and base (of words in the head), within (log10
+    of shares within units, but for the counts of words outside the head), words and times
+    (distinct words outside the head), units.
+    """
+    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
-def contexts(text, unit):
-    """The units of the three tokens before each token of its text."""
+    def run(batches):
+        own, coder = known.value, Coder(known.value)
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            sizes, word, unit = coder.code(text_bytes(batch.column(3)))
+            text = np.repeat(np.arange(rows), sizes)
+            in_head = unit < HEAD_WORDS
+            total = functools.partial(np.bincount, text, minlength=rows)
+            rest = np.flatnonzero(~in_head)
+            order = np.lexsort((word[rest], text[rest]))
+            rest_text, rest_word = text[rest][order], word[rest][order]
+            new = np.flatnonzero(np.append(True, (rest_text[1:] != rest_text[:-1])
+                                           | (rest_word[1:] != rest_word[:-1]))
+                                 ) if len(rest) else np.empty(0, np.int64)
+            times = np.diff(np.append(new, len(rest))).astype(np.int32)
+            ends = np.cumsum(np.bincount(rest_text[new], minlength=rows))
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            mass = own.log_mass[unit]
+            codes = unit.astype(np.uint16).tobytes()
+            at = 2 * np.append(0, np.cumsum(sizes))
+            yield pa.record_batch(
+                [pa.array(number + np.arange(rows)), *batch.columns[:3], pa.array(sizes),
+                 total(weights=in_head).astype(np.int64),
+                 total(weights=np.where(in_head, mass, 0.0)) - sizes * own.base_below,
+                 total(weights=np.where(in_head, 0.0, -mass)),
+                 pa.ListArray.from_arrays(offsets, pa.array(rest_word[new])),
+                 pa.ListArray.from_arrays(offsets, pa.array(times)),
+                 pa.array([codes[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())],
+                ["row", "doc_id", "held_out", "half", "n_tokens", "known", "base", "within",
+                 "words", "times", "units"])
+            number += rows
+
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
+    return cut_lineage(documents.select("doc_id", "held_out", half, "text").mapInArrow(
+        run, "row bigint, doc_id bigint, held_out boolean, half int, n_tokens bigint, "
+             "known bigint, base double, within double, words array<bigint>, times array<int>, "
+             "units binary"))
+
+
+def decode(column):
+    """(tokens of each text, unit of every token) of a column of units."""
+    texts = column.to_pylist()
+    units = np.frombuffer(b"".join(texts), np.uint16).astype(np.int64)
+    return np.array([len(t) // 2 for t in texts], np.int64), units
+
+
+def contexts(sizes, unit):
+    """What stands before each token of its text: last, second and third unit, last two."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
     before = []
     for back in (1, 2, 3):
-        x = np.full(len(unit), UNITS, np.int64)
-        x[back:] = np.where(text[back:] == text[:-back], unit[:-back], UNITS)
+        x = np.full(len(unit), BEFORE_TEXT, np.int64)
+        x[back:] = np.where(text[back:] == text[:-back], unit[:-back], BEFORE_TEXT)
         before.append(x)
-    return before
+    pair = ((before[0] << 17) + before[1]) * 2654435761 >> 20
+    return [*before, pair]
+
 
+def feature_rows(digit, before, node):
+    """The row of weights of each feature of a digit; a row belongs to one node."""
+    return [_FIRST_ROW[digit, f] + node * FAMILY_ROWS[digit, f]
+            + (x & (FAMILY_ROWS[digit, f] - 1)) for f, x in enumerate(before)]
 
-def _class_features(a, b, c):
-    """Rows of the class table beside row 0, the bias."""
-    pair = ((a * _CONTEXTS + b) * 2654435761 >> 7) & (_PAIRS_CLASS - 1)
-    low = 1 + _CONTEXTS
-    return 1 + a, low + b, low + _CONTEXTS + c, low + 2 * _CONTEXTS + pair
 
+def node_and_way(digit, unit):
+    return unit & (NODES[digit] - 1), unit >> 4 * digit & (WAYS - 1)
 
-def _unit_features(a, b, c, kind):
-    pair = (((a * _CONTEXTS + b) * CLASSES + kind) * 2654435761 >> 9) & (_PAIRS_UNIT - 1)
-    size = _CONTEXTS * CLASSES
-    return (CLASSES + a * CLASSES + kind, CLASSES + size + b * CLASSES + kind,
-            CLASSES + 2 * size + c * CLASSES + kind, CLASSES + 3 * size + pair)
 
+def count_rows(coded: DataFrame):
+    """Counts of the ways after each row, for each half: array of (2, WEIGHT_ROWS, WAYS)."""
+    cells = _BLOCKS * BLOCK_ROWS * WAYS
 
-def first_weights(vocabulary) -> np.ndarray:
-    """Weights whose biases give the units' shares of the training tokens."""
-    weights = np.zeros((WEIGHT_ROWS, SLOTS), np.float32)
-    mass = np.log(vocabulary.mass.reshape(SLOTS, CLASSES) + 0.5)  # unit = slot * CLASSES + class
-    weights[:2] = np.log(np.exp(mass).sum(axis=0)).reshape(2, SLOTS)
-    weights[2 * _CLASS_ROWS:2 * _CLASS_ROWS + CLASSES] = mass.T
+    def count(batches):
+        counts = np.zeros((2, cells), np.int32)
+        for batch in batches:
+            sizes, unit = decode(batch.column(1))
+            if not len(unit):
+                continue
+            half = np.repeat(batch.column(0).to_numpy(), sizes)
+            before = contexts(sizes, unit)
+            for own, target in enumerate(counts):
+                mine = half == own
+                some, ahead = unit[mine], [x[mine] for x in before]
+                for digit in range(DIGITS):
+                    node, way = node_and_way(digit, some)
+                    for rows in feature_rows(digit, ahead, node):
+                        np.add.at(target, rows * WAYS + way, 1)
+        blocks = counts.reshape(2 * _BLOCKS, -1)
+        for block in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.record_batch([pa.array([block], pa.int32()),
+                                   pa.array([blocks[block].tobytes()], pa.binary())],
+                                  ["block", "counts"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(counts, np.int32)
+                sums[block] = sums[block] + counts if block in sums else counts.astype(np.int64)
+        for block, total in sums.items():
+            yield pa.record_batch([pa.array([block], pa.int32()),
+                                   pa.array([total.astype(np.float32).tobytes()], pa.binary())],
+                                  ["block", "counts"])
+
+    schema = "block int, counts binary"
+    # a task adds up what it reads as it comes, so it holds its blocks once
+    found = coded.select("half", "units").mapInArrow(count, schema).repartition(
+        "block").mapInArrow(add, schema).toArrow()
+    out = np.zeros((2 * _BLOCKS, BLOCK_ROWS * WAYS), np.float32)
+    for block, counts in zip(found["block"].to_pylist(), found["counts"]):
+        out[block] = np.frombuffer(counts.as_buffer(), np.float32)
+    return out.reshape(2, -1, WAYS)[:, :WEIGHT_ROWS]
+
+
+def first_update(counts, log_shares) -> np.ndarray:
+    """ln of the smoothed quotient of observed and expected counts, by row and way."""
+    weights = np.empty_like(counts)
+    for digit in range(DIGITS):
+        shares = np.exp(log_shares[_FIRST_NODE[digit]:][:NODES[digit]])
+        for f in range(FAMILIES):
+            rows = slice(_FIRST_ROW[digit, f], _FIRST_ROW[digit, f] + _SIZES[digit, f])
+            seen = counts[rows].reshape(NODES[digit], -1, WAYS)
+            prior = ROW_SMOOTHING * shares[:, None]
+            expected = seen.sum(axis=2, keepdims=True) * shares[:, None]
+            weights[rows] = np.log((seen + prior) / (expected + prior)).reshape(-1, WAYS)
     return weights
 
 
 class Model:
-    def __init__(self, weights):
+    def __init__(self, log_shares, weights, strengths):
+        self.log_shares = log_shares.astype(np.float32)
         self.weights = weights
-        self.classes = weights[:2 * _CLASS_ROWS].reshape(_CLASS_ROWS, CLASSES)
-        self.units = weights[2 * _CLASS_ROWS:]
-
-    @staticmethod
-    def _softmax(x):
+        self.strengths = strengths
+
+    def _digit(self, digit, before, unit):
+        """Weights (feature, token, way), chances of the ways, and the way taken."""
+        node, way = node_and_way(digit, unit)
+        taken = np.stack([self.weights.take(rows, axis=0, mode="clip")
+                          for rows in feature_rows(digit, before, node)])
+        x = self.log_shares.take(_FIRST_NODE[digit] + node, axis=0, mode="clip")
+        for strength, w in zip(self.strengths[digit], taken):
+            x += np.float32(strength) * w
         x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
         x /= x.sum(axis=1, keepdims=True)
-        return x
-
-    def _forward(self, before, unit):
-        kind, slot = unit % CLASSES, unit // CLASSES
-        f, g = _class_features(*before), _unit_features(*before, kind)
-        x = self.classes.take(f[0], axis=0, mode="clip")
-        for rows in f[1:]:
-            x += self.classes.take(rows, axis=0, mode="clip")
-        x += self.classes[0]
-        y = self.units.take(kind, axis=0, mode="clip")
-        for rows in g:
-            y += self.units.take(rows, axis=0, mode="clip")
-        return kind, slot, f, g, self._softmax(x), self._softmax(y)
+        return taken, x, way
 
     def log10(self, before, unit):
-        """log10 of P(class) P(unit | class) of every token."""
-        out = np.empty(len(unit))
+        """log10 of the chance of every token's unit."""
+        out = np.zeros(len(unit))
         for i in range(0, len(unit), BATCH):
             part = slice(i, i + BATCH)
-            kind, slot, _, _, x, y = self._forward([b[part] for b in before], unit[part])
-            own = np.arange(len(kind))
-            out[part] = np.log10(x[own, kind].astype(float)) + np.log10(y[own, slot].astype(float))
+            ahead, own = [x[part] for x in before], unit[part]
+            for digit in range(DIGITS):
+                _, chance, way = self._digit(digit, ahead, own)
+                out[part] += np.log10(np.maximum(chance[np.arange(len(way)), way], 1e-30))
         return out
 
-
-class Trainer(Model):
-    """Takes sparse gradient steps; steps of a row shrink with its gradients so far."""
-
-    def __init__(self, weights):
-        super().__init__(weights.copy())
-        self._class_seen = np.zeros(_CLASS_ROWS, np.float32)
-        self._unit_seen = np.zeros(_UNIT_ROWS, np.float32)
-
-    @staticmethod
-    def _step(table, seen, rows, errors):
-        """Sum the errors of each touched row and move the row against the sum."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total = np.add.reduceat(errors.take(order % len(errors), axis=0, mode="clip"), first,
-                                axis=0)
-        Trainer._move(table, seen, rows[first], total)
-
-    @staticmethod
-    def _move(table, seen, rows, total):
-        seen[rows] += (total * total).mean(axis=1)
-        table[rows] -= RATE * total / np.sqrt(seen[rows] + 1.0)[:, None]
-
-    def train(self, before, unit):
+    def slopes(self, before, unit):
+        """Gradient of ln P by the strengths and its negated curvature, by digit."""
+        out = np.zeros((DIGITS, FAMILIES, FAMILIES + 1))
         for i in range(0, len(unit), BATCH):
             part = slice(i, i + BATCH)
-            kind, slot, f, g, x, y = self._forward([b[part] for b in before], unit[part])
-            own = np.arange(len(kind))
-            x[own, kind] -= 1
-            y[own, slot] -= 1
-            self._step(self.classes, self._class_seen, np.concatenate(f), x)
-            self._step(self.units, self._unit_seen, np.concatenate([kind, *g]), y)
-            self._move(self.classes, self._class_seen, np.zeros(1, np.int64),
-                       x.sum(axis=0, keepdims=True))  # the bias, which every token touches
-
-    def touched(self):
-        """Rows of SLOTS weights that took a step."""
-        return np.concatenate([np.repeat(self._class_seen > 0, 2), self._unit_seen > 0])
-
-
-def train(training: DataFrame, vocabulary, rounds=ROUNDS) -> np.ndarray:
-    """Weights after one pass over the texts, dealt over rounds by a hash of the text."""
-    context = training.sparkSession.sparkContext
-    known = context.broadcast(vocabulary)
-    weights = first_weights(vocabulary)
-    columns = [f"d{i}" for i in range(SLOTS)]
-    for turn in range(rounds):
-        shared = context.broadcast(weights)
+            ahead, own = [x[part] for x in before], unit[part]
+            for digit in range(DIGITS):
+                taken, chance, way = self._digit(digit, ahead, own)
+                mean = np.einsum("ftw,tw->ft", taken, chance)
+                out[digit, :, 0] += (taken[:, np.arange(len(way)), way] - mean).sum(axis=1)
+                taken -= mean[:, :, None]
+                taken *= np.sqrt(chance)
+                flat = taken.reshape(FAMILIES, -1)
+                out[digit, :, 1:] += flat @ flat.T
+        return out
 
-        def run(batches, shared=shared):
-            coder, trainer = Coder(known.value), Trainer(shared.value)
-            for batch in batches:
-                text, _, unit, _ = coder.code(text_bytes(batch.column(0)))
-                if len(unit):
-                    trainer.train(contexts(text, unit), unit)
-            rows = np.flatnonzero(trainer.touched())
-            change = trainer.weights[rows] - shared.value[rows]
-            for i in range(0, len(rows), 10_000):
-                part = slice(i, i + 10_000)
-                yield pa.record_batch([rows[part].astype(np.int32),
-                                       *np.ascontiguousarray(change[part].T)], ["row", *columns])
-
-        dealt = training.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text")
-        changes = dealt.mapInArrow(
-            run, "row int, " + ", ".join(f"{c} float" for c in columns)).groupBy("row").agg(
-            *[F.avg(c).cast("float").alias(c) for c in columns]).toPandas()
-        weights = weights.copy()
-        weights[changes["row"].to_numpy()] += changes[columns].to_numpy(np.float32)
-    return weights
 
+def train(coded: DataFrame, log_shares):
+    """Weights and strengths from the coded training texts; see the top of this module."""
+    context = coded.sparkSession.sparkContext
+    counts = count_rows(coded)
+    strengths = np.full((DIGITS, FAMILIES), FIRST_STRENGTH)
+    for half in (0, 1):
+        shared = context.broadcast((log_shares, first_update(counts[1 - half], log_shares),
+                                    strengths))
 
-def score(documents: DataFrame, vocabulary, counts: DataFrame, weights) -> DataFrame:
-    """All rows of doc_id, held_out, text: with n_tokens, n_known, base_score and score."""
-    context = documents.sparkSession.sparkContext
-    known, shared = context.broadcast(vocabulary), context.broadcast(weights)
+        def run(batches, shared=shared):
+            model, total = Model(*shared.value), 0
+            for batch in batches:
+                sizes, unit = decode(batch.column(0))
+                total = total + model.slopes(contexts(sizes, unit), unit)
+            if not np.isscalar(total):
+                flat = total.ravel()
+                yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)),
+                                       pa.array(flat)], ["place", "value"])
+
+        sums = np.zeros(DIGITS * FAMILIES * (FAMILIES + 1))
+        for r in coded.where(F.col("half") == half).select("units").mapInArrow(
+                run, "place int, value double").groupBy("place").agg(
+                F.sum("value").alias("value")).collect():
+            sums[r["place"]] = r["value"]
+        sums = sums.reshape(DIGITS, FAMILIES, FAMILIES + 1)
+        curve = sums[:, :, 1:] + np.eye(FAMILIES)  # one token's worth of doubt
+        step = np.linalg.solve(curve, sums[:, :, :1])[:, :, 0]
+        strengths = np.clip(strengths + step, 0.0, 2.0)
+    return first_update(counts.sum(axis=0), log_shares), strengths
+
+
+def score(coded: DataFrame, vocabulary, counts: DataFrame, model) -> DataFrame:
+    """All rows of doc_id, held_out: with n_tokens, n_known, base_score and score."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        coder, model = Coder(known.value), Model(shared.value)
-        own = known.value
-        head = np.log10(np.append(own.counts, 0) + SMOOTHING)  # rank -1 is the appended one
-        number = TaskContext.get().partitionId() << 40
+        own = Model(*shared.value)
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            text, word, unit, rank = coder.code(text_bytes(batch.column(2)))
-            in_head = rank >= 0
-            counted = np.where(in_head, head[rank], 0.0)  # the rest is added by the join
-            model_part = model.log10(contexts(text, unit), unit)
-            model_part += np.where(unit < WORD_UNITS, 0.0, counted - own.below[unit])
-            total = functools.partial(np.bincount, text, minlength=rows)
-            rest = np.flatnonzero(~in_head)
-            order = np.lexsort((word[rest], text[rest]))
-            rest_text, rest_word = text[rest][order], word[rest][order]
-            new = np.flatnonzero(np.append(True, (rest_text[1:] != rest_text[:-1])
-                                           | (rest_word[1:] != rest_word[:-1]))
-                                 ) if len(rest) else np.empty(0, np.int64)
-            times = np.diff(np.append(new, len(rest))).astype(np.int32)
-            ends = np.cumsum(np.bincount(rest_text[new], minlength=rows)).astype(np.int32)
-            offsets = pa.array(np.append(np.int32(0), ends).astype(np.int32))
-            tokens = total()
-            yield pa.record_batch(
-                [pa.array(number + np.arange(rows)), batch.column(0), batch.column(1), tokens,
-                 total(weights=in_head).astype(np.int64),
-                 total(weights=counted) - tokens * own.base_below,
-                 total(weights=model_part),
-                 pa.ListArray.from_arrays(offsets, pa.array(rest_word[new])),
-                 pa.ListArray.from_arrays(offsets, pa.array(times))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "words",
-                 "times"])
-            number += rows
-
-    partial = cut_lineage(documents.mapInArrow(
+            sizes, unit = decode(batch.column(batch.num_columns - 1))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(text, own.log10(contexts(sizes, unit), unit), len(sizes))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(total)],
+                                  [*batch.schema.names[:-1], "model"])
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "within"]
+    scored = coded.select(*kept, "units").mapInArrow(
         run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, "
-             "base double, model double, words array<bigint>, times array<int>"))
-    rare = partial.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
+             "base double, within double, model double")
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     # rare words share a unit: the count's logarithm enters both scores alike
-    found = rare.join(counts.select("word", "c"), "word", "left").groupBy("row").agg(
+    found = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("rest"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
     rest = F.coalesce("rest", F.lit(0.0))
-    return partial.drop("words", "times").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score"))
+        (F.col("base") + rest).alias("base_score"),
+        (F.col("model") + F.col("within") + rest).alias("score"))
 
 
 def fit_and_score(documents: DataFrame, id_col="doc_id", text_col="text", folds=10) -> DataFrame:
@@ -381,7 +453,9 @@ def fit_and_score(documents: DataFrame, id_col="doc_id", text_col="text", folds=
         F.col(id_col).cast("bigint").alias("doc_id"),
         (crc32_remainder(F.col(id_col), folds) == 0).alias("held_out"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    training = rows.where("not held_out")
-    counts = cut_lineage(count_words(training))
+    counts = cut_lineage(count_words(rows.where("not held_out")))
     vocabulary = learn_vocabulary(counts)
-    return score(rows, vocabulary, counts, train(training, vocabulary))
+    coded = code_texts(rows, vocabulary)
+    log_shares = vocabulary.log_shares()
+    model = (log_shares, *train(coded.where("not held_out"), log_shares))
+    return score(coded, vocabulary, counts, model)
