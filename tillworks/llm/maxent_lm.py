@@ -66,6 +66,7 @@ _FIRST_NODE = np.cumsum(NODES) - NODES
 BLOCK_ROWS = 512  # rows of counts that are shuffled as one
 _BLOCKS = -(-WEIGHT_ROWS // BLOCK_ROWS)
 FIRST_STRENGTH = 0.5
+_MOST = np.float32(80)  # larger logits count as this, whose exponential is finite
 _CACHE_WORDS = 300_000
 _COUNTED_WORDS = 200_000
 # no word contains a space
@@ -147,53 +148,33 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, total["n"] or 0, total["v"], shared)
 
 
-class Coder:
-    """Turns texts into units, with a bounded cache of words."""
+class Coder(dict):
+    """What stands for a word, with a bounded cache: its rank in the head, else its hash.
+
+    A hash that equals a rank is as rare as two equal hashes.
+    """
 
     def __init__(self, vocabulary):
         self._rank = vocabulary.rank
-        self._reset()
-
-    def _reset(self):
-        self._index = {}
-        self._table = np.empty((2, 1 << 12), np.int64)  # of each word: hash, unit
-        self._new = []
-        self._put(b" ", int(END))
-
-    def _put(self, word, value=None):
-        value = word_hash(word) if value is None else value
-        rank = self._rank.get(value)
-        self._index[word] = len(self._index)
-        self._new.append((value, shared_unit(value) if rank is None else rank))
-
-    def _settle(self):
-        """Move what is known of new words to the table."""
-        if self._new:
-            end = len(self._index)
-            while self._table.shape[1] < end:
-                self._table = np.concatenate([self._table, np.empty_like(self._table)], axis=1)
-            self._table[:, end - len(self._new):end] = np.array(self._new, np.int64).T
-            self._new = []
+
+    def __missing__(self, word):
+        value = word_hash(word)
+        self[word] = value = self._rank.get(value, value)
+        return value
 
     def code(self, texts):
-        """(tokens of each text, word hash and unit of every token, in order)."""
-        if len(self._index) > _CACHE_WORDS:
-            self._reset()
-        at, sizes = [], []
-        index = self._index
+        """(tokens of each text, value and unit of every token, in order)."""
+        if len(self) > _CACHE_WORDS:
+            self.clear()
+        values, sizes, find = [], [], self.__getitem__
         for text in texts:
             words = (text or b"").lower().split()
             words.append(b" ")
-            found = list(map(index.get, words))
-            if None in found:
-                for word in words:
-                    if word not in index:
-                        self._put(word)
-                found = list(map(index.__getitem__, words))
-            at += found
+            values += map(find, words)
             sizes.append(len(words))
-        self._settle()
-        return (np.array(sizes, np.int64), *self._table[:, np.array(at, np.int64)])
+        values = np.array(values, np.int64)
+        in_head = (values >= 0) & (values < HEAD_WORDS)
+        return np.array(sizes, np.int64), values, np.where(in_head, values, shared_unit(values))
 
 
 def code_texts(documents: DataFrame, vocabulary) -> DataFrame:
@@ -281,7 +262,7 @@ def count_rows(coded: DataFrame):
     cells = _BLOCKS * BLOCK_ROWS * WAYS
 
     def count(batches):
-        counts = np.zeros((2, cells), np.int32)
+        counts, one = np.zeros((2, cells), np.int32), np.int32(1)  # of one type: far faster
         for batch in batches:
             sizes, unit = decode(batch.column(1))
             if not len(unit):
@@ -294,7 +275,7 @@ def count_rows(coded: DataFrame):
                 for digit in range(DIGITS):
                     node, way = node_and_way(digit, some)
                     for rows in feature_rows(digit, ahead, node):
-                        np.add.at(target, rows * WAYS + way, 1)
+                        np.add.at(target, rows * WAYS + way, one)
         blocks = counts.reshape(2 * _BLOCKS, -1)
         for block in np.flatnonzero(blocks.any(axis=1)):
             yield pa.record_batch([pa.array([block], pa.int32()),
@@ -340,46 +321,68 @@ class Model:
     def __init__(self, log_shares, weights, strengths):
         self.log_shares = log_shares.astype(np.float32)
         self.weights = weights
-        self.strengths = strengths
-
-    def _digit(self, digit, before, unit):
-        """Weights (feature, token, way), chances of the ways, and the way taken."""
-        node, way = node_and_way(digit, unit)
-        taken = np.stack([self.weights.take(rows, axis=0, mode="clip")
-                          for rows in feature_rows(digit, before, node)])
-        x = self.log_shares.take(_FIRST_NODE[digit] + node, axis=0, mode="clip")
-        for strength, w in zip(self.strengths[digit], taken):
-            x += np.float32(strength) * w
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return taken, x, way
+        self.strengths = strengths.astype(np.float32)
+        self._ones = np.ones(WAYS, np.float32)
+
+    @functools.cached_property
+    def _folded(self):
+        """Weights times strengths; a digit's first family holds the log shares as well."""
+        out = self.weights.copy()
+        for digit in range(DIGITS):
+            shares = self.log_shares[_FIRST_NODE[digit]:][:NODES[digit]]
+            for f, strength in enumerate(self.strengths[digit]):
+                out[_FIRST_ROW[digit, f]:][:_SIZES[digit, f]] *= strength
+            rows = out[_FIRST_ROW[digit, 0]:][:_SIZES[digit, 0]]
+            rows += np.repeat(shares, FAMILY_ROWS[digit, 0], axis=0)
+        return out
 
     def log10(self, before, unit):
         """log10 of the chance of every token's unit."""
-        out = np.zeros(len(unit))
+        out = np.empty(len(unit))
+        weights = self._folded
         for i in range(0, len(unit), BATCH):
             part = slice(i, i + BATCH)
             ahead, own = [x[part] for x in before], unit[part]
+            tokens, total = np.arange(len(own)), 0
             for digit in range(DIGITS):
-                _, chance, way = self._digit(digit, ahead, own)
-                out[part] += np.log10(np.maximum(chance[np.arange(len(way)), way], 1e-30))
-        return out
+                node, way = node_and_way(digit, own)
+                rows = feature_rows(digit, ahead, node)
+                x = weights.take(rows[0], axis=0, mode="clip")
+                for f in range(1, FAMILIES):
+                    if self.strengths[digit, f]:
+                        x += weights.take(rows[f], axis=0, mode="clip")
+                np.minimum(x, _MOST, out=x)
+                taken = x[tokens, way]
+                total = total + taken - np.log(np.exp(x, out=x) @ self._ones)
+            out[part] = total
+        return out / np.log(10)
 
     def slopes(self, before, unit):
         """Gradient of ln P by the strengths and its negated curvature, by digit."""
         out = np.zeros((DIGITS, FAMILIES, FAMILIES + 1))
+        held = np.empty((2, FAMILIES, BATCH, WAYS), np.float32)
         for i in range(0, len(unit), BATCH):
             part = slice(i, i + BATCH)
             ahead, own = [x[part] for x in before], unit[part]
+            tokens = np.arange(len(own))
+            taken, spread = held[:, :, :len(own)] if len(own) == BATCH else np.empty(
+                (2, FAMILIES, len(own), WAYS), np.float32)
+            flat, spread_flat = (x.reshape(FAMILIES, -1) for x in (taken, spread))
             for digit in range(DIGITS):
-                taken, chance, way = self._digit(digit, ahead, own)
-                mean = np.einsum("ftw,tw->ft", taken, chance)
-                out[digit, :, 0] += (taken[:, np.arange(len(way)), way] - mean).sum(axis=1)
-                taken -= mean[:, :, None]
-                taken *= np.sqrt(chance)
-                flat = taken.reshape(FAMILIES, -1)
-                out[digit, :, 1:] += flat @ flat.T
+                node, way = node_and_way(digit, own)
+                for rows, place in zip(feature_rows(digit, ahead, node), taken):
+                    self.weights.take(rows, axis=0, out=place, mode="clip")
+                x = (self.strengths[digit] @ flat).reshape(-1, WAYS)
+                x += self.log_shares.take(_FIRST_NODE[digit] + node, axis=0, mode="clip")
+                np.minimum(x, _MOST, out=x)
+                np.exp(x, out=x)
+                x /= (x @ self._ones)[:, None]
+                np.multiply(taken, x, out=spread)
+                mean = (spread.reshape(-1, WAYS) @ self._ones).reshape(FAMILIES, -1)
+                out[digit, :, 1:] += np.array([[np.dot(a, b) for a in flat]
+                                               for b in spread_flat]) - mean @ mean.T
+                x[tokens, way] -= 1
+                out[digit, :, 0] -= flat @ x.ravel()
         return out
 
 
