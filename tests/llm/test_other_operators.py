@@ -331,6 +331,43 @@ def test_chat_windows_read_back(spark):
     assert chat.digests(chat.windows(turns.where("false"))).count() == 0
 
 
+def test_hot_conversation_of_null_and_sparse_turns(spark):
+    rows = [(1, None if i % 3 else i * 10_000, "user" if i % 7 else "assistant", f"t{i % 11}")
+            for i in range(4000)] + [(2, 1, "assistant", "same")] * 1500 + [(3, 0, "user", "u")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    numbered = chat.number_turns(turns).select("conv", "position").collect()
+    bins = chat.number_turns(turns).groupBy("conv").agg({"position": "max"}).collect()
+    assert Counter(r["conv"] for r in numbered) == {r[0]: r[1] for r in bins}
+    assert len({(r["conv"], r["position"]) for r in numbered}) == len(rows)
+    out = {r["conv_id"]: r for r in chat.digests(chat.windows(turns)).collect()}
+    for conv in (1, 2, 3):
+        own = sorted((-1 if t is None else t, r, x) for c, t, r, x in rows if c == conv)
+        assert out[conv]["turns_sha256"] == hashlib.sha256("".join(
+            f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        assert out[conv]["loss_chars"] == sum(len(t) for _, r, t in own if r == "assistant")
+
+
+def test_a_third_of_all_vectors_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(vector_units, "SHARD_VALUES", 400)
+    monkeypatch.setattr(vector_units, "BLOCK_QUERIES", 3)
+    draw = np.random.default_rng(5)
+    rows = [(100 if i % 3 == 0 else i, draw.standard_normal(4).tolist()) for i in range(1, 600)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ids = np.array([r[0] for r in rows])
+    points = np.floor(1024 * np.array([r[1] for r in rows])).astype(np.int64)
+    found = defaultdict(list)
+    for r in ball_tree.top_k(frame).collect():
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    expected = defaultdict(list)
+    for i, q in zip(ids, points):
+        if i % 100 == 0:
+            other = ids != i
+            expected[i] += sorted(zip((-(points[other] @ q)).tolist(), ids[other].tolist()))[:10]
+    assert len(expected[100]) > 1900
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in expected.items()}
+    assert vp_tree.nearest(frame, factor=1).where("query_id = 100").count() == 20 * sum(ids == 100)
+
+
 def test_pipeline_keeps_clean_documents_and_their_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns

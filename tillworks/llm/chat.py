@@ -12,8 +12,9 @@ A turn is written ``<|turn|>role`` newline text ``<|end|>`` newline, a repeated
 becomes &#10;, so no mark can appear inside; undoing it in reverse gives back every text. The
 loss mask covers the texts of assistant turns in the one window where they are not repeated.
 
-Running sums are made per ``BIN`` turn numbers and then over bins, so a conversation that holds
-much of the table is split over tasks. Rows of one conversation are ordered by turn, then role,
+All rows are sorted by ranges and written once; running sums are made per ``BIN`` rows in that
+order and then over bins, so a conversation that holds much of the table is split over tasks,
+also if its turn numbers are null, equal or far apart. Rows of one conversation are ordered by turn, then role,
 then text; nulls come first, repeated rows are separate turns. Null texts and roles count as
 empty, null conversation ids as one conversation. An empty table gives an empty table, other
 columns are ignored.
@@ -55,16 +56,18 @@ def number_turns(turns: DataFrame) -> DataFrame:
         F.col("conv_id").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn(
-        "tokens", TURN_TOKENS + F.ceil(F.char_length("text") / 4)).withColumn(
-        "bin", F.coalesce(F.floor(F.col("turn") / BIN), F.lit(-(1 << 62))))
+        "tokens", TURN_TOKENS + F.ceil(F.char_length("text") / 4))
+    # equal rows may take any order, so chance may deal them out
+    keys = ["conv", F.asc_nulls_first("turn"), "role", "text", F.rand(10)]
+    rows = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(
+        "at", F.monotonically_increasing_id())).withColumn("bin", F.floor(F.col("at") / BIN))
     totals = rows.groupBy("conv", "bin").agg(F.sum("tokens").alias("tokens"),
                                              F.count("*").alias("rows"))
     earlier = Window.partitionBy("conv").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = cut_lineage(totals.select(
         "conv", "bin", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("above")))
-    order = Window.partitionBy("conv", "bin").orderBy(
-        F.asc_nulls_first("turn"), "role", "text")
+    order = Window.partitionBy("conv", "bin").orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     b = bins.select(F.col("conv").alias("b_conv"), F.col("bin").alias("b_bin"), "before", "above")
     placed = rows.join(b, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("bin") == F.col(

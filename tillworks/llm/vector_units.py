@@ -1,7 +1,8 @@
 """Searching every query against every vector in bounded units, shared by the two searches.
 
-Vectors are dealt into shards and queries into blocks, both by hash and of bounded size; a
-unit is one shard with one block. The first round searches each block in one shard. Its
+Vectors are dealt into shards and queries into blocks, both of bounded size: vectors by a hash of
+a number that every row is given once, so that rows repeating an id or a vector spread over
+shards, queries by a hash of id and vector. A unit is one shard with one block. The first round searches each block in one shard. Its
 k-th scores go to the second round, which searches all other shards and can prune from
 the start. The best k of each query are then taken from the rows of all units.
 """
@@ -83,16 +84,19 @@ def search_all(vectors: DataFrame, every: int, k: int, search, score_type: str)
     """
     spark = vectors.sparkSession
     small_batches(spark, 1000)
-    vectors = cut_lineage(vectors.withColumn("dim", F.size("vec")))
+    vectors = cut_lineage(vectors.withColumn("dim", F.size("vec")).withColumn(
+        "row", F.monotonically_increasing_id()))
     size = vectors.agg(F.sum("dim").alias("values"),
                        F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
     shards = max(1, -(-(size["values"] or 0) // SHARD_VALUES))
     blocks = max(1, -(-size["queries"] // BLOCK_QUERIES))
-    place = "int(pmod(xxhash64(vec_id, {}), {}))"
-    stored = vectors.withColumn("shard", F.expr(place.format("1", shards)))
-    asked = vectors.where(F.col("vec_id") % every == 0).distinct().select(
+    stored = vectors.withColumn("shard", F.expr(f"int(pmod(xxhash64(row, 1), {shards}))")).drop(
+        "row")
+    asked = vectors.where(F.col("vec_id") % every == 0).select(
+        "vec_id", "vec", "dim").distinct().select(
         F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"),
-        F.col("dim").alias("q_dim"), F.expr(place.format("2", blocks)).alias("q_block"),
+        F.col("dim").alias("q_dim"),
+        F.expr(f"int(pmod(xxhash64(vec_id, vec, 2), {blocks}))").alias("q_block"),
         F.xxhash64("vec_id", "vec").alias("query"))
     kind = np.int64 if score_type == "bigint" else np.float64
     arrow = pa.int64() if score_type == "bigint" else pa.float64()
