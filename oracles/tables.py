@@ -119,10 +119,11 @@ TABLES = {
                greatest(1, coalesce(CAST(trunc(TRY_CAST(nullif(regexp_extract(raw,
                    '^[ \t\n\r]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1), '')
                    AS DOUBLE)) AS BIGINT), 0)) AS quantity
-        FROM (SELECT *, CASE WHEN event_id % 2 = 0
+        FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN '3000000000' WHEN event_id % 2 = 0
                              THEN ['x', '3abc', '-4', ' 2.9', '1e1'][event_id % 5 + 1]
                              ELSE CAST(event_id % 7 AS VARCHAR) END AS raw
-              FROM shop_events WHERE event_type = 'purchase')""",
+              FROM shop_events WHERE event_type = 'purchase')
+        WHERE quantity <= 2147483647""",
     "moves": """
         SELECT user_id, k AS product_id, ts AS created_at FROM shop_events
         WHERE event_type = 'purchase'""",

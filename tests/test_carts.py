@@ -33,6 +33,20 @@ def test_upsert_adds_clamps_and_numbers_new_lines(spark, t):
     assert by_id(out)[6].created_at == ts(8)
 
 
+def test_quantities_beyond_the_stored_type_are_rejected(spark, t):
+    adds = spark.createDataFrame(
+        [(101, 8, "2147483648", ts(12)), (101, 8, "2", ts(11)), (101, 1, "9e30", ts(12)),
+         (100, 2, "2147483647", ts(9)), (100, 2, "2147483647x", ts(9))], ADDS)
+    lines = _lines(carts.cart_upsert(t["cart_items"], adds))
+    before = _lines(t["cart_items"])
+    assert lines[101, 8] == (1, before[101, 8][1] + 2) and (101, 1) not in lines
+    assert lines[100, 2][1] == 2 * 2147483647
+    edits = spark.createDataFrame([(1, 101, 1, "7"), (1, 101, 2, "3000000000")],
+                                  "id bigint, user_id bigint, seq int, quantity string")
+    out = carts.set_cart_quantities(t["cart_items"], edits)
+    assert by_id(out)[1].quantity == 7 and out.schema == t["cart_items"].schema
+
+
 def test_adds_need_known_products_and_users_and_keep_creation_times(spark, t):
     adds = spark.createDataFrame([(101, 8, "2", ts(1)), (101, -5, "1", ts(2)), (555, 8, "1", ts(2))],
                                  ADDS)

@@ -15,8 +15,9 @@ def _apply(spark, fn, values, dtype):
 @pytest.mark.parametrize("fn, dtype, pairs", [
     (X.clamp_qty, "string", [("3abc", 3), ("x", 1), ("", 1), (None, 1), ("0", 1), ("-4", 1),
                              (" 7", 7), ("2.9", 2), ("1e1", 10), ("+5", 5),
-                             ("99999999999", 2147483647)]),
-    (X.whole_number, "string", [("-3.9", -3), ("abc", 0), (None, 0), (".5", 0)]),
+                             ("99999999999", 99_999_999_999)]),
+    (X.whole_number, "string", [("-3.9", -3), ("abc", 0), (None, 0), (".5", 0),
+                                ("3000000000", 3_000_000_000), ("-1e300", -(1 << 63))]),
     (X.slugify, "string", [("House & Home", "house-&-home"), ("ÄB c", "Äb-c"), (None, None)]),
     (X.is_filled, "string", [("", False), ("0", False), (None, False), (" ", True), ("00", True)]),
     (X.image_src, "string", [(None, X.FALLBACK_IMAGE), ("\t \n", X.FALLBACK_IMAGE),

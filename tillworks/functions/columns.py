@@ -50,15 +50,21 @@ def is_filled(c) -> Column:
 
 
 def whole_number(c) -> Column:
-    """The leading number of a text cut to an integer; 0 when there is none."""
+    """The leading number of a text cut to a 64-bit integer; 0 when there is none."""
     number = F.regexp_extract(_col(c).cast("string"), LEADING_NUMBER, 1).try_cast("double")
     # least and greatest skip NULLs, so the missing number is settled first
     found = F.coalesce(number, F.lit(0.0))
-    return F.greatest(F.least(found, F.lit(float(MAX_INT))), F.lit(float(-MAX_INT))).cast("int")
+    ends = F.least(found, F.lit(float((1 << 63) - 1024))), F.lit(float(-(1 << 63)))
+    return F.greatest(*ends).cast("bigint")
 
 
 def clamp_qty(c) -> Column:
-    return F.greatest(F.lit(1), whole_number(c))
+    return F.greatest(F.lit(1).cast("bigint"), whole_number(c))
+
+
+def fits_int(c) -> Column:
+    """Whether a stored 32-bit column can hold the number typed."""
+    return F.abs(whole_number(c).cast("decimal(20,0)")) <= MAX_INT
 
 
 def line_total(quantity, price) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillworks.functions.columns import clamp_qty, line_total, money_total
+from tillworks.functions.columns import clamp_qty, fits_int, line_total, money_total
 from tillworks.operators.changes import apply_updates, delete_keys
 from tillworks.operators.ids import assign_ids, next_id
 from tillworks.plans.reports import payments_made
@@ -42,7 +42,8 @@ def _numbered_after(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def cart_upsert(cart: DataFrame, adds: DataFrame, products=None, users=None) -> DataFrame:
     """Add quantities to the cart line of (user, product), creating it if absent.
 
-    Adds that name a product or user missing from the given tables are left out.
+    Adds that name a product or user missing from the given tables are left out, and so are
+    those whose quantity no 32-bit column holds; sums of the others are 64-bit.
 
     ``adds`` has user_id, product_id, a raw quantity and created_at. Stored
     quantities and creation times are kept as they are, added quantities are at
@@ -50,7 +51,7 @@ def cart_upsert(cart: DataFrame, adds: DataFrame, products=None, users=None) ->
     """
     columns = ["id", *CART_KEY, "variant_id", "quantity", "created_at", "updated_at"]
     # the grouped feed is used for growing and for finding absent lines
-    grouped = adds.groupBy(*CART_KEY).agg(
+    grouped = adds.where(fits_int("quantity")).groupBy(*CART_KEY).agg(
         F.sum(clamp_qty("quantity")).alias("_added"),
         F.min("created_at").alias("_first"), F.max("created_at").alias("_last"))
     added = cut_lineage(_with_parents(grouped, products, users))
@@ -122,9 +123,11 @@ def merge_guest_wishlists(sessions: DataFrame, wishlist: DataFrame, products=Non
 def set_cart_quantities(cart: DataFrame, edits: DataFrame, as_of=None) -> DataFrame:
     """Set the quantity of a user's own lines; the latest edit of a line wins.
 
+    An edit whose quantity no 32-bit column holds is rejected, so the one before it stands.
     With ``as_of``, lines whose quantity changes get it as ``updated_at``.
     """
-    clamped = edits.select("id", "user_id", "seq", clamp_qty("quantity").alias("quantity"))
+    clamped = edits.where(fits_int("quantity")).select(
+        "id", "user_id", "seq", clamp_qty("quantity").cast("int").alias("quantity"))
     return apply_updates(cart, clamped, ["id", "user_id"], "seq", "quantity", as_of).select(
         *cart.columns)
 

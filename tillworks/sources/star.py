@@ -262,11 +262,11 @@ class StarShop:
 
     @cached_property
     def cart_adds(self) -> DataFrame:
-        """Adds with quantities as typed into a form."""
+        """Adds with quantities as typed into a form, some too large to be stored."""
         raw = _element(["x", "3abc", "-4", " 2.9", "1e1"], F.col("event_id") % 5)
         return self._events("purchase").select(
             "user_id", F.col("k").alias("product_id"),
-            F.when(F.col("event_id") % 2 == 0, raw)
+            F.when(F.col("event_id") % 97 == 0, "3000000000").when(F.col("event_id") % 2 == 0, raw)
             .otherwise((F.col("event_id") % 7).cast("string")).alias("quantity"),
             F.col("ts").alias("created_at"))
 
