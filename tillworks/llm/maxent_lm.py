@@ -28,7 +28,7 @@ table of counts. Words are known by a 64-bit hash.
 
 A null text counts as empty and consists of the end token; a null id counts as empty text
 in the split. Repeated rows are scored each. With no training text all words are unknown and
-the score is that of uniform units. An empty table gives an empty table; other columns
+share the small plain share of their unit. An empty table gives an empty table; other columns
 are ignored.
 """
 
