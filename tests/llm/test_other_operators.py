@@ -437,6 +437,26 @@ def test_vantage_point_tree_recall_over_ten_shards(kind):
     assert search_recall(table, 10, np.arange(0, 20_000, 400)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["long few", "lognormal", "heavy", "far", "short", "copies"])
+def test_vantage_point_tree_finds_all_on_unequal_norms(kind):
+    rng = np.random.default_rng(4)
+    table = rng.standard_normal((6_000, 8))
+    if kind == "long few":
+        table[::997] *= 1000
+    elif kind == "lognormal":
+        table *= np.exp(rng.standard_normal((len(table), 1)))
+    elif kind == "heavy":
+        table *= 10.0 ** rng.uniform(-30, 30, (len(table), 1))
+    elif kind == "far":
+        table += 10
+    elif kind == "short":
+        table = -1e-8 * np.abs(table)
+        table[0] = 1.0
+    else:
+        table[1::2] = table[0] * (1 + 1e-9 * rng.standard_normal((3_000, 8)))
+    assert search_recall(table, 4, np.arange(0, 6_000, 60)) >= (0.97 if kind == "copies" else 1)
+
+
 def test_vantage_point_tree_on_huge_components(spark):
     rows = [(i, [math.sin(i + j) * 10.0**(160 if i % 7 == 0 else 0) / 1e10 for j in range(3)], 0)
             for i in range(300)]

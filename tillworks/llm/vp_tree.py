@@ -1,13 +1,17 @@
-"""Approximate nearest neighbours by inner product with vantage-point trees per shard.
-
-Inner products become distances by one more component: with M the largest norm, a vector x
-is extended by sqrt(M^2 - |x|^2) and a query by 0, so |q' - x'|^2 = |q|^2 + M^2 - 2 q.x and
-the nearest is the one with the largest product. A node splits its vectors at the median
-distance from a vantage point. With t the query's current k-th distance and d its distance
-from the vantage point, the side across the median m can hold something nearer only if
-|d - m| <= t (triangle inequality); it is searched if |d - m| <= FACTOR * t. Factor 1 is
-exact search, smaller factors search less. The k-th score of a query's first shard is
-shared with the others (`vector_units`). Scores are computed on the original vectors.
+"""Nearest neighbours by inner product with vantage-point trees per shard.
+
+Inner products become angles by one more component: with M the largest norm, a vector x is
+extended by sqrt(M^2 - |x|^2) and a query by 0, so cos(q', x') = q.x / (|q| M) and the nearest
+is the one with the largest product. As one long vector would press all others together at
+one pole, every power of two of the norm gets a tree of its own, longest first, and a query
+whose k-th score no vector of that norm can reach leaves the tree out. A node splits its
+vectors at the median angle from a vantage point and keeps the range of angles on each side.
+With t the angle of the query's current k-th score and d its angle from the vantage point, a
+side can hold something nearer only if d lies within t of its range (triangle inequality); it
+is searched if d lies within FACTOR * t. Factor 1 is exact search on any vectors. Smaller
+factors search less, but may miss most neighbours where a query is far from all vectors. The
+k-th score of a query's first shard is shared with the others (`vector_units`). Scores are
+computed on the original vectors.
 
 Vectors that are null or empty, zero, hold null or non-finite components, or have a null id
 take no part. Vectors of different lengths are not compared. Rows with a query's id count as
@@ -24,21 +28,29 @@ from pyspark.sql import functions as F
 
 from tillworks.llm.vector_units import LEAF, Best, search_all, usable
 
-FACTOR = 0.7
+FACTOR = 1.0
+
+LEAST_NORM = 2.0**-40  # of the largest component; all shorter vectors share one tree
 
 
 class _Node:
-    __slots__ = ("vantage", "median", "rows", "inner", "outer")
+    __slots__ = ("vantage", "median", "rows", "inner", "outer", "low", "high")
+
+
+def angle(cosines):
+    return np.arccos(np.clip(cosines, -1, 1))
 
 
 def build(points, rows, rng):
-    """A tree over points[rows]; vectors that no vantage point separates share a leaf."""
+    """A tree over points[rows]; vectors that no vantage point separates share a leaf.
+
+    ``low`` and ``high`` of a side are its range of angles from the vantage point above it.
+    """
     node = _Node()
     node.rows, node.inner, node.outer = rows, None, None
     if len(rows) > LEAF:
-        # of a few vantage points the one whose distances spread most
-        tried = [(np.sqrt(((points[rows] - points[v]) ** 2).sum(axis=1)), v)
-                 for v in rng.choice(rows, 4)]
+        # of a few vantage points the one whose angles spread most
+        tried = [(angle(points[rows] @ points[v]), v) for v in rng.choice(rows, 4)]
         away, node.vantage = max(tried, key=lambda x: x[0].std())
         node.median = float(np.median(away))
         near = away <= node.median
@@ -46,44 +58,58 @@ def build(points, rows, rng):
             node.rows = None
             node.inner = build(points, rows[near], rng)
             node.outer = build(points, rows[~near], rng)
+            for side, of in ((node.inner, away[near]), (node.outer, away[~near])):
+                side.low, side.high = of.min(), of.max()
     return node
 
 
 def search(ids, vectors, query_ids, queries, k, floor, factor):
-    # the tree is built on multiples within 1, whose squares do not overflow
+    # norms are those of multiples within 1, whose squares do not overflow
     size, asked = np.abs(vectors).max(), np.abs(queries).max(axis=1, keepdims=True)
     scaled, turned = vectors / size, queries / asked
-    squares = (scaled**2).sum(axis=1)
-    top = squares.max()
-    points = np.concatenate([scaled, np.sqrt(np.maximum(top - squares, 0))[:, None]], axis=1)
-    own = (turned**2).sum(axis=1)
-    extended = np.concatenate([turned, np.zeros((len(queries), 1))], axis=1)
+    norms = np.maximum(np.sqrt((scaled**2).sum(axis=1)), LEAST_NORM)
+    lengths = np.sqrt((turned**2).sum(axis=1))
+    turned /= lengths[:, None]
     best = Best(len(queries), k, floor, np.float64)
+    # a cosine is right to some roundings per component, an angle to the root of them
+    slack = 4 * np.sqrt((vectors.shape[1] + 2) * np.finfo(np.float64).eps)
+    large, little = np.maximum(size, asked[:, 0]), np.minimum(size, asked[:, 0])
+
+    def bar(rows):
+        """The k-th score so far, of the directions of the queries and the scaled vectors."""
+        score = np.minimum(best.bar(rows), np.finfo(np.float64).max)
+        return score / large[rows] / little[rows] / lengths[rows]
 
-    def reach(rows):
-        """The k-th distance so far, from the k-th score."""
-        bar = best.bar(rows) / size / asked[rows, 0]
-        return np.sqrt(np.maximum(own[rows] + top - 2 * bar, 0))
+    def reach(rows, top):
+        """The angle of the k-th score, times the factor."""
+        least = bar(rows)
+        return np.where(np.isneginf(least), np.inf, factor * angle(least / top) + slack)
 
-    def visit(node, rows):
+    def visit(node, rows, points, top):
         if node.inner is None:
             scores = np.einsum("qd,vd->qv", queries[rows], vectors[node.rows])
             best.offer(rows, scores, ids[node.rows], query_ids[rows])
             return
-        away = np.sqrt(((extended[rows] - points[node.vantage]) ** 2).sum(axis=1))
+        away = angle(turned[rows] @ points[node.vantage, :-1])
         inside = away <= node.median
-        gap = np.abs(away - node.median)
-        if inside.any():
-            visit(node.inner, rows[inside])
-        outer = ~inside | (gap <= factor * reach(rows) * (1 + 1e-9) + 1e-9 * (factor >= 1))
-        if outer.any():
-            visit(node.outer, rows[outer])
-        late = ~inside & (gap <= factor * reach(rows) * (1 + 1e-9) + 1e-9 * (factor >= 1))
-        if late.any():
-            visit(node.inner, rows[late])
-
-    visit(build(points, np.arange(len(points)), np.random.default_rng(8)),
-          np.arange(len(queries)))
+        for side, now in ((node.inner, inside), (node.outer, True), (node.inner, ~inside)):
+            gap = np.maximum(side.low - away, away - side.high)
+            fits = now & (gap <= reach(rows, top))
+            if fits.any():
+                visit(side, rows[fits], points, top)
+
+    # below the largest, so that vectors of one length up to rounding share a tree
+    bands, rng = np.frexp(norms / norms.max() * 0.999)[1], np.random.default_rng(8)
+    for band in np.unique(bands)[::-1]:
+        members = np.flatnonzero(bands == band)
+        top = norms[members].max()
+        rows = np.flatnonzero(bar(np.arange(len(queries))) <= top * (1 + slack))
+        if len(rows):
+            part = scaled[members] / top
+            points = np.zeros((len(vectors), vectors.shape[1] + 1))
+            points[members] = np.concatenate([part, np.sqrt(np.maximum(
+                1 - (part**2).sum(axis=1), 0))[:, None]], axis=1)
+            visit(build(points, members, rng), rows, points, top)
     return best
 
 
