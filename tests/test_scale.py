@@ -181,6 +181,33 @@ def test_a_hot_product_is_combined_before_the_shuffle(spark, shop):
     assert re.search(r"hashpartitioning\(product_id#\d+L, order_id#\d+L", text)
 
 
+def test_orders_per_product_are_counted_without_a_map_of_all_items(spark, shop):
+    for name in ("top", "valid"):
+        for group in ({}, NO_BROADCAST):
+            with settings(spark, a=group):
+                text = plan(REPORTS[name](shop))
+            assert not re.search(r"HashAggregate\(keys=\[[^]]*order_id", text)
+            assert re.search(r"Sort \[product_id#\d+L ASC NULLS FIRST, order_id#", text)
+
+
+def test_orders_per_product_with_repeated_and_null_keys(spark):
+    items = spark.createDataFrame(
+        [(1, 7, 2), (1, 7, 3), (1, 8, None), (1, None, 4), (2, None, 5), (2, None, None), (None, 9, 6),
+         (None, None, 1), (3, 8, None), (3, 8, None)] + [(4, 7, 1)] * 500,
+        "product_id bigint, order_id bigint, quantity int")
+    orders = spark.createDataFrame([(7, "paid"), (7, "paid"), (8, "cancelled"), (9, "paid"), (None, "paid")],
+                                   "id bigint, status string")
+    products = spark.range(1, 6).selectExpr("id", "'n' AS name", "'s' AS slug", "1.0 AS price",
+                                            "'i' AS image_url")
+    def rows(df):
+        return [(r.id, r.total_sold, r.times_ordered) for r in df.collect()]
+
+    assert rows(reports.top_selling_products(products, items)) == [
+        (4, 500, 1), (1, 9, 2), (2, 5, 0), (3, 0, 1), (5, 0, 0)]
+    assert rows(reports.top_selling_products_valid(products, items, orders)) == [
+        (4, 500, 1), (1, 5, 1), (2, 0, 0), (3, 0, 0), (5, 0, 0)]
+
+
 @pytest.mark.parametrize("partitions", ["1", "16"])
 def test_results_do_not_depend_on_the_number_of_partitions(spark, shop, partitions):
     def results():

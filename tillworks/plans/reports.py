@@ -6,7 +6,7 @@ one row per key and nothing fans out.
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillworks.functions.columns import exact_avg, line_total, money_total
 from tillworks.schemas import MONEY_SUM, PAYMENT_MADE_STATUSES, VOID_STATUSES
@@ -23,9 +23,17 @@ def is_valid_order(status="status") -> Column:
 
 
 def _sold_per_product(items: DataFrame) -> DataFrame:
-    return items.groupBy(F.col("product_id").alias("id")).agg(
-        F.sum("quantity").alias("total_sold"),
-        F.count_distinct("order_id").alias("times_ordered"))
+    """Orders are counted at the first row of each pair of product and order.
+
+    Nearly every row is a pair of its own, so a distinct count would hold all rows of a
+    task in hash maps, one of them over a whole file split. Sorted rows take a third of
+    the memory, lie in bounded shuffle partitions, and spill.
+    """
+    pair = Window.partitionBy("product_id", "order_id").orderBy("product_id")
+    first = (F.row_number().over(pair) == 1) & F.col("order_id").isNotNull()
+    return items.select("product_id", "quantity", first.alias("first")).groupBy(
+        F.col("product_id").alias("id")).agg(
+        F.sum("quantity").alias("total_sold"), F.count_if("first").alias("times_ordered"))
 
 
 def _rank_products(products: DataFrame, sold: DataFrame) -> DataFrame:
